@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexgrove.llm import line_rules, packing, quality_model
+from lexgrove.llm import line_rules, packing, partenum, quality_model, recompression
 from lexgrove.llm.common import table
 
 
@@ -19,12 +19,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_model.keep_good(docs, model)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return partenum.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the words of repeated passages; a document that loses nothing stays as it is."""
+    return recompression.cleaned(docs)
+
+
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("harmonic_packing", harmonic_packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("harmonic_packing", harmonic_packing),
+]
 #: The classifier and the tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
