@@ -71,38 +71,48 @@ def fit_lists(x: np.ndarray, n: int, k: int, target: float = 0.985, seed: int =
     return lists
 
 
-def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np.ndarray, ids: np.ndarray, k: int, step: int = 16, slack: float = 3.0) -> Iterator[tuple[int, int, float]]:
-    """(query, vector, score) of each query's k best. qr and xr: rotated; x: original, in double precision."""
+def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np.ndarray, ids: np.ndarray, k: int, step: int = 16, slack: float = 3.0, tile: int = 64) -> Iterator[tuple[int, int, float]]:
+    """(query, vector, score) of each query's k best. qr and xr: rotated; x: original, in double precision.
+
+    A tile of queries reads a block of columns at a time; a vector goes when the test has failed for all of them.
+    """
     d = x.shape[1]
-    x_norm = (xr**2).sum(1)
-    order = np.argsort(-x_norm, kind="stable")
-    first = order[: min(len(order), 4 * k)]
-    later = order[len(first) :]
-    columns = [slice(a, min(d, a + step)) for a in range(0, d, step)]
-    for i in range(len(q)):
-        q_norm = float((qr[i] ** 2).sum())
-        known = first[ids[first] != q_ids[i]]
-        scores = xr[known] @ qr[i]
-        floor = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
-        alive, far = later, np.zeros(len(later))
-        for c in columns[:-1]:
-            far = far + ((xr[alive, c] - qr[i, c]) ** 2).sum(1)
-            # the distance a candidate may have to be as near as the k-th best: inner product and norms give it
-            limit = q_norm + x_norm[alive] - 2 * floor
-            stays = far * (d / c.stop) <= (1 + slack / np.sqrt(c.stop)) ** 2 * limit + 1e-9 if np.isfinite(floor) else np.ones(len(alive), bool)
-            alive, far = alive[stays], far[stays]
-            if not len(alive):
+    order = np.argsort(-(xr**2).sum(1), kind="stable")
+    x, xr, ids = x[order], xr[order], ids[order]
+    ends = [*range(step, d, step), d]
+    x_norms = np.stack([(xr[:, :e] ** 2).sum(1) for e in ends])
+    head = min(len(x), 4 * k)
+    for a in range(0, len(q), tile):
+        t, own = qr[a : a + tile], q_ids[a : a + tile]
+        scores = t @ xr[:head].T
+        scores[own[:, None] == ids[:head]] = -np.inf
+        floor = np.partition(scores, -k, axis=1)[:, -k] if head >= k else np.full(len(t), -np.inf)
+        floor = np.where(np.isfinite(floor), floor, -1e300)
+        alive = np.arange(len(x))
+        part, open_ = np.zeros((len(t), len(x))), own[:, None] != ids
+        for i, e in enumerate(ends):
+            c = slice(ends[i - 1] if i else 0, e)
+            part += t[:, c] @ xr[alive, c].T
+            if e == d:
                 break
-        alive = alive[ids[alive] != q_ids[i]]
-        found = np.concatenate([known, alive])
-        if not len(found):
-            continue
-        rough = np.concatenate([scores, xr[alive] @ qr[i]])
-        if len(found) > k:  # a little below the k-th, as rotating rounds
-            found = found[rough >= np.partition(rough, -k)[-k] - 1e-9 * (1 + abs(rough).max())]
-        exact = (x[found] * q[i]).sum(1)
-        for j in np.lexsort((ids[found], -exact))[:k]:
-            yield int(q_ids[i]), int(ids[found[j]]), float(exact[j])
+            # the distance of a vector as near as the k-th best follows from its norm and the query's
+            limit = (t**2).sum(1)[:, None] + x_norms[-1][alive] - 2 * floor[:, None]
+            far = (t[:, :e] ** 2).sum(1)[:, None] + x_norms[i][alive] - 2 * part
+            open_ &= far * (d / e) <= (1 + slack / np.sqrt(e)) ** 2 * limit + 1e-9
+            some = open_.any(0)
+            if some.mean() < 0.8:
+                alive, part, open_ = alive[some], part[:, some], open_[:, some]
+        part[~open_] = -np.inf
+        if part.shape[1] > k:  # a little below the k-th, as rotating rounds
+            open_ &= part >= (np.partition(part, -k, axis=1)[:, -k] - 1e-9 * (1 + abs(floor) * (floor > -1e300)))[:, None]
+        row, column = np.nonzero(open_)
+        found = alive[column]
+        exact = (x[found] * q[a + row]).sum(1)
+        best = np.lexsort((ids[found], -exact, row))
+        first = np.searchsorted(row[best], np.arange(len(t)))
+        for j, r in enumerate(row[best]):
+            if j - first[r] < k:
+                yield int(own[r]), int(ids[found[best[j]]]), float(exact[best[j]])
 
 
 def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
