@@ -8,6 +8,7 @@ A block holds at least one key, so blocks never outnumber the distinct keys of t
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished stages now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Words(dict):
     """64-bit ids of words, kept for up to `most` words."""
 

@@ -8,8 +8,9 @@ enough others remain; where they don't, empty ones are given too, so no link is
 
 Before that, a document goes no further if over a quarter of its shingles occur in no other document: it has no link.
 Equal sets become one. Candidates are verified on whole sets: first each set of a bucket with the bucket's smallest id,
-then, in buckets that still hold several components, the pairs of different components whose sketches (64 minima
-of 16 bits) agree in 24 places or more; a pair of similarity 3/4 fails that with a probability under 1e-9.
+then, in buckets that still hold several components, the pairs of different components. Pairs whose sketches (48
+minima of 8 bits) agree in fewer than 16 places aren't verified; a pair of similarity 3/4 fails that with a probability of
+about 1e-9.
 
 Defined results: a document without words, or with a null or empty text, has 0 shingles and its own id as component; with
 fewer than five words the whole sequence is one shingle; texts of any length are read whole; repeated rows are linked; a null
@@ -35,7 +36,8 @@ SHINGLE = 5
 PERCENT = 75
 SUBPARTS = 3
 SLACK = 1.25
-SKETCH, AGREE = 64, 24
+SKETCH, AGREE = 48, 16
+_SEEDS = B.mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 U = np.uint64
 
 
@@ -83,11 +85,12 @@ def _signatures(keys: np.ndarray, band: int, largest: int) -> np.ndarray:
 
 
 def sketch(keys: np.ndarray) -> bytes:
-    """The low 16 bits of the set's minima under SKETCH hashes."""
-    out = np.empty(SKETCH, np.uint16)
-    for i in range(SKETCH):
-        out[i] = B.mixed(keys ^ B.mixed(np.array([i + 1], U))).min() & U(0xFFFF)
-    return out.tobytes()
+    """8 bits of each of the set's minima under SKETCH hashes."""
+    least = np.full(SKETCH, U(2**64 - 1))
+    for i in range(0, len(keys), 2000):
+        x = keys[None, i : i + 2000] * _SEEDS[:, None]
+        least = np.minimum(least, (x ^ (x >> U(32))).min(1))
+    return (B.mixed(least) & U(0xFF)).astype(np.uint8).tobytes()
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -119,6 +122,11 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
+def held(among: np.ndarray, keys: np.ndarray) -> int:
+    """How many of the keys are among sorted ones."""
+    return int((among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys).sum())
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, and for documents that may have links: d1, d2 (a digest of the set) and keys (the set)."""
     n_chunks = B.chunks_for(docs, text_col)
@@ -151,8 +159,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for doc, keys in zip(rows["doc_id"], sets(rows), strict=True):
             row = (doc, len(keys), None, None, None)
             if len(keys) and len(often):
-                shared = int((often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys).sum())
-                if 100 * shared >= PERCENT * len(keys):
+                few = keys[: max(40, len(keys) // 8)]  # most documents have no chance, as their first shingles show
+                if 100 * (held(often, few) + len(keys) - len(few)) >= PERCENT * len(keys) and 100 * held(often, keys) >= PERCENT * len(keys):
                     d1, d2 = (int(B.mixed(keys ^ U(s)).sum(dtype=U).astype(np.int64)) for s in (1, 2))
                     row = (doc, len(keys), d1, d2, B.pack_sorted(keys))
             out.append(row)
@@ -175,76 +183,160 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(alike("x", "y")).select("a", "b")
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components in a bucket whose sizes and sketches allow a link."""
-    spread = rows.repartition(B.partitions(rows.sparkSession), "sig").sortWithinPartitions("sig")
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def of(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            ids, comp, size = (group[c].to_numpy() for c in ("id", "component", "n"))
-            marks = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(-1, SKETCH)
-            step = max(1, 4_000_000 // (len(ids) * SKETCH))
-            for a in range(0, len(ids), step):
-                i = np.arange(a, min(len(ids), a + step))
-                ok = (comp[i, None] != comp) & (ids[i, None] < ids) & (100 * np.minimum(size[i, None], size) >= PERCENT * np.maximum(size[i, None], size))
-                x, y = np.nonzero(ok)
-                near = (marks[i[x]] == marks[y]).sum(1) >= AGREE
-                if near.any():
-                    yield pd.DataFrame({"a": ids[i[x[near]]], "b": ids[y[near]]})
-
-        for batch in batches:
-            if held:
-                batch = pd.concat([*held, batch])
-                held = []
-            last = batch["sig"].iloc[-1] if len(batch) else None
-            open_ = batch["sig"] == last
-            for _, group in batch[~open_].groupby("sig", sort=False):
-                yield from of(group)
-            held = [batch[open_]]
-        if held and len(held[0]):
-            yield from of(held[0])
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by a key, cut so that each holds whole groups of it."""
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch[key].iloc[-1]
+        cut = int((batch[key] != last).sum())
+        if cut:
+            yield pd.concat([*waiting, batch.iloc[:cut]]) if waiting else batch.iloc[:cut]
+            waiting = [batch.iloc[cut:]]
+        else:
+            waiting.append(batch)
+            if waiting[0][key].iloc[0] != last:  # the group before ended with the last batch
+                whole = pd.concat(waiting)
+                done = whole[key] != last
+                yield whole[done]
+                waiting = [whole[~done]]
+    if waiting:
+        yield pd.concat(waiting)
+
+
+def edges_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start, and the end."""
+    return np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]]), len(values)] if len(values) else np.zeros(1, int)
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
 
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SKETCH) for v in (x, y))
+        return pd.Series((a == b).sum(1) >= AGREE, dtype=bool)
+
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("k"), F.col("sketch").alias("y"))
+    fits = F.expr(f"100 * least(m, k) >= {PERCENT} * greatest(m, k)")
+    return pairs.join(one, "a").join(two, "b").filter(fits).filter(near("x", "y")).select("a", "b")
+
+
+def unresolved(members: DataFrame, known: DataFrame) -> DataFrame:
+    """sig, id, component of the members of buckets that hold several components, without each bucket's smallest id,
+    which has met all others."""
+    kind = members.schema["id"].dataType.simpleString()
+    rows = members.join(known.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+    rows = rows.repartition(B.partitions(members.sparkSession), "sig").sortWithinPartitions("sig", "component", "id")
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches, "sig"):
+            sig, comp, ids = (rows[c].to_numpy() for c in ("sig", "component", "id"))
+            edges = edges_of(sig)
+            size = np.diff(edges)
+            several = (comp[edges[:-1]] != comp[edges[1:] - 1]) & (size > 2)
+            least = np.minimum.reduceat(ids, edges[:-1])
+            stay = np.repeat(several, size) & (ids != np.repeat(least, size))
+            if stay.any():
+                yield pd.DataFrame({"sig": sig[stay], "id": ids[stay], "component": comp[stay]})
+
+    return rows.mapInPandas(keep, f"sig long, id {kind}, component {kind}")
+
+
+def bucket_pairs(rows: DataFrame, most: int = 400_000) -> DataFrame:
+    """Distinct pairs (a, b) of different components in a bucket whose sizes and sketches allow a link.
+
+    Rows of a bucket stand by component, and each row meets those of later components only; `most` pairs at a time.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    return spread.mapInPandas(pairs, f"a {kind}, b {kind}").distinct()
+    rows = rows.repartition(B.partitions(rows.sparkSession), "sig").sortWithinPartitions("sig", "component")
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple] = set()
+        for group in whole_groups(batches, "sig"):
+            sig, comp, ids, size = (group[c].to_numpy() for c in ("sig", "component", "id", "n"))
+            marks = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, SKETCH)
+            ends = edges_of(sig)
+            end = np.repeat(ends[1:], np.diff(ends))
+            runs = np.r_[np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])]), len(sig)]
+            next_ = np.repeat(runs[1:], np.diff(runs))
+            count = end - next_
+            total = np.cumsum(count)
+            i = 0
+            while i < len(sig):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+                c = count[i:j]
+                left = np.repeat(np.arange(i, j), c)
+                right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(next_[i:j], c)
+                ok = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
+                left, right = left[ok], right[ok]
+                near = (marks[left] == marks[right]).sum(1) >= AGREE
+                x, y = ids[left[near]], ids[right[near]]
+                new = [p for p in set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) if p not in seen]
+                if len(seen) > 300_000:
+                    seen.clear()
+                seen.update(new)
+                if new:
+                    yield pd.DataFrame(new, columns=["a", "b"])
+                i = j
+
+    return rows.mapInPandas(pairs, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that the document's links reach."""
+    spark = docs.sparkSession
     met = B.stored(shingle_sets(docs, id_col, text_col))
+    B.free(spark)
     kind = met.schema["doc_id"].dataType.simpleString()
     linked = met.filter("d1 is not null and doc_id is not null")
+
+    @F.pandas_udf("binary")
+    def sketched(keys: pd.Series) -> pd.Series:
+        return pd.Series([sketch(B.unpack_sorted(k)) for k in keys], dtype=object)
+
     sets = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.first("n_shingles").alias("n"))
-    sets = B.stored(sets)
+    sets = B.stored(sets.withColumn("sketch", sketched("keys")))
+    parts = max(1, B.partitions(spark))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a in range(0, len(batch), 200):
-                part = batch.iloc[a : a + 200]
-                signs = [signatures(B.unpack_sorted(k)).view(np.int64) for k in part["keys"]]
-                sizes = [len(s) for s in signs]
-                yield pd.DataFrame({"sig": np.concatenate(signs), "id": np.repeat(part["id"].to_numpy(), sizes), "n": np.repeat(part["n"].to_numpy(), sizes)})
-
-    signed = sets.select("id", "n", "keys").mapInPandas(sign, f"sig long, id {kind}, n long")
-    buckets = signed.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").select("sig", "pivot")
-    members = B.stored(signed.join(buckets, "sig"))
-    star = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = B.stored(verified(star, sets))
+            for a in range(0, len(batch), 500):
+                some = batch.iloc[a : a + 500]
+                signs = [signatures(B.unpack_sorted(k)) for k in some["keys"]]
+                ids = np.repeat(some["id"].to_numpy(np.int64), [len(x) for x in signs])
+                signs = np.concatenate(signs)
+                order = np.argsort(signs, kind="stable")
+                signs, ids = signs[order], ids[order]
+                edges = np.searchsorted(B.part_of(signs, parts), np.arange(parts + 1))
+                yield pd.DataFrame([(p, B.pack_sorted(signs[x:y]), B.pack(ids[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y], columns=["part", "signs", "ids"])
+
+    def bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Members of buckets of two or more, and the distinct pairs of a bucket's smallest id and another (sig: null)."""
+        signs = np.concatenate([B.unpack_sorted(x) for x in rows["signs"]])
+        ids = np.concatenate([B.unpack(x, np.int64) for x in rows["ids"]])
+        order = np.lexsort((ids, signs))
+        signs, ids = signs[order], ids[order]
+        edges = edges_of(signs)
+        size = np.diff(edges)
+        several = np.repeat(size > 1, size)
+        pivot = np.repeat(ids[edges[:-1]], size)
+        star = several & (ids != pivot)
+        pairs = np.unique(np.stack([pivot[star], ids[star]], 1), axis=0)
+        return pd.DataFrame({"sig": pd.Series([*signs[several].view(np.int64), *[None] * len(pairs)], dtype="Int64"), "a": np.r_[ids[several], pairs[:, 0]], "b": np.r_[ids[several], pairs[:, 1]]})
+
+    signed = sets.select(F.col("id").cast("long").alias("id"), "keys").mapInPandas(sign, "part int, signs binary, ids binary")
+    members = B.stored(signed.groupBy("part").applyInPandas(bucket, "sig long, a long, b long"))
+    star = members.filter("sig is null").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).distinct()
+    members = members.filter("sig is not null").select("sig", F.col("a").cast(kind).alias("id"))
+    first = B.stored(verified(alike(star, sets), sets))
     known = components(first)
-    labelled = members.select("sig", "id", "n", "pivot").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 < c2 and size > 2").select("sig")
-
-    @F.pandas_udf("binary")
-    def sketched(keys: pd.Series) -> pd.Series:
-        return pd.Series([sketch(B.unpack_sorted(k)) for k in keys])
-
-    # a bucket's pivot has met all its members
-    rest = labelled.filter("id <> pivot").join(mixed, "sig").select("sig", "id", "n", "component")
-    marks = sets.join(rest.select("id").distinct(), "id").select("id", sketched("keys").alias("sketch"))
-    more = verified(bucket_pairs(rest.join(marks, "id")), sets)
-    links = B.stored(first.union(more))
-    found = components(links) if not more.isEmpty() else known
+    B.free(spark)
+    rest = unresolved(members, known).join(sets.select("id", "n", "sketch"), "id")
+    more = B.stored(verified(bucket_pairs(rest), sets))
+    found = components(first.union(more)) if not more.isEmpty() else known
     groups = sets.select("d1", "d2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     return met.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
