@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -42,8 +43,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 def free(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished stages now; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # the references that Python holds to plans go first, then the plans, then their files
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 class Words(dict):

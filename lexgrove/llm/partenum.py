@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pivot = np.repeat(ids[edges[:-1]], size)
         star = several & (ids != pivot)
         pairs = np.unique(np.stack([pivot[star], ids[star]], 1), axis=0)
-        return pd.DataFrame({"sig": pd.Series([*signs[several].view(np.int64), *[None] * len(pairs)], dtype="Int64"), "a": np.r_[ids[several], pairs[:, 0]], "b": np.r_[ids[several], pairs[:, 1]]})
+        return pd.DataFrame({"sig": pd.Series([*signs[several].view(np.int64), *[None] * len(pairs)], dtype="Int64"), "a": np.r_[ids[several], pairs[:, 0]], "b": pd.Series([*[None] * int(several.sum()), *pairs[:, 1].tolist()], dtype="Int64")})
 
     signed = sets.select(F.col("id").cast("long").alias("id"), "keys").mapInPandas(sign, "part int, signs binary, ids binary")
     members = B.stored(signed.groupBy("part").applyInPandas(bucket, "sig long, a long, b long"))
