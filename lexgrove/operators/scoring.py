@@ -42,7 +42,8 @@ def edges(rows: DataFrame, window: int = 2) -> DataFrame:
     """doc_id, src, dst, weight: content tokens up to `window` places apart in a sentence, forward, with their counts."""
     w = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
     ahead = F.array(*(F.lead("node", h).over(w) for h in range(1, window + 1)))
-    pairs = _content(rows).select("doc_id", F.col("node").alias("src"), F.explode(ahead).alias("dst")).filter("dst is not null")
+    near = _content(rows).select("doc_id", F.col("node").alias("src"), ahead.alias("ahead"))
+    pairs = near.select("doc_id", "src", F.explode("ahead").alias("dst")).filter("dst is not null")
     return pairs.groupBy("doc_id", "src", "dst").agg(F.count("*").alias("weight"))
 
 
