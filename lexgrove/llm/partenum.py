@@ -7,8 +7,7 @@ one. n1 is above the least that this needs, so that parts whose signatures would
 enough others remain; where they don't, empty ones are given too, so no link is lost.
 
 Before that, a document goes no further if over a quarter of its shingles occur in no other document: it has no link.
-Equal sets become one. Candidates are verified on whole sets: first each set of a bucket with the bucket's smallest id,
-then, in buckets that still hold several components, the pairs of different components. Pairs whose sketches (48
+Equal sets become one. Candidates are verified on whole sets: first each set with the pivot that it shares most buckets with, then, in buckets that still hold several components, the pairs of different components. Pairs whose sketches (48
 minima of 8 bits) agree in fewer than 16 places aren't verified; a pair of similarity 3/4 fails that with a probability of
 about 1e-9.
 
@@ -128,7 +127,8 @@ def held(among: np.ndarray, keys: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, and for documents that may have links: d1, d2 (a digest of the set) and keys (the set)."""
+    """doc_id, n_shingles, and for documents that may have links: d1, d2 (a digest of the set), keys (the set) and
+    shared (of 10,000 shingles, those that occur in other documents)."""
     n_chunks = B.chunks_for(docs, text_col)
     parts = n_chunks
     chunked = B.dealt(docs, id_col, text_col, n_chunks)
@@ -138,7 +138,15 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return [shingles(known.ids((t or "").encode("utf-8", "replace").lower().split())) for t in rows["text"]]
 
     def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.unique(np.concatenate(sets(rows)), return_counts=True)
+        # a shingle that only one document repeats counts as shared here; that keeps a document, it never loses one
+        known = B.Words()
+        ids = [known.ids((t or "").encode("utf-8", "replace").lower().split()) for t in rows["text"]]
+        sizes = np.array([len(x) for x in ids])
+        inside = np.repeat(np.cumsum(sizes), sizes)  # where the word's document ends
+        whole = B.windows(np.concatenate(ids), SHINGLE, seed=SHINGLE)
+        whole = whole[np.arange(len(whole)) + SHINGLE <= inside[: len(whole)]]
+        short = [shingles(x) for x in ids if 0 < len(x) < SHINGLE]
+        keys, counts = np.unique(np.concatenate([whole, *short]), return_counts=True)
         return pd.DataFrame(B.blocks_of(0, int(key[0]), keys, np.minimum(counts, 2), parts), columns=["kind", "part", "chunk", "keys", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +157,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys])
         return pd.DataFrame([(key[0], key[1], int(c), B.pack_sorted(k[often[e - len(k) : e]]), b"") for c, k, e in zip(rows["chunk"], keys, ends, strict=True)], columns=["kind", "part", "chunk", "keys", "counts"])
 
-    schema = T.StructType([chunked.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", T.BinaryType())])
+    schema = T.StructType([chunked.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("shared", T.IntegerType())])
 
     def meet(key: tuple, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -157,15 +165,15 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         often = np.concatenate([np.zeros(0, U), *(B.unpack_sorted(k) for k in got.sort_values("part")["keys"])])
         out = []
         for doc, keys in zip(rows["doc_id"], sets(rows), strict=True):
-            row = (doc, len(keys), None, None, None)
+            row = (doc, len(keys), None, None, None, None)
             if len(keys) and len(often):
                 few = keys[: max(40, len(keys) // 8)]  # most documents have no chance, as their first shingles show
-                if 100 * (held(often, few) + len(keys) - len(few)) >= PERCENT * len(keys) and 100 * held(often, keys) >= PERCENT * len(keys):
+                if 100 * (held(often, few) + len(keys) - len(few)) >= PERCENT * len(keys) and 100 * (shared := held(often, keys)) >= PERCENT * len(keys):
                     d1, d2 = (int(B.mixed(keys ^ U(s)).sum(dtype=U).astype(np.int64)) for s in (1, 2))
-                    row = (doc, len(keys), d1, d2, B.pack_sorted(keys))
+                    row = (doc, len(keys), d1, d2, B.pack_sorted(keys), 10_000 * shared // len(keys))
             out.append(row)
         frame = pd.DataFrame(out, columns=schema.names)
-        return frame.astype({"d1": "Int64", "d2": "Int64"})
+        return frame.astype({"d1": "Int64", "d2": "Int64", "shared": "Int64"})
 
     answers = chunked.groupBy("chunk").applyInPandas(send, B.BLOCK_SCHEMA).groupBy("kind", "part").applyInPandas(add, B.BLOCK_SCHEMA)
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(meet, schema)
@@ -225,8 +233,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def unresolved(members: DataFrame, known: DataFrame) -> DataFrame:
-    """sig, id, component of the members of buckets that hold several components, without each bucket's smallest id,
-    which has met all others."""
+    """sig, id, component of the members of buckets that hold several components."""
     kind = members.schema["id"].dataType.simpleString()
     rows = members.join(known.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     rows = rows.repartition(B.partitions(members.sparkSession), "sig").sortWithinPartitions("sig", "component", "id")
@@ -236,9 +243,8 @@ def unresolved(members: DataFrame, known: DataFrame) -> DataFrame:
             sig, comp, ids = (rows[c].to_numpy() for c in ("sig", "component", "id"))
             edges = edges_of(sig)
             size = np.diff(edges)
-            several = (comp[edges[:-1]] != comp[edges[1:] - 1]) & (size > 2)
-            least = np.minimum.reduceat(ids, edges[:-1])
-            stay = np.repeat(several, size) & (ids != np.repeat(least, size))
+            several = comp[edges[:-1]] != comp[edges[1:] - 1]
+            stay = np.repeat(several, size)
             if stay.any():
                 yield pd.DataFrame({"sig": sig[stay], "id": ids[stay], "component": comp[stay]})
 
@@ -297,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sketched(keys: pd.Series) -> pd.Series:
         return pd.Series([sketch(B.unpack_sorted(k)) for k in keys], dtype=object)
 
-    sets = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.first("n_shingles").alias("n"))
+    sets = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.first("n_shingles").alias("n"), F.max("shared").alias("shared"))
     sets = B.stored(sets.withColumn("sketch", sketched("keys")))
     parts = max(1, B.partitions(spark))
 
@@ -306,30 +312,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for a in range(0, len(batch), 500):
                 some = batch.iloc[a : a + 500]
                 signs = [signatures(B.unpack_sorted(k)) for k in some["keys"]]
-                ids = np.repeat(some["id"].to_numpy(np.int64), [len(x) for x in signs])
+                ids, shared = (np.repeat(some[c].to_numpy(np.int64), [len(x) for x in signs]) for c in ("id", "shared"))
                 signs = np.concatenate(signs)
                 order = np.argsort(signs, kind="stable")
-                signs, ids = signs[order], ids[order]
+                signs, ids, shared = signs[order], ids[order], shared[order].astype(np.uint16)
                 edges = np.searchsorted(B.part_of(signs, parts), np.arange(parts + 1))
-                yield pd.DataFrame([(p, B.pack_sorted(signs[x:y]), B.pack(ids[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y], columns=["part", "signs", "ids"])
+                yield pd.DataFrame([(p, B.pack_sorted(signs[x:y]), B.pack(ids[x:y]), B.pack(shared[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y], columns=["part", "signs", "ids", "shared"])
 
     def bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Members of buckets of two or more, and the distinct pairs of a bucket's smallest id and another (sig: null)."""
+        """Members of buckets of two or more, and how often a pivot a and a member b share one (sig: null).
+
+        The pivot is the member whose shingles occur most in other documents: an original before its altered copies."""
         signs = np.concatenate([B.unpack_sorted(x) for x in rows["signs"]])
         ids = np.concatenate([B.unpack(x, np.int64) for x in rows["ids"]])
-        order = np.lexsort((ids, signs))
+        shared = np.concatenate([B.unpack(x, np.uint16) for x in rows["shared"]]).astype(np.int64)
+        order = np.lexsort((ids, -shared, signs))
         signs, ids = signs[order], ids[order]
         edges = edges_of(signs)
         size = np.diff(edges)
         several = np.repeat(size > 1, size)
         pivot = np.repeat(ids[edges[:-1]], size)
         star = several & (ids != pivot)
-        pairs = np.unique(np.stack([pivot[star], ids[star]], 1), axis=0)
-        return pd.DataFrame({"sig": pd.Series([*signs[several].view(np.int64), *[None] * len(pairs)], dtype="Int64"), "a": np.r_[ids[several], pairs[:, 0]], "b": pd.Series([*[None] * int(several.sum()), *pairs[:, 1].tolist()], dtype="Int64")})
-
-    signed = sets.select(F.col("id").cast("long").alias("id"), "keys").mapInPandas(sign, "part int, signs binary, ids binary")
-    members = B.stored(signed.groupBy("part").applyInPandas(bucket, "sig long, a long, b long"))
-    star = members.filter("sig is null").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).distinct()
+        pairs, often = np.unique(np.stack([pivot[star], ids[star]], 1), axis=0, return_counts=True)
+        n = int(several.sum())
+        return pd.DataFrame({"sig": pd.Series([*signs[several].view(np.int64), *[None] * len(pairs)], dtype="Int64"), "a": np.r_[ids[several], pairs[:, 0]], "b": pd.Series([*[None] * n, *pairs[:, 1].tolist()], dtype="Int64"), "often": pd.Series([*[None] * n, *often.tolist()], dtype="Int64")})
+
+    signed = sets.select(F.col("id").cast("long").alias("id"), "keys", "shared").mapInPandas(sign, "part int, signs binary, ids binary, shared binary")
+    members = B.stored(signed.groupBy("part").applyInPandas(bucket, "sig long, a long, b long, often long"))
+    # each set meets the pivot that it shares most buckets with
+    shares = members.filter("sig is null").groupBy("a", "b").agg(F.sum("often").alias("often"))
+    star = shares.groupBy("b").agg(F.max(F.struct("often", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
     members = members.filter("sig is not null").select("sig", F.col("a").cast(kind).alias("id"))
     first = B.stored(verified(alike(star, sets), sets))
     known = components(first)
