@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,10 +49,18 @@ def edges(rows: DataFrame, window: int = 2) -> DataFrame:
     return pairs.groupBy("doc_id", "src", "dst").agg(F.count("*").alias("weight"))
 
 
-def page_rank(vertices: DataFrame, links: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 10, cut=None) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder of spark.checkpoint.dir; sets a folder of its own only where none is."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexgrove-checkpoints-"))
+    return df.checkpoint()
+
+
+def page_rank(vertices: DataFrame, links: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 2) -> DataFrame:
     """doc_id, node, rank: weighted rank within each document; the mass of nodes without links goes to all.
 
-    One shuffle by (doc_id, src) holds for all rounds' joins; `cut` writes a frame and gives it back without lineage."""
+    A round reads the ranks three times, so the plan is cut every cut_every rounds."""
     out = links.join(links.groupBy("doc_id", "src").agg(F.sum("weight").alias("_w")), ["doc_id", "src"]).select("doc_id", F.col("src").alias("node"), "dst", (F.col("weight") / F.col("_w")).alias("share"))
     sizes = vertices.groupBy("doc_id").agg(F.count("*").alias("n"))
     base = vertices.join(sizes, "doc_id").join(links.select("doc_id", F.col("src").alias("node"), F.lit(1).alias("linked")).distinct(), ["doc_id", "node"], "left")
@@ -60,8 +70,8 @@ def page_rank(vertices: DataFrame, links: DataFrame, rounds: int = 20, damping:
         got = rank.join(out, ["doc_id", "node"]).groupBy("doc_id", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("_got"))
         rank = rank.drop("rank").join(got, ["doc_id", "node"], "left").join(lost, "doc_id")
         rank = rank.select("doc_id", "node", "n", "linked", ((1 - damping) / F.col("n") + damping * (F.coalesce("_got", F.lit(0.0)) + F.col("_lost") / F.col("n"))).alias("rank"))
-        if cut is not None and i % cut_every == cut_every - 1:
-            rank = cut(rank)
+        if i % cut_every == cut_every - 1 and i < rounds - 1:
+            rank = checkpointed(rank)
     return rank.select("doc_id", "node", "rank")
 
 

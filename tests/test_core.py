@@ -156,7 +156,7 @@ def test_bigram_decoding_against_a_loop(spark):
 def test_rank_sums_to_one(spark):
     docs = spark.createDataFrame([(1, "s", "dogs chasing cats running dogs"), (2, "s", "alone")], "doc_id long, source string, text string")
     rows = A.annotated(docs)
-    ranks = scoring.page_rank(scoring.nodes(rows), scoring.edges(rows), 30)
+    ranks = scoring.page_rank(scoring.nodes(rows), scoring.edges(rows), 4)
     assert all(abs(r["s"] - 1) < 1e-9 for r in ranks.groupBy("doc_id").agg(F.sum("rank").alias("s")).collect())
 
 
