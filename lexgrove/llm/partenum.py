@@ -7,9 +7,11 @@ one. n1 is above the least that this needs, so that parts whose signatures would
 enough others remain; where they don't, empty ones are given too, so no link is lost.
 
 Before that, a document goes no further if over a quarter of its shingles occur in no other document: it has no link.
-Equal sets become one. Candidates are verified on whole sets: first each set with the pivot that it shares most buckets with, then, in buckets that still hold several components, the pairs of different components. Pairs whose sketches (48
-minima of 8 bits) agree in fewer than 16 places aren't verified; a pair of similarity 3/4 fails that with a probability of
-about 1e-9.
+Equal sets become one. Candidates are verified on whole sets: first each set with the pivot that it shares most buckets
+with; then, within families, blocks of a family meet, and sets of different components are compared there. Families are
+what pairs connect that share a bucket and whose sketches (48 minima of 8 bits) agree in 16 places or more; a pair of
+similarity 3/4 fails that with a probability of about 1e-9. A set of a family is copied once for each of its blocks, so
+this is quadratic in the size of a family that stays open, by a factor of about 1/200; no pairs are written.
 
 Defined results: a document without words, or with a null or empty text, has 0 shingles and its own id as component; with
 fewer than five words the whole sequence is one shingle; texts of any length are read whole; repeated rows are linked; a null
@@ -37,6 +39,8 @@ SUBPARTS = 3
 SLACK = 1.25
 SKETCH, AGREE = 48, 16
 _SEEDS = B.mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+#: A block of a family holds about so many shingles and sets at most.
+BLOCK_SHINGLES, BLOCK_SETS = 30_000, 200
 U = np.uint64
 
 
@@ -191,104 +195,115 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(alike("x", "y")).select("a", "b")
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by a key, cut so that each holds whole groups of it."""
-    waiting: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        last = batch[key].iloc[-1]
-        cut = int((batch[key] != last).sum())
-        if cut:
-            yield pd.concat([*waiting, batch.iloc[:cut]]) if waiting else batch.iloc[:cut]
-            waiting = [batch.iloc[cut:]]
-        else:
-            waiting.append(batch)
-            if waiting[0][key].iloc[0] != last:  # the group before ended with the last batch
-                whole = pd.concat(waiting)
-                done = whole[key] != last
-                yield whole[done]
-                waiting = [whole[~done]]
-    if waiting:
-        yield pd.concat(waiting)
-
-
 def edges_of(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values start, and the end."""
     return np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]]), len(values)] if len(values) else np.zeros(1, int)
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sizes and sketches allow a link."""
-
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SKETCH) for v in (x, y))
-        return pd.Series((a == b).sum(1) >= AGREE, dtype=bool)
-
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("k"), F.col("sketch").alias("y"))
-    fits = F.expr(f"100 * least(m, k) >= {PERCENT} * greatest(m, k)")
-    return pairs.join(one, "a").join(two, "b").filter(fits).filter(near("x", "y")).select("a", "b")
-
-
-def unresolved(members: DataFrame, known: DataFrame) -> DataFrame:
-    """sig, id, component of the members of buckets that hold several components."""
-    kind = members.schema["id"].dataType.simpleString()
-    rows = members.join(known.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    rows = rows.repartition(B.partitions(members.sparkSession), "sig").sortWithinPartitions("sig", "component", "id")
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches, "sig"):
-            sig, comp, ids = (rows[c].to_numpy() for c in ("sig", "component", "id"))
-            edges = edges_of(sig)
-            size = np.diff(edges)
-            several = comp[edges[:-1]] != comp[edges[1:] - 1]
-            stay = np.repeat(several, size)
-            if stay.any():
-                yield pd.DataFrame({"sig": sig[stay], "id": ids[stay], "component": comp[stay]})
-
-    return rows.mapInPandas(keep, f"sig long, id {kind}, component {kind}")
-
-
-def bucket_pairs(rows: DataFrame, most: int = 400_000) -> DataFrame:
-    """Distinct pairs (a, b) of different components in a bucket whose sizes and sketches allow a link.
-
-    Rows of a bucket stand by component, and each row meets those of later components only; `most` pairs at a time.
+def least_labels(group: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
+    """For items 0 to n - 1, the least item that they reach through shared groups; rows stand by group."""
+    label = np.arange(n)
+    starts, size = edges_of(group)[:-1], np.diff(edges_of(group))
+    while len(item):
+        low = np.repeat(np.minimum.reduceat(label[item], starts), size)
+        after = label.copy()
+        np.minimum.at(after, item, low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    return label
+
+
+def near_labels(group: np.ndarray, item: np.ndarray, size: np.ndarray, marks: np.ndarray, most: int = 200_000) -> np.ndarray:
+    """For items 0 to n - 1, the least item that they reach through pairs of one group whose sizes and sketches allow a
+    link; rows stand by group and item. Pairs that have the same label already aren't looked at; `most` pairs at a time."""
+    n = len(size)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
+        ok[ok] = (marks[x[ok]] == marks[y[ok]]).sum(1) >= AGREE
+        return ok
+
+    def settle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return least_labels(np.repeat(np.arange(len(x)), 2), np.stack([x, y], 1).ravel(), n)
+
+    ends = edges_of(group)
+    first = np.repeat(item[ends[:-1]], np.diff(ends))
+    x, y = np.divmod(np.unique(first[item != first] * n + item[item != first]), n)
+    ok = near(x, y)
+    x, y = x[ok], y[ok]
+    label = settle(x, y)
+    # the rows of groups that hold several labels stand by label and meet those of later labels
+    order = np.lexsort((label[item], group))
+    group, item = group[order], item[order]
+    ends = edges_of(group)
+    several = np.repeat(label[item[ends[:-1]]] != label[item[ends[1:] - 1]], np.diff(ends))
+    group, item = group[several], item[several]
+    start = label[item]
+    ends = edges_of(group)
+    end = np.repeat(ends[1:], np.diff(ends))
+    runs = np.r_[np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (start[1:] != start[:-1])]), len(group)] if len(group) else np.zeros(1, int)
+    later = np.repeat(runs[1:], np.diff(runs))
+    count = end - later
+    total = np.cumsum(count)
+    i = 0
+    while i < len(item):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        c = count[i:j]
+        left = np.repeat(item[i:j], c)
+        right = item[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(later[i:j], c)]
+        open_ = label[left] != label[right]
+        a, b = np.divmod(np.unique(np.minimum(left, right)[open_] * n + np.maximum(left, right)[open_]), n)
+        ok = near(a, b)
+        if ok.any():
+            x, y = np.r_[x, a[ok]], np.r_[y, b[ok]]
+            label = settle(x, y)
+            low = np.flatnonzero(label != np.arange(n))
+            x, y = label[low], low
+        i = j
+    return label
+
+
+def block_links(families: DataFrame) -> DataFrame:
+    """Links (a, b) between components of one family, from family, id, component, n, keys.
+
+    A family with several components is dealt to blocks by id, and each two blocks meet in a task of their own, where whole
+    sets are compared; nothing but links leaves it, and no more of them than its components need.
     """
-    kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.repartition(B.partitions(rows.sparkSession), "sig").sortWithinPartitions("sig", "component")
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple] = set()
-        for group in whole_groups(batches, "sig"):
-            sig, comp, ids, size = (group[c].to_numpy() for c in ("sig", "component", "id", "n"))
-            marks = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, SKETCH)
-            ends = edges_of(sig)
-            end = np.repeat(ends[1:], np.diff(ends))
-            runs = np.r_[np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])]), len(sig)]
-            next_ = np.repeat(runs[1:], np.diff(runs))
-            count = end - next_
-            total = np.cumsum(count)
-            i = 0
-            while i < len(sig):
-                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
-                c = count[i:j]
-                left = np.repeat(np.arange(i, j), c)
-                right = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(next_[i:j], c)
-                ok = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
-                left, right = left[ok], right[ok]
-                near = (marks[left] == marks[right]).sum(1) >= AGREE
-                x, y = ids[left[near]], ids[right[near]]
-                new = [p for p in set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) if p not in seen]
-                if len(seen) > 300_000:
-                    seen.clear()
-                seen.update(new)
-                if new:
-                    yield pd.DataFrame(new, columns=["a", "b"])
-                i = j
-
-    return rows.mapInPandas(pairs, f"a {kind}, b {kind}").distinct()
+    kind = families.schema["component"].dataType.simpleString()
+    sizes = families.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), (F.min("component") < F.max("component")).alias("open"))
+    sizes = sizes.filter("open").select("family", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("rows") / BLOCK_SETS)).cast("int").alias("blocks"))
+    rows = families.join(sizes, "family").withColumn("own", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "n", "keys")
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        comp, size, side = rows["component"].to_numpy(), rows["n"].to_numpy(), (rows["own"] == key[1]).to_numpy()
+        if (comp == comp[0]).all():
+            return none
+        keys = [B.unpack_sorted(k) for k in rows["keys"]]
+        _, at, often = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        common = often >= 2  # the others are in no intersection
+        column, row = (np.cumsum(common) - 1)[at], np.repeat(np.arange(len(keys)), size)
+        holds = np.zeros((len(keys), int(common.sum())), np.float32)
+        holds[row[common[at]], column[common[at]]] = 1
+        left = np.flatnonzero(side)
+        right = left if key[1] == key[2] else np.flatnonzero(~side)
+        both = (holds[left] @ holds[right].T).astype(np.int64)
+        x, y = np.nonzero((100 * both >= PERCENT * (size[left][:, None] + size[right][None] - both)) & (comp[left][:, None] != comp[right][None]))
+        if not len(x):
+            return none
+        x, y = comp[left[x]], comp[right[y]]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        nodes, ends = np.unique(pairs, return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        label = least_labels(np.repeat(np.arange(len(ends)), 2), ends.ravel(), len(nodes))
+        low = label != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[label[low]], "b": nodes[low]})
+
+    return rows.groupBy("family", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,55 +314,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = met.schema["doc_id"].dataType.simpleString()
     linked = met.filter("d1 is not null and doc_id is not null")
 
-    @F.pandas_udf("binary")
-    def sketched(keys: pd.Series) -> pd.Series:
-        return pd.Series([sketch(B.unpack_sorted(k)) for k in keys], dtype=object)
-
     sets = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.first("n_shingles").alias("n"), F.max("shared").alias("shared"))
-    sets = B.stored(sets.withColumn("sketch", sketched("keys")))
+    sets = B.stored(sets)
     parts = max(1, B.partitions(spark))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 500):
                 some = batch.iloc[a : a + 500]
-                signs = [signatures(B.unpack_sorted(k)) for k in some["keys"]]
-                ids, shared = (np.repeat(some[c].to_numpy(np.int64), [len(x) for x in signs]) for c in ("id", "shared"))
+                keys = [B.unpack_sorted(k) for k in some["keys"]]
+                signs = [signatures(k) for k in keys]
+                row = np.repeat(np.arange(len(keys)), [len(x) for x in signs])
                 signs = np.concatenate(signs)
                 order = np.argsort(signs, kind="stable")
-                signs, ids, shared = signs[order], ids[order], shared[order].astype(np.uint16)
+                signs, row = signs[order], row[order]
+                marks = np.frombuffer(b"".join(map(sketch, keys)), np.uint8).reshape(-1, SKETCH)
+                ids, shared, size = (some[c].to_numpy(np.int64) for c in ("id", "shared", "n"))
                 edges = np.searchsorted(B.part_of(signs, parts), np.arange(parts + 1))
-                yield pd.DataFrame([(p, B.pack_sorted(signs[x:y]), B.pack(ids[x:y]), B.pack(shared[x:y])) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y], columns=["part", "signs", "ids", "shared"])
+                out = []
+                for p in np.flatnonzero(np.diff(edges)):
+                    x, y = edges[p], edges[p + 1]
+                    own, at = np.unique(row[x:y], return_inverse=True)
+                    out.append((int(p), B.pack_sorted(signs[x:y]), B.pack(at.astype(np.uint16)), B.pack(ids[own]), B.pack(shared[own].astype(np.uint16)), B.pack(size[own]), marks[own].tobytes()))
+                yield pd.DataFrame(out, columns=["part", "signs", "at", "ids", "shared", "size", "marks"])
 
     def bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Members of buckets of two or more, and how often a pivot a and a member b share one (sig: null).
+        """How often a pivot a and a member b share a bucket; with often null, a is the first set of b's family here.
 
-        The pivot is the member whose shingles occur most in other documents: an original before its altered copies."""
+        Sets rank by the share of their shingles that occur in other documents: an original before its altered copies.
+        A bucket's pivot is its first set."""
         signs = np.concatenate([B.unpack_sorted(x) for x in rows["signs"]])
-        ids = np.concatenate([B.unpack(x, np.int64) for x in rows["ids"]])
+        ids = [B.unpack(x, np.int64) for x in rows["ids"]]
+        before = np.cumsum([0, *map(len, ids)])
+        who = np.concatenate([B.unpack(x, np.uint16).astype(np.int64) + o for x, o in zip(rows["at"], before, strict=False)])
+        ids = np.concatenate(ids)
         shared = np.concatenate([B.unpack(x, np.uint16) for x in rows["shared"]]).astype(np.int64)
-        order = np.lexsort((ids, -shared, signs))
-        signs, ids = signs[order], ids[order]
+        size = np.concatenate([B.unpack(x, np.int64) for x in rows["size"]])
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, SKETCH)
+        best = np.lexsort((ids, -shared))
+        rank = np.empty(len(ids), np.int64)
+        rank[best] = np.arange(len(ids))
+        ranked, size, marks, rank = ids[best], size[best], marks[best], rank[who]
+        order = np.lexsort((rank, signs))
+        signs, rank = signs[order], rank[order]
+        edges = edges_of(signs)
+        several = np.repeat(np.diff(edges) > 1, np.diff(edges))
+        signs, rank = signs[several], rank[several]
         edges = edges_of(signs)
-        size = np.diff(edges)
-        several = np.repeat(size > 1, size)
-        pivot = np.repeat(ids[edges[:-1]], size)
-        star = several & (ids != pivot)
-        pairs, often = np.unique(np.stack([pivot[star], ids[star]], 1), axis=0, return_counts=True)
-        n = int(several.sum())
-        return pd.DataFrame({"sig": pd.Series([*signs[several].view(np.int64), *[None] * len(pairs)], dtype="Int64"), "a": np.r_[ids[several], pairs[:, 0]], "b": pd.Series([*[None] * n, *pairs[:, 1].tolist()], dtype="Int64"), "often": pd.Series([*[None] * n, *often.tolist()], dtype="Int64")})
-
-    signed = sets.select(F.col("id").cast("long").alias("id"), "keys", "shared").mapInPandas(sign, "part int, signs binary, ids binary, shared binary")
-    members = B.stored(signed.groupBy("part").applyInPandas(bucket, "sig long, a long, b long, often long"))
+        pivot = np.repeat(rank[edges[:-1]], np.diff(edges))
+        star = rank != pivot
+        pairs, often = np.unique(pivot[star] * len(ranked) + rank[star], return_counts=True)
+        label = near_labels(signs, rank, size, marks)
+        low = label != np.arange(len(ranked))
+        many = pd.Series([*often.tolist(), *[None] * int(low.sum())], dtype="Int64")
+        return pd.DataFrame({"a": np.r_[ranked[pairs // len(ranked)], ranked[label[low]]], "b": np.r_[ranked[pairs % len(ranked)], ranked[low]], "often": many})
+
+    signed = sets.select(F.col("id").cast("long").alias("id"), "keys", "shared", "n").mapInPandas(sign, "part int, signs binary, at binary, ids binary, shared binary, size binary, marks binary")
+    members = B.stored(signed.groupBy("part").applyInPandas(bucket, "a long, b long, often long").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "often"))
     # each set meets the pivot that it shares most buckets with
-    shares = members.filter("sig is null").groupBy("a", "b").agg(F.sum("often").alias("often"))
-    star = shares.groupBy("b").agg(F.max(F.struct("often", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
-    members = members.filter("sig is not null").select("sig", F.col("a").cast(kind).alias("id"))
-    first = B.stored(verified(alike(star, sets), sets))
+    shares = members.filter("often is not null").groupBy("a", "b").agg(F.sum("often").alias("often"))
+    star = shares.groupBy("b").agg(F.max(F.struct("often", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).cast(kind).alias("a"), "b")
+    first = B.stored(verified(star, sets))
     known = components(first)
+    # sets that near pairs of buckets connect are a family; those of one that are in different components meet in blocks
+    family = components(members.filter("often is null").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("family"))
     B.free(spark)
-    rest = unresolved(members, known).join(sets.select("id", "n", "sketch"), "id")
-    more = B.stored(verified(bucket_pairs(rest), sets))
+    families = sets.select("id", "n", "keys").join(family, "id").join(known.withColumnRenamed("node", "id"), "id", "left")
+    families = families.select("family", "id", F.coalesce("component", "id").alias("component"), "n", "keys")
+    more = B.stored(block_links(B.stored(families)))
     found = components(first.union(more)) if not more.isEmpty() else known
     groups = sets.select("d1", "d2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     return met.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
