@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import ann, html_wrappers, interpolated_lm, line_rules, packing, partenum, quality_model, recompression, url_filter
+from lexgrove.llm import ann, html_wrappers, interpolated_lm, line_rules, packing, partenum, quality_model, recompression, segmentations, url_filter
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_wrappers": html_wrappers.op3_html_wrappers,
     "op4_interpolated_lm": interpolated_lm.op4_interpolated_lm,
     "op5_partenum": partenum.op5_partenum,
+    "op6_gumbel_segmentations": segmentations.op6_gumbel_segmentations,
     "op7_adaptive_scan": ann.op7_adaptive_scan,
     "op8_harmonic_packing": packing.op8_harmonic_packing,
     "op9_url_filter": url_filter.op9_url_filter,

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexgrove.llm import ann, html_wrappers, interpolated_lm, line_rules, packing, partenum, quality_model, recompression, url_filter
+from lexgrove.llm import ann, html_wrappers, interpolated_lm, line_rules, packing, partenum, quality_model, recompression, segmentations, url_filter
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(60)]
@@ -230,3 +230,49 @@ def test_anchors_depend_on_the_window_alone():
         w = text.split()
         names |= {int(n) for s, n in zip(starts, name, strict=True) if w[s : s + 35] == window}
     assert len(names) == 1
+
+
+def small_vocabulary():
+    return segmentations.Vocabulary(["▁a", "ab", "b", "a", "ba", "c", "▁"], list(range(256, 512)), 512)
+
+
+def all_segmentations(vocabulary, text):
+    if not text:
+        return [((), 1.0)]
+    heads = [n for n in range(1, len(text) + 1) if text[:n] in vocabulary.ids]
+    return [((vocabulary.ids[text[:n]], *tail), vocabulary.weights[text[:n]] * w) for n in heads for tail, w in all_segmentations(vocabulary, text[n:])]
+
+
+def test_segmentations_follow_the_law():
+    """First and second samples against the enumerated law of sampling without replacement; inclusion scores."""
+    v, text, n = small_vocabulary(), "aba bab", 6000
+    listed = all_segmentations(v, v.marked(text))
+    law = {p: w / sum(w for _, w in listed) for p, w in listed}
+    second = {p: sum(law[a] * law[p] / (1 - law[a]) for a in law if a != p) for p in law}
+    firsts, seconds, sums = Counter(), Counter(), []
+    for got in segmentations.Sampler(v, 3, 5).sample(list(range(n)), [text] * n):
+        ids = [tuple(s[0].tolist()) for s in got]
+        assert len(set(ids)) == 3 and [s[2] for s in got] == sorted((s[2] for s in got), reverse=True)
+        assert all(abs(math.exp(s[1]) - law[i]) < 1e-9 for i, s in zip(ids, got, strict=True)) and v.decode(got[2][0]) == text
+        firsts[ids[0]] += 1
+        seconds[ids[1]] += 1
+        sums.append(sum(math.exp(s[1] - s[3]) for s in got))
+    for counts, want in ((firsts, law), (seconds, second)):
+        assert sum((counts[p] - n * q) ** 2 / (n * q) for p, q in want.items()) < 40  # 14 degrees of freedom
+    assert abs(np.mean(sums) - 1) < 0.03  # weights by inclusion estimate the total probability without bias
+    few = next(segmentations.Sampler(v, 9).sample([1], ["ab"]))
+    assert len(few) == len(all_segmentations(v, "▁ab")) and all(s[3] == 0 for s in few)
+
+
+def test_segmentations_round_trip(spark, docs, empty):
+    odd = ["", " ", "▁ ▁a", "日本 x\x00\n\n  é", "x" * 5000, "\U0001f600" * 300, "a\tb,c;;d  e "]
+    frame = spark.createDataFrame([(100 + i, t, 0, True) for i, t in enumerate(odd)], SCHEMA)
+    for source in (docs, frame):
+        texts = {r["doc_id"]: {x["text"] or "" for x in source.collect() if x["doc_id"] == r["doc_id"]} for r in source.collect()}
+        rows = segmentations.sample_segmentations(source).withColumn("decoded", segmentations.decode_pieces("ids")).collect()
+        assert all(r["decoded"] in texts[r["doc_id"]] and r["log_inclusion"] <= 0 for r in rows)
+        assert {r["doc_id"] for r in rows} == set(texts)
+    again = segmentations.sample_segmentations(docs.repartition(3)).collect()
+    first = segmentations.sample_segmentations(docs.coalesce(1)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, first))
+    assert segmentations.sample_segmentations(empty).count() == 0
