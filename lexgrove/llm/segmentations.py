@@ -39,7 +39,7 @@ SAMPLES = 4
 TEMPERATURE = 1.0
 SEED = 20
 #: Characters that are segmented at once, and characters of the chunks kept by a worker.
-SLAB, MEMO = 1_000_000, 3_000_000
+SLAB, MEMO = 500_000, 1_500_000
 SPACE = "▁"
 #: Stands for a space mark that is part of the text itself; no valid text holds this code point.
 _LITERAL = "\udfff"
@@ -66,9 +66,7 @@ class Vocabulary:
         self.weights = {p: (i + 1) ** -temperature for i, p in enumerate(pieces)}
         self.ids = {p: first + i for i, p in enumerate(pieces)}
         self.byte_weight = (len(pieces) + 1) ** -temperature
-        #: (id, weight) of a piece; () of what only begins a piece
-        self.found: dict[str, tuple] = {p[:n]: () for p in pieces for n in range(1, len(p))}
-        self.found |= {p: (self.ids[p], self.weights[p]) for p in pieces}
+        self._plant()
         self.chunk = re.compile(self._chunk_pattern())
         self.bytes_of = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
@@ -106,53 +104,78 @@ class Vocabulary:
     def marked(self, text: str) -> str:
         return SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE) if text else ""
 
-    def lattice(self, chunk: str, first: int, degrees: list[int], ids: list[int], targets: list[int], shares: list[float]) -> int:
-        """Appends a chunk's nodes and edges, from its last character to its first; gives the node it starts at.
-
-        Nodes are the characters, from `first` on, then the bytes after the first one of a character, which have one edge
-        each; the end is the target -1. Shares are not yet divided by their node's sum.
+    def _plant(self) -> None:
+        """The pieces as a trie: sorted keys state << 21 | character, the state each leads to, and the states' pieces."""
+        step: dict[int, int] = {}
+        ends = {0: -1}
+        for n, piece in enumerate(self.pieces):
+            state = 0
+            for c in piece:
+                state = step.setdefault(state << 21 | ord(c), len(step) + 1)
+                ends.setdefault(state, -1)
+            ends[state] = n
+        self.keys = np.array(sorted(step), np.int64)
+        self.leads = np.array([step[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.array([ends[i] for i in range(len(step) + 1)], np.int64)
+        self.log_weight = np.log([self.weights[p] for p in self.pieces])
+
+    def lattices(self, chunks: list[str], base: int) -> tuple[np.ndarray, ...]:
+        """Degrees of the nodes, and ids, targets and probabilities of the edges, of all the chunks at once.
+
+        Nodes are the characters, from `base` on, then the bytes after the first one of a character, which have one edge
+        each; the end of a chunk is the target -1.
         """
-        size, get = len(chunk), self.found.get
-        top, extra = first + size - 1, []
-        below = [1.0] * (size + 1)  # backward sums, to be multiplied by exp(scale)
-        scale = [0.0] * (size + 1) if size > 50 else None
-        for i in range(size - 1, -1, -1):
-            total, n, j = 0.0, len(ids), i + 1
-            while j <= size:
-                hit = get(chunk[i:j])
-                if hit is None:
-                    break
-                if hit:
-                    w = hit[1] * below[j]
-                    if scale and scale[j] != scale[i + 1]:
-                        w *= math.exp(scale[j] - scale[i + 1])
-                    ids.append(hit[0])
-                    targets.append(top - j if j < size else -1)
-                    shares.append(w)
-                    total += w
-                j += 1
-            if not get(chunk[i]):
-                raw = (SPACE if chunk[i] == _LITERAL else chunk[i]).encode()
-                w, target = self.byte_weight ** len(raw) * below[i + 1], top - i - 1 if i + 1 < size else -1
-                for b in raw[:0:-1]:
-                    extra.append((self.byte_ids[b], target))
-                    target = top + len(extra)
-                ids.append(self.byte_ids[raw[0]])
-                targets.append(target)
-                shares.append(w)
-                total += w
-            degrees.append(len(ids) - n)
-            below[i] = total
-            if scale:
-                scale[i] = scale[i + 1]
-                if total < 1e-100:
-                    below[i], scale[i] = 1.0, scale[i] + math.log(total)
-        for a, target in extra:
-            degrees.append(1)
-            ids.append(a)
-            targets.append(target)
-            shares.append(1.0)
-        return top
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes, total = np.array([len(c) for c in chunks], np.int64), len(code)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)  # characters up to the chunk's end
+        at, state, length, single = np.arange(total), np.zeros(total, np.int64), 1, np.zeros(total, bool)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(at):
+            key = state << 21 | code[at + length - 1]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[i] == key
+            at, state = at[hit], self.leads[i[hit]]
+            piece = self.ends[state]
+            whole = piece >= 0
+            found.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
+            if length == 1:
+                single[at[whole]] = True
+            more = left[at] > length
+            at, state, length = at[more], state[more], length + 1
+        lone = np.flatnonzero(~single)
+        raws = [(SPACE if c == _LITERAL else c).encode() for c in map(chr, code[lone].tolist())]
+        found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), -1)))
+        source, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        log = np.where(piece >= 0, self.log_weight[piece], 0.0)
+        log[len(log) - len(lone) :] = math.log(self.byte_weight) * np.array([len(r) for r in raws], float)
+        ids = np.where(piece >= 0, self.first + piece, 0)
+        ids[len(ids) - len(lone) :] = [self.byte_ids[r[0]] for r in raws]
+        is_end = left[source] == length
+        target = np.where(is_end, -1, base + source + length)
+        extra_ids, extra_targets = [], []
+        for e, raw in zip(range(len(ids) - len(lone), len(ids)), raws, strict=True):
+            for b in raw[:0:-1]:
+                extra_ids.append(self.byte_ids[b])
+                extra_targets.append(int(target[e]))
+                target[e] = base + total + len(extra_ids) - 1
+        # backward sums, for all nodes with one character left, then with two, and so on
+        order = np.lexsort((source, left[source]))
+        log, source, ids, target, length, is_end = log[order], source[order], ids[order], target[order], length[order], is_end[order]
+        heads = np.flatnonzero(np.diff(source, prepend=-1))
+        rows = np.flatnonzero(np.diff(left[source[heads]], prepend=0))
+        below, limits = np.zeros(total + 1), [*heads[rows].tolist(), len(source)]
+        after = np.where(is_end, total, source + length)
+        for a, b, h in zip(limits[:-1], limits[1:], np.split(heads, rows[1:]), strict=True):
+            v = log[a:b] + below[after[a:b]]
+            peak, many = np.maximum.reduceat(v, h - a), np.diff(h, append=b)
+            v = np.exp(v - np.repeat(peak, many))
+            sums = np.add.reduceat(v, h - a)
+            below[source[h]] = peak + np.log(sums)
+            log[a:b] = v / np.repeat(sums, many)
+        order = np.argsort(source, kind="stable")
+        degrees = np.concatenate([np.bincount(source, minlength=total), np.ones(len(extra_ids), np.int64)])
+        join = lambda x, y: np.concatenate([x[order], np.array(y, x.dtype)])
+        return degrees, join(ids, extra_ids), join(target, extra_targets), join(log, [1.0] * len(extra_ids))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join([self.bytes_of[i] for i in ids.tolist()])[1:].decode()
@@ -167,29 +190,30 @@ class _Table:
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.root, self.held, self.nodes, self.edges = vocabulary, {}, 0, 0, 0
+        self.vocabulary, self.root, self.held, self.nodes, self.edges, self.fresh = vocabulary, {}, 0, 0, 0, 0
+        self.new: list[str] = []
         self.buffers = {n: np.zeros(1 << 16, t) for n, t in (("start", np.int64), ("ids", np.uint32), ("target", np.int32), ("logs", float), ("ladder", float), ("rest", float))}
-        self.new: tuple[list, ...] = ([], [], [], [])
 
     def node_of(self, chunk: str) -> int:
         found = self.root.get(chunk)
         if found is None:
-            found = self.root[chunk] = self.vocabulary.lattice(chunk, self.nodes + len(self.new[0]), *self.new)
-            self.held += len(chunk)
+            found = self.root[chunk] = self.nodes + self.fresh
+            self.new.append(chunk)
+            self.fresh += len(chunk)
         return found
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         buffer = self.buffers[name]
         if at + len(values) > len(buffer):
-            self.buffers[name] = np.concatenate([buffer[:at], np.zeros(at + 2 * len(values), buffer.dtype)])
+            self.buffers[name] = np.concatenate([buffer[:at], np.zeros(at // 2 + len(values), buffer.dtype)])
         self.buffers[name][at : at + len(values)] = values
 
     def flush(self) -> None:
         """Joins the new chunks to the arrays."""
-        degrees, shares = np.array(self.new[0], np.int64), np.array(self.new[3], float)
+        if not self.new:
+            return
+        degrees, ids, targets, shares = self.vocabulary.lattices(self.new, self.nodes)
         ends = np.cumsum(degrees)
-        if len(degrees):
-            shares /= np.repeat(np.add.reduceat(shares, ends - degrees), degrees)
         before = np.concatenate([[0.0], np.cumsum(shares)])
         sums = before[1:] - np.repeat(before[ends - degrees], degrees)
         sums[ends - 1] = 1.0
@@ -197,12 +221,13 @@ class _Table:
         with np.errstate(divide="ignore"):
             rest = np.where(single, -np.inf, np.log(np.maximum(1 - shares, 2.0**-53)))
         self._put("start", self.nodes + 1, self.edges + ends)
-        self._put("ids", self.edges, np.array(self.new[1], np.uint32))
-        self._put("target", self.edges, np.array(self.new[2], np.int32))
+        self._put("ids", self.edges, ids)
+        self._put("target", self.edges, targets)
         self._put("logs", self.edges, np.log(np.maximum(shares, 1e-300)))
         self._put("ladder", self.edges, np.minimum(sums, 1.0) + np.repeat(np.arange(self.nodes, self.nodes + len(degrees)), degrees))
         self._put("rest", self.edges, rest)
-        self.nodes, self.edges, self.new = self.nodes + len(degrees), self.edges + len(shares), ([], [], [], [])
+        self.held += self.fresh
+        self.nodes, self.edges, self.new, self.fresh = self.nodes + len(degrees), self.edges + len(shares), [], 0
 
 
 class _Slab:
@@ -222,7 +247,9 @@ class _Slab:
         place = np.arange(len(occ)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         base = _mix(np.repeat(keys, np.diff(self.bounds)) + _GOLD * (place.astype(np.uint64) + np.uint64(1)))
         walk = _mix(np.concatenate([base + np.array([977 + j], np.uint64) * _GOLD for j in range(k)]))
-        node, active, edges, owners = np.tile(occ, k), np.arange(len(walk)), [], []
+        # walks in the order of their chunks: a search then starts near the place of the one before
+        order = np.argsort(occ, kind="stable")
+        node, active, edges, owners = np.repeat(occ[order], k), (order[:, None] + len(occ) * np.arange(k)).ravel(), [], []
         lengths, step = np.zeros(len(walk), np.int64), 0
         while len(active):
             u = _unit(_mix(walk[active] + np.array([step], np.uint64) * _GOLD))
