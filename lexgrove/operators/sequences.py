@@ -83,22 +83,22 @@ def predicted_spans(rows: DataFrame, tag: str) -> DataFrame:
     return spans(with_runs(rows, tag), flag=F.col(tag) != "O", kind=F.when(F.col(tag) != "O", F.col(tag)))
 
 
-def neighbour_features(rows: DataFrame) -> DataFrame:
-    """The tokens and tags before and after, with marks at the ends of a sentence, and two joint features."""
+def neighbour_features(rows: DataFrame, *others: str) -> DataFrame:
+    """The tokens and tags before and after, with marks at the ends of a sentence, and two joint features; others stay."""
     w = in_order()
-    out = rows.select(*SENTENCE, "tok_id", F.col("token").alias("word"), "pos", F.lag("token", 1, "<START>").over(w).alias("prevword"), F.lead("token", 1, "<END>").over(w).alias("nextword"), F.lag("pos", 1, "<START>").over(w).alias("prevpos"), F.lead("pos", 1, "<END>").over(w).alias("nextpos"))
+    out = rows.select(*SENTENCE, "tok_id", F.col("token").alias("word"), "pos", F.lag("token", 1, "<START>").over(w).alias("prevword"), F.lead("token", 1, "<END>").over(w).alias("nextword"), F.lag("pos", 1, "<START>").over(w).alias("prevpos"), F.lead("pos", 1, "<END>").over(w).alias("nextpos"), *others)
     return out.withColumn("prevpos_pos", F.concat_ws("+", "prevpos", "pos")).withColumn("pos_nextpos", F.concat_ws("+", "pos", "nextpos"))
 
 
-def tags_since_determiner(rows: DataFrame) -> DataFrame:
+def tags_since_determiner(rows: DataFrame, *others: str) -> DataFrame:
     """For each token the tags since the last DT before it, sorted and joined by +.
 
-    A determiner starts a segment; within a segment the set of earlier tags is a running collect_set.
+    A determiner starts a segment; within a segment the set of earlier tags is a running collect_set. Others stay.
     """
     w = in_order()
     segment = F.coalesce(F.sum((F.col("pos") == "DT").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = Window.partitionBy(*SENTENCE, "_g").orderBy("tok_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_g", segment).select(*SENTENCE, "tok_id", "pos", F.array_join(F.sort_array(F.collect_set("pos").over(inside)), "+").alias("tags_since_dt"))
+    return rows.withColumn("_g", segment).select(*SENTENCE, "tok_id", "pos", F.array_join(F.sort_array(F.collect_set("pos").over(inside)), "+").alias("tags_since_dt"), *others)
 
 
 def sentence_sequences(rows: DataFrame) -> DataFrame:
