@@ -12,8 +12,6 @@ from pyspark.sql.window import Window
 
 TYPES = ("LOC", "MISC", "ORG", "PER")
 SENTENCE = ("doc_id", "sent_id")
-#: Tokens that an entity of the synthetic annotation has at most.
-ENTITY_TOKENS = 3
 
 
 def sentences(docs: DataFrame, text: str = "text", *others: str) -> DataFrame:
@@ -51,17 +49,14 @@ def with_runs(rows: DataFrame, value: str, name: str = "run_id", keys: tuple[str
 
 
 def annotated(docs: DataFrame) -> DataFrame:
-    """doc_id, source, sent_id, tok_id, token, pos, ner."""
+    """doc_id, source, sent_id, tok_id, token, pos, ner. A whole run of proper nouns is one entity, typed by its first token.
+
+    Runs are maximal, so no two entities of a sentence touch and none needs a B- tag."""
     rows = with_runs(tokens(docs, "source").withColumn("pos", part_of_speech(F.col("token"))), "pos")
     run = Window.partitionBy(*SENTENCE, "run_id").orderBy("tok_id")
-    rows = rows.withColumn("at", F.row_number().over(run) - 1)
-    entity = Window.partitionBy(*SENTENCE, "run_id", F.floor(F.col("at") / ENTITY_TOKENS)).orderBy("tok_id")
     turn = F.when(F.col("source") == "src0", 1).otherwise(0)
-    kind = F.element_at(F.array(*map(F.lit, TYPES)), ((F.ascii(F.first("token").over(entity)) + turn) % 4 + 1).cast("int"))
-    rows = rows.withColumn("kind", F.when(F.col("pos") == "NNP", kind))
-    before = F.lag("kind").over(in_order())
-    begins = (F.col("at") % ENTITY_TOKENS == 0) & before.eqNullSafe(F.col("kind"))
-    ner = F.when(F.col("kind").isNull(), "O").when(begins, F.concat(F.lit("B-"), F.col("kind"))).otherwise(F.concat(F.lit("I-"), F.col("kind")))
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), ((F.ascii(F.first("token").over(run)) + turn) % 4 + 1).cast("int"))
+    ner = F.when(F.col("pos") == "NNP", F.concat(F.lit("I-"), kind)).otherwise("O")
     return rows.withColumn("ner", ner).select("doc_id", "source", "sent_id", "tok_id", "token", "pos", "ner")
 
 
