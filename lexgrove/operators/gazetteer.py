@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexgrove.functions import surface
 from lexgrove.operators.annotations import SENTENCE
 
-#: Phrases that the containment filter and the tagger compare token by token; longer ones are left out of both.
-MAX_TOKENS = 8
-
 
 def phrases(rows: DataFrame, lowercase: bool = False) -> DataFrame:
     """phrase (tokens joined by a blank), n_tokens, kind, n: the distinct typed phrases of entities (entity_id, ner)."""
@@ -28,16 +24,25 @@ def unambiguous(typed: DataFrame, compat: bool = False) -> DataFrame:
     return (by if compat else by.filter("kinds = 1")).drop("kinds")
 
 
-def sub_phrases(dictionary: DataFrame) -> DataFrame:
-    """The distinct proper sub-phrases of the dictionary's phrases; at most MAX_TOKENS**2 / 2 for each."""
-    parts = F.split("phrase", " ")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n_tokens") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("n_tokens") - k + 1), lambda i: F.array_join(F.slice(parts, i, k), " "))))
-    return dictionary.filter((F.col("n_tokens") > 1) & (F.col("n_tokens") <= MAX_TOKENS)).select(F.explode(spans).alias("phrase")).distinct()
+def occurrences(sequences: DataFrame, keys: list[str], dictionary: DataFrame) -> DataFrame:
+    """keys, start, n_tokens, phrase, kind: where a dictionary phrase occurs in sequences (keys, toks), of any length.
+
+    Places meet the distinct phrase lengths of their first token; the slices of these lengths meet the phrases. So the
+    tokens are copied once for a place and length, not for a place and phrase."""
+    known = dictionary.withColumn("parts", F.split("phrase", " "))
+    sizes = known.select(F.col("parts")[0].alias("first"), F.size("parts").alias("_n")).distinct()
+    places = sequences.select(*keys, F.size("toks").alias("_size"), F.posexplode("toks").alias("start", "first"))
+    spans = places.join(sizes, "first").filter(F.col("start") + F.col("_n") <= F.col("_size")).groupBy(*keys).agg(F.collect_list(F.struct("start", "_n")).alias("_at"))
+    cut = sequences.join(spans, keys).select(*keys, "toks", F.explode("_at").alias("_x"))
+    cut = cut.select(*keys, F.col("_x.start").alias("start"), F.slice("toks", F.col("_x.start") + 1, F.col("_x._n")).alias("parts"))
+    return cut.join(known, "parts").select(*keys, "start", "n_tokens", "phrase", "kind")
 
 
 def maximal(dictionary: DataFrame) -> DataFrame:
-    """Phrases that no other phrase contains as a run of tokens: an equi anti-join, no comparison of all pairs."""
-    return dictionary.filter(F.col("n_tokens") <= MAX_TOKENS).join(sub_phrases(dictionary), "phrase", "left_anti")
+    """Phrases that no other phrase contains as a run of tokens: found at their places in longer ones, no comparison of all pairs."""
+    longer = dictionary.filter("n_tokens > 1").select(F.col("phrase").alias("whole"), F.split("phrase", " ").alias("toks"))
+    inner = occurrences(longer, ["whole"], dictionary).filter("phrase <> whole").select("phrase").distinct()
+    return dictionary.join(inner, "phrase", "left_anti")
 
 
 def maximal_by_characters(dictionary: DataFrame) -> DataFrame:
@@ -49,10 +54,10 @@ def maximal_by_characters(dictionary: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, dictionary: DataFrame, lowercase: bool = False) -> DataFrame:
     """doc_id, sent_id, start, n_tokens, kind: where a dictionary phrase occurs. Tokens meet phrases on the first token."""
     token = F.lower("token") if lowercase else F.col("token")
-    w = Window.partitionBy(*SENTENCE).orderBy("tok_id").rowsBetween(0, MAX_TOKENS - 1)
-    ahead = rows.select(*SENTENCE, F.col("tok_id").alias("start"), token.alias("first")).withColumn("ahead", F.collect_list("first").over(w.orderBy("start")))
-    known = dictionary.select(F.split("phrase", " ")[0].alias("first"), F.split("phrase", " ").alias("parts"), "n_tokens", "kind")
-    return ahead.join(known, "first").filter(F.slice("ahead", 1, F.col("n_tokens")) == F.col("parts")).select(*SENTENCE, "start", "n_tokens", "kind")
+    ordered = F.sort_array(F.collect_list(F.struct("tok_id", token.alias("token"))))
+    whole = rows.groupBy(*SENTENCE).agg(ordered.alias("o")).select(*SENTENCE, F.transform("o", lambda x: x["token"]).alias("toks"), F.col("o")[0]["tok_id"].alias("_base"))
+    found = occurrences(whole, [*SENTENCE, "_base"], dictionary)
+    return found.select(*SENTENCE, (F.col("start") + F.col("_base")).alias("start"), "n_tokens", "kind")
 
 
 def accepted(found: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def gazetteer_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gazetteer_longest", _PHRASES + " SELECT phrase, n_tokens, kind FROM longest")
 def gazetteer_longest(spark: SparkSession, sf: str) -> DataFrame:
-    """Phrases of up to eight tokens that no other phrase contains."""
+    """Phrases that no other phrase contains."""
     return gazetteer.maximal(_dictionary(spark, sf))
 
 
