@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,30 +51,54 @@ def edges(rows: DataFrame, window: int = 2) -> DataFrame:
     return pairs.groupBy("doc_id", "src", "dst").agg(F.count("*").alias("weight"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; sets a folder of its own only where none is."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexgrove-checkpoints-"))
-    return df.checkpoint()
+#: Documents of an Arrow batch: their graphs are iterated together.
+GRAPHS = 256
 
 
-def page_rank(vertices: DataFrame, links: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 2) -> DataFrame:
+def page_rank(vertices: DataFrame, links: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """doc_id, node, rank: weighted rank within each document; the mass of nodes without links goes to all.
 
-    A round reads the ranks three times, so the plan is cut every cut_every rounds."""
-    out = links.join(links.groupBy("doc_id", "src").agg(F.sum("weight").alias("_w")), ["doc_id", "src"]).select("doc_id", F.col("src").alias("node"), "dst", (F.col("weight") / F.col("_w")).alias("share"))
-    sizes = vertices.groupBy("doc_id").agg(F.count("*").alias("n"))
-    base = vertices.join(sizes, "doc_id").join(links.select("doc_id", F.col("src").alias("node"), F.lit(1).alias("linked")).distinct(), ["doc_id", "node"], "left")
-    rank = base.select("doc_id", "node", "n", "linked", (1.0 / F.col("n")).alias("rank"))
-    for i in range(rounds):
-        lost = rank.groupBy("doc_id").agg(F.sum(F.when(F.col("linked").isNull(), F.col("rank")).otherwise(0.0)).alias("_lost"))
-        got = rank.join(out, ["doc_id", "node"]).groupBy("doc_id", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("_got"))
-        rank = rank.drop("rank").join(got, ["doc_id", "node"], "left").join(lost, "doc_id")
-        rank = rank.select("doc_id", "node", "n", "linked", ((1 - damping) / F.col("n") + damping * (F.coalesce("_got", F.lit(0.0)) + F.col("_lost") / F.col("n"))).alias("rank"))
-        if i % cut_every == cut_every - 1 and i < rounds - 1:
-            rank = checkpointed(rank)
-    return rank.select("doc_id", "node", "rank")
+    Each document stops once its ranks changed by less than tolerance times its nodes in a round, or after all rounds.
+    A document's graph is one row, so the rounds need no shuffle; the graphs of a batch are iterated at once."""
+    arcs = links.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", F.col("weight").cast("double").alias("weight")))).alias("arcs"))
+    graphs = vertices.groupBy("doc_id").agg(F.sort_array(F.collect_set("node")).alias("nodes")).join(arcs, "doc_id", "left")
+    graphs = graphs.select("doc_id", "nodes", *(F.coalesce(F.col(f"arcs.{c}"), F.expr(f"cast(array() as array<{t}>)")).alias(c) for c, t in (("src", "string"), ("dst", "string"), ("weight", "double"))))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, GRAPHS):
+                batch = whole.slice(at, GRAPHS)
+                ranks = _converged(batch.column("nodes").to_pylist(), *(batch.column(c).to_pylist() for c in ("src", "dst", "weight")), rounds, damping, tolerance)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("nodes"), pa.array(ranks, pa.list_(pa.float64()))], ["doc_id", "nodes", "ranks"])
+
+    id_type = vertices.schema["doc_id"].dataType.simpleString()
+    out = graphs.mapInArrow(ranked, f"doc_id {id_type}, nodes array<string>, ranks array<double>")
+    return out.select("doc_id", F.explode(F.arrays_zip("nodes", "ranks")).alias("x")).select("doc_id", F.col("x.nodes").alias("node"), F.col("x.ranks").alias("rank"))
+
+
+def _converged(nodes: list, src: list, dst: list, weight: list, rounds: int, damping: float, tolerance: float) -> list[list[float]]:
+    """The ranks of each graph's nodes, by power iteration over all graphs; a graph's ranks stay once it has converged."""
+    sizes = np.array([len(x) for x in nodes])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    total, owner = int(first[-1]), np.repeat(np.arange(len(nodes)), sizes)
+    a, b = [], []
+    for i, names in enumerate(nodes):
+        index = dict(zip(names, range(int(first[i]), int(first[i + 1])), strict=True))
+        a += [index[x] for x in src[i]]
+        b += [index[x] for x in dst[i]]
+    a, b, w = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array([x for ws in weight for x in ws], dtype=np.float64)
+    out = np.bincount(a, w, total)
+    share, dangling, n = w / out[a], out == 0, sizes[owner]
+    rank, live = 1.0 / n, np.ones(len(nodes), dtype=bool)
+    for _ in range(rounds):
+        lost = np.bincount(owner, rank * dangling, len(nodes))[owner]
+        new = (1 - damping) / n + damping * (np.bincount(b, rank[a] * share, total) + lost / n)
+        change = np.bincount(owner, np.abs(new - rank), len(nodes))
+        rank = np.where(live[owner], new, rank)
+        live &= change >= tolerance * sizes
+        if not live.any():
+            break
+    return [rank[first[i] : first[i + 1]].tolist() for i in range(len(nodes))]
 
 
 def length_normalised(score: Column, length: Column, content: Column) -> Column:

@@ -313,9 +313,9 @@ r{i + 1} AS MATERIALIZED (SELECT doc_id, node, n, linked, 0.15 / n + 0.85 * (coa
 
 @query("textrank_pagerank", _EDGES + _rounds(5) + " SELECT doc_id, node, round(rank, 6) AS rank FROM r5")
 def textrank_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    """Five rounds."""
+    """To the reference's tolerance, in 100 rounds at most."""
     rows = _ann(spark, sf)
-    return scoring.page_rank(scoring.nodes(rows), scoring.edges(rows), 5).withColumn("rank", F.round("rank", 6))
+    return scoring.page_rank(scoring.nodes(rows), scoring.edges(rows)).withColumn("rank", F.round("rank", 6))
 
 
 @query("textrank_phrase_score", _EDGES + _rounds(3) + ", runs AS (" + _RUNS.format(v="regexp_matches(pos, '^[CDJNP]')") + """), np AS (SELECT doc_id, sent_id, start, n_tokens FROM runs WHERE v),
@@ -325,7 +325,7 @@ SELECT doc_id, sent_id, start, round(raw, 5) AS raw, round(sqrt(raw / (l + k)) *
 def textrank_phrase_score(spark: SparkSession, sf: str) -> DataFrame:
     """X12, X13."""
     rows = _ann(spark, sf)
-    ranks = scoring.page_rank(scoring.nodes(rows), scoring.edges(rows), 3)
+    ranks = scoring.page_rank(scoring.nodes(rows), scoring.edges(rows))
     marked = A.with_runs(rows.withColumn("_np", F.col("pos").rlike(sequences.NOUN_PHRASE)), "_np").filter("_np")
     starts = marked.groupBy("doc_id", "sent_id", "run_id").agg(F.min("tok_id").alias("start"))
     scored = scoring.rank_score(marked.join(starts, ["doc_id", "sent_id", "run_id"]), ranks, ["doc_id", "sent_id", "start"])
