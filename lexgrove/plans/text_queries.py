@@ -348,7 +348,7 @@ def label_index(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT doc_id, sent_id, count(*)::INT AS length, list(coalesce(index, 0)::INT ORDER BY tok_id) AS ids FROM toks LEFT JOIN vocab USING (token) GROUP BY ALL)
 SELECT doc_id, sent_id, length, array_to_string(list_concat(ids[1:32], list_transform(range(greatest(32 - length, 0)), lambda x: 1)), ' ') AS ids FROM s""")
 def padded_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """Vocabulary of the training split, 32 indices a sentence."""
+    """Vocabulary of the training split; whole sentences, padded by document to 32 indices at least."""
     rows = A.tokens(table(spark, sf, "documents"))
     out = models.index_sequences(rows, models.vocabulary(_part(rows, "train")), 32)
     return out.select("doc_id", "sent_id", "length", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
