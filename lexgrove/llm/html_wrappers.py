@@ -41,6 +41,7 @@ BOILER_WORD = re.compile(
 )
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 MAIN_WORD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|body|text)(?=$|[\s_-])", re.I)
+HEADING = re.compile(r"h[1-6]")
 SPACES = re.compile(r"\s+")
 
 
@@ -116,7 +117,9 @@ def key_of(tag: str, attributes: str) -> str:
     if not found:
         return tag
     parts = [f"{k}={re.sub(r'[0-9]+', '0', v)[:80]}" for k, v in sorted(found.items())]
-    return f"{tag}[{';'.join(parts)}]"
+    key = f"{tag}[{';'.join(parts)}]"
+    cut = not is_boiler(key) and any(tells_boiler(tag, k, v) for k, v in found.items())  # by what the key leaves out
+    return f"{key[:-1]};boiler]" if cut else key
 
 
 def read(page: str) -> Iterator[tuple[str, str]]:
@@ -151,13 +154,20 @@ def tag_of(key: str) -> str:
     return key.partition("[")[0]
 
 
+def tells_boiler(tag: str, name: str, value: str) -> bool:
+    """Whether an attribute marks boiler; "boiler" is the mark of a key whose whole values do."""
+    if name in ("class", "id"):
+        return tag not in ("article", "main", "body", "html") and BOILER_WORD.search(value) is not None
+    return (name == "role" and value in BOILER_ROLES) or name in ("hidden", "boiler") or (name == "aria-hidden" and value == "true")
+
+
 def is_boiler(key: str) -> bool:
     tag, _, attributes = key.partition("[")
     if tag in BOILER_TAGS:
         return True
     for part in attributes.rstrip("]").split(";") if attributes else ():
         name, _, value = part.partition("=")
-        if (name in ("class", "id") and BOILER_WORD.search(value) and tag not in ("article", "main", "body", "html")) or (name == "role" and value in BOILER_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if tells_boiler(tag, name, value):
             return True
     return False
 
@@ -239,24 +249,25 @@ def page_wrapper(page: str) -> Node:
 
 
 def main_slots(wrapper: Node) -> list[list[str]]:
-    """Paths of the elements whose text is the page's main text: named as such, else the densest by text of its own."""
+    """Paths of the elements whose text is the page's main text: named as such, else the smallest that holds all that varies."""
     named: list[list[str]] = []
 
-    def look(n: Node, path: list[str]) -> None:
+    def look(n: Node, path: list[str]) -> int:
+        """Adds the named elements in n; the characters of its text that they hold. An outer one stands unless inner ones hold all."""
+        held = 0
         for c in n.children:
             if is_boiler(c.key):
                 continue
-            if is_main(c.key) and total(c)[0]:
-                inner = len(named)
-                look(c, [*path, c.key])
-                if len(named) == inner:
-                    named.append([*path, c.key])
-            else:
-                look(c, [*path, c.key])
+            before, own, whole = len(named), [*path, c.key], total(c)[0]
+            inner = look(c, own)
+            if is_main(c.key) and inner < whole:
+                named[before:], inner = [own], whole
+            held += inner
+        return held
 
     def total(n: Node) -> tuple[int, int]:
-        """Characters outside links that vary, and in links, without what is boiler."""
-        varies = n.size - n.links if not (n.pages >= 3 and n.text not in (None, "\0") and not n.repeated) else 0
+        """Characters outside links (in headings, all) that vary, and in links, without what is boiler."""
+        varies = n.size - n.links * (not HEADING.fullmatch(tag_of(n.key))) if not (n.pages >= 3 and n.text not in (None, "\0") and not n.repeated) else 0
         parts = [total(c) for c in n.children if not is_boiler(c.key)]
         return varies + sum(p[0] for p in parts), n.links + sum(p[1] for p in parts)
 
@@ -264,11 +275,11 @@ def main_slots(wrapper: Node) -> list[list[str]]:
     if named:
         return [list(x) for x in dict.fromkeys(map(tuple, named))]
     n, path = wrapper, []
-    while True:  # down while one child holds nearly all of the text
+    while True:  # down while one child holds all of the text
         rest = [(total(c), c) for c in n.children if not is_boiler(c.key)]
         whole = total(n)[0]
         best = max(rest, key=lambda p: p[0][0] * (1 + 0.2 * bool(MAIN_WORD.search(p[1].key))) - p[0][1], default=None)
-        if best is None or not whole or best[0][0] < 0.6 * whole or tag_of(best[1].key) in ("p", "li", "td", "h1", "h2", "h3", "pre", "blockquote") or best[1].repeated:
+        if best is None or not whole or best[0][0] < whole or tag_of(best[1].key) in ("p", "li", "td", "h1", "h2", "h3", "pre", "blockquote") or best[1].repeated:
             return [path]
         n, path = best[1], [*path, best[1].key]
 
