@@ -57,15 +57,17 @@ def k_means(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=20).fit(data).transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-def elbow(rows: DataFrame, k_max: int = 10, step: int = 3, threshold: float = 80.0, seed: int = 42) -> DataFrame:
-    """k, within, explained, chosen: the first k that explains more than the threshold, else the last."""
+def elbow(rows: DataFrame, k_max: int = 10, step: int = 1, threshold: float = 80.0, seed: int = 42) -> DataFrame:
+    """k, within, explained, chosen, passed: the first k that explains more than the threshold, else the last; passed tells
+    whether a k does. One cluster needs no search: its cost is the total."""
     data = rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
-    costs = [(k, float(KMeans(k=k, seed=seed, maxIter=20).fit(data).summary.trainingCost)) for k in range(1, k_max + 1, step)]
+    total = float(variance_explained(rows.withColumn("_one", F.lit(1)), "_one").first()["total"] or 0.0)
+    costs = [(k, float(KMeans(k=k, seed=seed, maxIter=20).fit(data).summary.trainingCost) if k > 1 else total) for k in range(1, k_max + 1, step)]
     data.unpersist()
-    total = costs[0][1]
     shares = [(k, c, 100 * (1 - c / total) if total else 100.0) for k, c in costs]
-    pick = next((k for k, _, s in shares if s > threshold), shares[-1][0])
-    return rows.sparkSession.createDataFrame([(k, c, s, k == pick) for k, c, s in shares], "k int, within double, explained double, chosen boolean")
+    first = next((k for k, _, s in shares if s > threshold), None)
+    pick = shares[-1][0] if first is None else first
+    return rows.sparkSession.createDataFrame([(k, c, s, k == pick, first is not None) for k, c, s in shares], "k int, within double, explained double, chosen boolean, passed boolean")
 
 
 def cluster_sample(rows: DataFrame, cluster: str, most: int = 10, seed: int = 42) -> DataFrame:
