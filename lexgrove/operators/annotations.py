@@ -73,7 +73,5 @@ pos_ AS (SELECT *, CASE WHEN regexp_matches(token, '^[0-9]') THEN 'CD' WHEN lowe
   WHEN regexp_matches(token, '^\p{Lu}') THEN 'NNP' WHEN lower(token) LIKE '%ing' OR lower(token) LIKE '%ed' THEN 'VB' ELSE 'NN' END AS pos FROM toks),
 new_ AS (SELECT *, CASE WHEN lag(pos) OVER w IS NOT DISTINCT FROM pos THEN 0 ELSE 1 END AS new_run FROM pos_ WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY tok_id)),
 run_ AS (SELECT *, sum(new_run) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS run_id FROM new_),
-at_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id, run_id ORDER BY tok_id) - 1 AS place FROM run_),
-kind_ AS (SELECT *, CASE WHEN pos = 'NNP' THEN ['LOC', 'MISC', 'ORG', 'PER'][(unicode(first_value(token) OVER (PARTITION BY doc_id, sent_id, run_id, place // 3 ORDER BY tok_id)) + CASE WHEN source = 'src0' THEN 1 ELSE 0 END) % 4 + 1] END AS kind FROM at_),
-ann AS (SELECT doc_id, source, sent_id, tok_id, token, pos, CASE WHEN kind IS NULL THEN 'O'
-  WHEN place % 3 = 0 AND lag(kind) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) IS NOT DISTINCT FROM kind THEN 'B-' || kind ELSE 'I-' || kind END AS ner FROM kind_)"""
+kind_ AS (SELECT *, CASE WHEN pos = 'NNP' THEN ['LOC', 'MISC', 'ORG', 'PER'][(unicode(first_value(token) OVER (PARTITION BY doc_id, sent_id, run_id ORDER BY tok_id)) + CASE WHEN source = 'src0' THEN 1 ELSE 0 END) % 4 + 1] END AS kind FROM run_),
+ann AS (SELECT doc_id, source, sent_id, tok_id, token, pos, CASE WHEN kind IS NULL THEN 'O' ELSE 'I-' || kind END AS ner FROM kind_)"""

@@ -72,8 +72,8 @@ def split_union(spark: SparkSession, sf: str) -> DataFrame:
 
 _PHRASES = _IDS + f""", typed AS (SELECT phrase, n_tokens, kind, count(*) AS n FROM (SELECT doc_id, entity_id, string_agg(token, ' ' ORDER BY tok_id) AS phrase, count(*)::INT AS n_tokens, min(substr(ner, 3)) AS kind FROM ids WHERE entity_id IS NOT NULL AND {_SPLIT} = 'train' GROUP BY ALL) GROUP BY ALL),
 dict_ AS (SELECT phrase, n_tokens, min(kind) AS kind FROM typed GROUP BY ALL HAVING count(DISTINCT kind) = 1),
-subs AS (SELECT DISTINCT array_to_string(list_slice(p, i, i + k - 1), ' ') AS phrase FROM (SELECT string_split(phrase, ' ') AS p, n_tokens FROM dict_ WHERE n_tokens BETWEEN 2 AND 8), range(1, 8) a(k), range(1, 9) b(i) WHERE k < n_tokens AND i <= n_tokens - k + 1),
-longest AS (SELECT * FROM dict_ WHERE n_tokens <= 8 AND phrase NOT IN (SELECT phrase FROM subs))"""
+subs AS (SELECT DISTINCT array_to_string(p[i:j], ' ') AS phrase FROM (SELECT p, n_tokens, j, unnest(range(1, j + 1)) AS i FROM (SELECT string_split(phrase, ' ') AS p, n_tokens, unnest(range(1, n_tokens + 1)) AS j FROM dict_ WHERE n_tokens > 1)) WHERE j - i + 1 < n_tokens),
+longest AS (SELECT * FROM dict_ WHERE phrase NOT IN (SELECT phrase FROM subs))"""
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,10 +104,10 @@ def _tagged(spark: SparkSession, sf: str) -> DataFrame:
     return gazetteer.tagged(test, gazetteer.maximal(_dictionary(spark, sf))).withColumn("gold", surface.normal_tag(F.col("ner")))
 
 
-# entities have at most three tokens, so that within a sentence the chain of candidates is short
+# the recursion walks along a sentence's candidates, one a step
 _TAGGED = _PHRASES.replace("WITH lines_", "WITH RECURSIVE lines_", 1) + f""", test_ AS (SELECT * FROM ids WHERE {_SPLIT} = 'test'),
-ahead AS (SELECT doc_id, sent_id, tok_id, list(token) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS a FROM test_),
-cand AS (SELECT doc_id, sent_id, tok_id AS start, n_tokens, kind FROM ahead JOIN longest ON string_split(phrase, ' ')[1] = a[1] AND array_to_string(a[1:n_tokens], ' ') = phrase),
+whole AS (SELECT doc_id, sent_id, list(token ORDER BY tok_id) AS w FROM test_ GROUP BY ALL),
+cand AS (SELECT t.doc_id, t.sent_id, t.tok_id AS start, n_tokens, kind FROM test_ t JOIN (SELECT *, string_split(phrase, ' ')[1] AS head FROM longest) l ON l.head = t.token JOIN whole s ON s.doc_id = t.doc_id AND s.sent_id = t.sent_id WHERE array_to_string(w[t.tok_id + 1:t.tok_id + n_tokens], ' ') = phrase),
 first_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY start, n_tokens) AS i FROM cand),
 walk AS (SELECT doc_id, sent_id, start, n_tokens, kind, i, true AS taken, start + n_tokens AS free FROM first_ WHERE i = 1
   UNION ALL SELECT f.doc_id, f.sent_id, f.start, f.n_tokens, f.kind, f.i, f.start >= w.free, CASE WHEN f.start >= w.free THEN f.start + f.n_tokens ELSE w.free END FROM walk w JOIN first_ f ON f.doc_id = w.doc_id AND f.sent_id = w.sent_id AND f.i = w.i + 1),
@@ -266,7 +266,7 @@ def median_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.above_median(_scored(spark, sf), "score", "flag").select("phrase_id", "predicted")
 
 
-_CURVE = f"""WITH {_IDF}{_SCORED}, q AS (SELECT quantile_cont(score, 0.25) AS a, quantile_cont(score, 0.75) AS b FROM scored), th AS (SELECT a + k * ((b - a) / 16) AS t FROM q, range(0, 16) r(k)),
+_CURVE = f"""WITH {_IDF}{_SCORED}, q AS (SELECT quantile_cont(score, 0.25) AS a, quantile_cont(score, 0.75) AS b FROM scored), th AS (SELECT a + k * ((b - a) / 64) AS t FROM q, range(0, 64) r(k)),
 c AS (SELECT t, count(*) FILTER (flag AND score >= t - 1e-12) AS said, count(*) FILTER (flag AND target AND score >= t - 1e-12) AS hits, count(*) FILTER (target) AS gold FROM th, scored GROUP BY t),
 pr AS (SELECT t, CASE WHEN said = 0 THEN 0 ELSE hits / said END AS p, CASE WHEN gold = 0 THEN 0 ELSE hits / gold END AS r FROM c),
 curve AS (SELECT round(t, 6) AS threshold, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1_score FROM pr) """
@@ -302,25 +302,28 @@ def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.edges(_ann(spark, sf))
 
 
-def _rounds(n: int) -> str:
-    """SQL of n rounds of the rank, each a common table expression."""
-    out = ", w AS (SELECT doc_id, src, sum(weight) AS w FROM edges GROUP BY ALL), share AS (SELECT doc_id, src, dst, weight / w AS share FROM edges JOIN w USING (doc_id, src)), sizes AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY 1), base AS (SELECT doc_id, node, n, w IS NOT NULL AS linked FROM nodes JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, src AS node, w FROM w) USING (doc_id, node)), r0 AS (SELECT *, 1 / n AS rank FROM base)"
-    for i in range(n):
-        out += f""", g{i} AS MATERIALIZED (SELECT s.doc_id, dst AS node, sum(rank * share) AS got FROM r{i} r JOIN share s ON s.doc_id = r.doc_id AND s.src = r.node GROUP BY ALL), l{i} AS (SELECT doc_id, coalesce(sum(rank) FILTER (NOT linked), 0) AS lost FROM r{i} GROUP BY 1),
-r{i + 1} AS MATERIALIZED (SELECT doc_id, node, n, linked, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM r{i} JOIN l{i} USING (doc_id) LEFT JOIN g{i} USING (doc_id, node))"""
-    return out
+_RANKS = (_EDGES.replace("WITH lines_", "WITH RECURSIVE lines_", 1) + """, w AS (SELECT doc_id, src, sum(weight) AS w FROM edges GROUP BY ALL), share AS MATERIALIZED (SELECT doc_id, src, dst, weight / w AS share FROM edges JOIN w USING (doc_id, src)),
+sizes AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY 1),
+base AS MATERIALIZED (SELECT doc_id, node, n, w IS NOT NULL AS linked FROM nodes JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, src AS node, w FROM w) USING (doc_id, node)),
+step AS (SELECT doc_id, node, n, linked, 1.0::DOUBLE / n AS rank, 0 AS i, true AS live FROM base UNION ALL
+  (WITH got AS (SELECT s.doc_id, s.dst AS node, sum(r.rank * s.share) AS got FROM step r JOIN share s ON s.doc_id = r.doc_id AND s.src = r.node WHERE r.live GROUP BY ALL),
+  lost AS (SELECT doc_id, coalesce(sum(rank) FILTER (NOT linked), 0) AS lost FROM step WHERE live GROUP BY 1),
+  new AS (SELECT r.doc_id, r.node, r.n, r.linked, 0.15 / r.n + 0.85 * (coalesce(got, 0) + lost / r.n) AS rank, r.i + 1 AS i, r.rank AS before FROM step r JOIN lost USING (doc_id) LEFT JOIN got USING (doc_id, node) WHERE r.live AND r.i < 100),
+  more AS (SELECT doc_id, sum(abs(rank - before)) >= 1e-6 * any_value(n) AS live FROM new GROUP BY 1)
+  SELECT doc_id, node, n, linked, rank, i, live FROM new JOIN more USING (doc_id))),
+ranks AS (SELECT doc_id, node, arg_max(rank, i) AS rank FROM step GROUP BY ALL)""")
 
 
-@query("textrank_pagerank", _EDGES + _rounds(5) + " SELECT doc_id, node, round(rank, 6) AS rank FROM r5")
+@query("textrank_pagerank", _RANKS + " SELECT doc_id, node, round(rank, 6) AS rank FROM ranks")
 def textrank_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     """To the reference's tolerance, in 100 rounds at most."""
     rows = _ann(spark, sf)
     return scoring.page_rank(scoring.nodes(rows), scoring.edges(rows)).withColumn("rank", F.round("rank", 6))
 
 
-@query("textrank_phrase_score", _EDGES + _rounds(3) + ", runs AS (" + _RUNS.format(v="regexp_matches(pos, '^[CDJNP]')") + """), np AS (SELECT doc_id, sent_id, start, n_tokens FROM runs WHERE v),
+@query("textrank_phrase_score", _RANKS + ", runs AS (" + _RUNS.format(v="regexp_matches(pos, '^[CDJNP]')") + """), np AS (SELECT doc_id, sent_id, start, n_tokens FROM runs WHERE v),
 t AS (SELECT np.doc_id, np.sent_id, start, lower(token) || '/' || pos AS node FROM np JOIN ann a ON a.doc_id = np.doc_id AND a.sent_id = np.sent_id AND tok_id >= start AND tok_id < start + n_tokens),
-s AS (SELECT doc_id, sent_id, start, coalesce(avg(rank), 0) AS raw, count(*) AS l, count(rank) AS k FROM t LEFT JOIN r3 USING (doc_id, node) GROUP BY ALL)
+s AS (SELECT doc_id, sent_id, start, coalesce(avg(rank), 0) AS raw, count(*) AS l, count(rank) AS k FROM t LEFT JOIN ranks USING (doc_id, node) GROUP BY ALL)
 SELECT doc_id, sent_id, start, round(raw, 5) AS raw, round(sqrt(raw / (l + k)) * l / (l + 2 * k + 1), 5) AS normalised FROM s""")
 def textrank_phrase_score(spark: SparkSession, sf: str) -> DataFrame:
     """X12, X13."""
@@ -345,8 +348,9 @@ def label_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("padded_sequences", A.SQL + """, vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS index FROM toks WHERE doc_id % 10 < 7 GROUP BY token),
-s AS (SELECT doc_id, sent_id, count(*)::INT AS length, list(coalesce(index, 0)::INT ORDER BY tok_id) AS ids FROM toks LEFT JOIN vocab USING (token) GROUP BY ALL)
-SELECT doc_id, sent_id, length, array_to_string(list_concat(ids[1:32], list_transform(range(greatest(32 - length, 0)), lambda x: 1)), ' ') AS ids FROM s""")
+s AS (SELECT doc_id, sent_id, count(*)::INT AS length, list(coalesce(index, 0)::INT ORDER BY tok_id) AS ids FROM toks LEFT JOIN vocab USING (token) GROUP BY ALL),
+b AS (SELECT doc_id, greatest(max(length), 32) AS longest FROM s GROUP BY doc_id)
+SELECT doc_id, sent_id, length, array_to_string(list_concat(ids, list_transform(range(longest - length), lambda x: 1)), ' ') AS ids FROM s JOIN b USING (doc_id)""")
 def padded_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Vocabulary of the training split; whole sentences, padded by document to 32 indices at least."""
     rows = A.tokens(table(spark, sf, "documents"))
