@@ -1,65 +1,56 @@
-"""Exact corpus-wide counts of 64-bit keys, exchanged in compressed blocks.
+"""Corpus-wide counts of 64-bit keys, exchanged in compressed blocks between bundles of documents.
 
-Documents are dealt to chunks of a bounded size by their id. A chunk sends its distinct keys, sorted and cut by ranges,
-as one block for each range; a key occurs once in a block whatever its frequency, so a hot key is no hot task. The
-task of a range adds up the blocks and answers each of them, and the answers meet the chunk's documents again.
-A block holds at least one key, so blocks never outnumber the distinct keys of the chunks.
+A bundle holds consecutive rows of one input partition, up to a bounded number of characters, as a compressed Arrow
+table; so neither ids nor texts decide where a row goes, and a hot id, source or group of copies is spread like any rows.
+Bundles are written once; what later passes read is the same rows in the same order, also after an executor is lost.
+
+A bundle sends its distinct keys, sorted and cut by ranges, as one block for each range; a key occurs once in a block whatever
+its frequency, so a hot key is no hot task. The task of a range adds up its blocks and answers each of them with one value for
+each key. Blocks number bundles times ranges. Above MOST_PARTS ranges, groups of bundles are first merged over
+coarse ranges, so that a bundle never sends more than MOST_PARTS blocks and each block stays large.
 """
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from lexgrove.llm.common import small_batches
-
-#: Characters of text of a chunk, about.
-CHUNK_CHARS = 8_000_000
-BLOCK_SCHEMA = "kind int, part int, chunk int, keys binary, counts binary"
+from pyspark.sql import types as T
+
+from lexgrove.llm.common import stored
+
+#: Characters of text of a bundle, about; a longer text is a bundle of its own.
+BUNDLE_CHARS = 3_000_000
+#: Characters of text whose keys one task adds up, about.
+PART_CHARS = 12_000_000
+#: Ranges that a bundle's keys are cut into at most.
+MOST_PARTS = 512
+#: Bundles that are merged first where there are more ranges.
+GROUP = 64
+BLOCKS = "chunk long, kind int, part int, keys binary, counts binary"
+ANSWERS = "chunk long, kind int, part int, values binary"
+#: The chunk of an answer that holds the totals of a range: the sum of the counts, and the keys with a count.
+TOTALS = -1
 M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 U = np.uint64
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder of spark.checkpoint.dir (a temporary one of its own where unset)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lexgrove-checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/lexgrove-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished stages now; it does so when the driver collects its garbage."""
-    for _ in range(3):  # the references that Python holds to plans go first, then the plans, then their files
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 class Words(dict):
     """64-bit ids of words, kept for up to `most` words."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 400_000, seed: int = 0) -> None:
         super().__init__()
-        self.most = most
+        self.most, self.seed = most, seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
+        v = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return v
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -122,31 +113,138 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
-def blocks_of(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
-    """The rows of BLOCK_SCHEMA for sorted distinct keys."""
+def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | None = None) -> tuple[DataFrame, T.StructType, int]:
+    """The rows as a stored table (chunk, rows, chars, blob); the schema of the blobs' columns; all characters.
+
+    The columns are named c0, c1, ... in their order, whatever their names."""
+    limit = chars or BUNDLE_CHARS
+    place = columns.index(text_col)
+    source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal n, held, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+                writer.write_table(pa.Table.from_batches(held).combine_chunks())
+            out = pa.record_batch({"chunk": pa.array([n], pa.int64()), "rows": pa.array([sum(b.num_rows for b in held)], pa.int64()), "chars": pa.array([size], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            n, held, size = n + 1, [], 0
+            return out
+
+        for batch in batches:
+            lengths = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(place)), 0)).astype(np.int64)
+            a = 0
+            total = np.r_[0, np.cumsum(lengths + 8)]
+            while a < batch.num_rows:
+                b = max(a + (not held), int(np.searchsorted(total, total[a] + limit - size, "right")) - 1)
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+                    size += int(total[b] - total[a])
+                if b < batch.num_rows or size >= limit:
+                    yield flush()
+                a = b
+        if held:
+            yield flush()
+
+    table = stored(source.mapInArrow(run, "chunk long, rows long, chars long, blob binary"))
+    total = table.agg(F.sum("chars")).first()[0] or 0
+    return table, source.schema, int(total)
+
+
+def opened(blob: bytes | pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_py() if isinstance(blob, pa.Scalar) else blob).read_all()
+
+
+def texts_of(column: pa.ChunkedArray) -> list[bytes]:
+    """The texts as bytes; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def parts_for(chars: int) -> int:
+    return max(2, -(-chars // PART_CHARS))
+
+
+def block_table(rows: list[tuple]) -> pa.RecordBatch:
+    """rows: of the columns of BLOCKS."""
+    chunk, kind, part, keys, counts = zip(*rows, strict=True) if rows else ((),) * 5
+    return pa.record_batch({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array(kind, pa.int32()), "part": pa.array(part, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def answer_table(rows: list[tuple]) -> pa.Table:
+    chunk, kind, part, values = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "kind": pa.array(kind, pa.int32()), "part": pa.array(part, pa.int32()), "values": pa.array(values, pa.binary())})
+
+
+def blocks_of(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
+    """The rows of BLOCKS for sorted distinct keys."""
     out = []
     edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)):
         a, b = edges[p], edges[p + 1]
-        out.append((kind, int(p), chunk, pack_sorted(keys[a:b]), pack(counts[a:b].astype(np.uint32))))
+        out.append((chunk, kind, int(p), pack_sorted(keys[a:b]), pack(counts[a:b].astype(U))))
     return out
 
 
-def chunks_for(docs: DataFrame, text_col: str) -> int:
-    """So many chunks that each has about CHUNK_CHARS characters."""
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    return max(2, -(-int(chars) // CHUNK_CHARS))
+def added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each block of a range, the distinct ones, and their counts in all."""
+    keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
+    counts = np.concatenate([unpack(c, U) for c in table["counts"].to_pylist()])
+    together = np.concatenate(keys)
+    distinct = np.unique(together)
+    return keys, distinct, np.bincount(np.searchsorted(distinct, together), counts.astype(float), len(distinct)).astype(np.int64)
+
+
+Answer = Callable[[int, int, np.ndarray, np.ndarray], np.ndarray]
+
+
+def exchanged(sent: DataFrame, parts: int, answer: Answer, most_parts: int | None = None, group: int = GROUP) -> DataFrame:
+    """ANSWERS for the rows of BLOCKS: answer(kind, part, keys, counts) gives a uint64 for each distinct key of a range.
+
+    A block's values stand in the order of its keys. sent must have been cut into sent_parts(parts) ranges."""
+    coarse = sent_parts(parts, most_parts)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        kind, part = key[0].as_py(), key[1].as_py()
+        keys, distinct, total = added(table)
+        values = answer(kind, part, distinct, total)
+        out = [(c, kind, part, pack(values[np.searchsorted(distinct, k)])) for c, k in zip(table["chunk"].to_pylist(), keys, strict=True)]
+        out.append((TOTALS, kind, part, pack(np.array([total.sum(), (total > 0).sum()], U))))
+        return answer_table(out)
+
+    if coarse == parts:
+        return sent.groupBy("kind", "part").applyInArrow(add, ANSWERS)
+    # groups of bundles meet over coarse ranges first; what they have in common goes on once
+    keyed = sent.withColumn("team", F.pmod(F.xxhash64("chunk"), F.greatest(F.lit(1), F.lit(parts // group))))
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        team, kind, part = (x.as_py() for x in key)
+        _, distinct, total = added(table)
+        return pa.Table.from_batches([block_table(blocks_of(team << 20 | part, kind, distinct, total, parts))])
+
+    def split(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        _, kind, part = (x.as_py() for x in key)
+        if not table.num_rows:  # totals
+            return answers.select(["chunk", "kind", "part", "values"])
+        keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
+        distinct, values = np.unique(np.concatenate(keys)), in_order(answers, U)
+        return answer_table([(c, kind, part, pack(values[np.searchsorted(distinct, k)])) for c, k in zip(table["chunk"].to_pylist(), keys, strict=True)])
+
+    merged = keyed.groupBy("team", "kind", "part").applyInArrow(merge, BLOCKS).groupBy("kind", "part").applyInArrow(add, ANSWERS)
+    back = merged.select("chunk", "kind", "part", "values", F.when(F.col("chunk") == TOTALS, TOTALS - F.col("part")).otherwise(F.shiftright("chunk", 20)).alias("team"), F.when(F.col("chunk") == TOTALS, F.col("part")).otherwise(F.col("chunk").bitwiseAND(F.lit(2**20 - 1))).cast("int").alias("coarse"))
+    own = keyed.withColumn("coarse", F.col("part"))
+    return own.groupBy("team", "kind", "coarse").cogroup(back.groupBy("team", "kind", "coarse")).applyInArrow(split, ANSWERS)
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, n: int, carry: bool = False) -> DataFrame:
-    """doc_id, text, chunk, and with carry the other columns as JSON in `carried`; each chunk in one partition."""
-    small_batches(docs.sparkSession)
-    columns = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
-    if carry:
-        columns.append(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)), F.lit(0).alias("_")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("carried"))
-    out = docs.select(*columns)
-    return out.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "chunk")
+def sent_parts(parts: int, most_parts: int | None = None) -> int:
+    """Into how many ranges bundles cut their keys: the parts, or fewer where groups of bundles are merged first."""
+    return parts if parts <= (most_parts or MOST_PARTS) else int(parts**0.5) + 1
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def in_order(answers: pa.Table, kind: type = U) -> np.ndarray:
+    """The values of one bundle and kind, in the order of its keys."""
+    rows = sorted(zip(answers["part"].to_pylist(), answers["values"].to_pylist(), strict=True))
+    return np.concatenate([np.zeros(0, kind), *(unpack(v, kind) for _, v in rows)])

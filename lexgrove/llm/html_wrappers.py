@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrove.llm.common import checkpointed, small_batches, table
+from lexgrove.llm.common import id_back, id_text, stored, table
 from lexgrove.llm.url_filter import host_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -316,7 +316,6 @@ def _merge(rows: pd.DataFrame) -> Node:
 
 def infer_wrappers(pages: DataFrame, salts: int = 32, held_hosts: int = 2000) -> DataFrame:
     """host, slots (JSON) from the columns host and html. A task holds at most held_hosts wrappers at once."""
-    small_batches(pages.sparkSession)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Node] = {}
@@ -351,7 +350,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """page_id, url, text, n_chars."""
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     source = source.withColumn("host", host_path(F.col("url"))[0])
-    wrappers = checkpointed(infer_wrappers(source))
+    wrappers = stored(infer_wrappers(source))
     size = wrappers.agg(F.sum(F.length("slots") + F.length("host"))).first()[0] or 0
     if size <= BROADCAST_CHARS:
         joined = source.join(F.broadcast(wrappers), "host", "left")

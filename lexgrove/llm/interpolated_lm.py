@@ -1,14 +1,17 @@
-"""Language-model scoring by deleted interpolation of bigrams, words and a uniform share.
+"""Language-model scoring by deleted interpolation of trigrams, bigrams, words and a uniform share.
 
-p(w | v) = a(b) c(v w) / c(v) + b(b) c(w) / N + (1 - a(b) - b(b)) / (V + 1), where b is the bucket of the context's
-frequency c(v). The weights of each bucket are learned by expectation-maximisation on counts held out in turn: for each
-training document, the counts of all other training documents. Counts cover the whole corpus; what reaches the driver is
-a table of at most 12 * 34 * 66 cells.
+p3(w | u v) = a c(u v w) / c(u v) + (1 - a) p2(w | v), p2(w | v) = b c(v w) / c(v) + (1 - b) p1(w), p1(w) = d c(w) / N + (1 - d) / (V + 1).
+a belongs to the bucket of the context's frequency c(u v), b to that of c(v). The weights are learned by
+expectation-maximisation on counts held out in turn: for each training document, the counts of all other training documents.
+Counts cover the whole corpus; what reaches the driver is a table of at most 12 * 18 * 12 * 18 * 34 cells.
+
+Words are told apart by hashes of 64 bits, bigrams and trigrams by hashes of at least 48 bits, and 18 more than the number of
+characters of the corpus has: about one in a million of them is counted together with another.
 
 Defined results: a null text counts as an empty one, which is one end token; texts of any length are read whole;
-repeated rows are counted and scored each; a null id is trained on and not held out; with no training documents all
-counts are zero and the score is log10(1 / (V + 1)) a token; an empty table gives an empty result; other columns of
-the input are not read.
+repeated rows are counted and scored each; a null id is trained on and not held out; ids of any type pass through as they are;
+with no training documents all counts are zero and the score is log10(1 / (V + 1)) a token; an empty table gives an empty
+result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -17,44 +20,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexgrove.llm import blocks as B
-from lexgrove.llm.common import id_remainder, table
+from lexgrove.llm.common import dropped, id_remainder, stored, table
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB382D699DDF1B63)
-WORD, PAIR = 0, 1
-BUCKETS, RATIOS, FREQUENCIES = 12, 34, 66
+WORD, PAIR, TRIPLE = 0, 1, 2
+BUCKETS, RATIOS, FREQUENCIES = 12, 18, 34
 FOLDS, HELD_OUT = 10, 0
+#: Characters of a bundle here: the larger, the fewer keys are sent twice.
+CHARS = 6_000_000
+U = np.uint64
 
 
 class Tokens:
-    """Tokens of a chunk's documents, one after another, each document closed by END."""
+    """Tokens of a bundle's documents, one after another, each document closed by END."""
 
-    def __init__(self, rows: pd.DataFrame, words: B.Words) -> None:
+    def __init__(self, rows: pa.Table, words: B.Words, short: int) -> None:
         parts = []
-        for text in rows["text"]:
-            parts += [words.ids((text or "").encode("utf-8", "replace").lower().split()), np.array([END])]
+        for text in B.texts_of(rows.column(1)):
+            parts += [words.ids(text.lower().split()), np.array([END])]
         self.ids = np.concatenate(parts)
-        self.lengths = np.array([len(p) + 1 for p in parts[::2]])
+        self.lengths = np.array([len(p) + 1 for p in parts[::2]], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.doc = np.repeat(np.arange(len(rows)), self.lengths)
-        self.trained = ~rows["held_out"].to_numpy(bool)
-        before = np.roll(self.ids, 1)
-        before[self.starts] = START
-        self.pairs = B.joined(before, self.ids)
-
-    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys, each token's place in them, and their counts in training documents."""
-        keys, at = np.unique(self.pairs if kind == PAIR else self.ids, return_inverse=True)
-        return keys, at, np.bincount(at, self.trained[self.doc], len(keys)).astype(np.uint32)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.trained = ~np.array(rows.column(2).to_pylist(), bool)
+        self.short = U(short)
+
+    def keys(self, kind: int) -> np.ndarray:
+        if kind == WORD:
+            return self.ids
+        pairs = B.joined(self.before(self.ids, START), self.ids)
+        if kind == TRIPLE:
+            pairs = B.joined(self.before(pairs, START), self.ids + U(1))
+        return pairs >> self.short << self.short
+
+    def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys, and each token's place in them."""
+        return np.unique(self.keys(kind), return_inverse=True)
 
     def own(self, at: np.ndarray) -> np.ndarray:
         """For each token, how often its key occurs in its own document."""
         both = self.doc.astype(np.int64) * (int(at.max()) + 1) + at
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         new = np.r_[True, np.diff(both[order]) != 0]
         group = np.cumsum(new) - 1
         out = np.empty(len(both), np.int64)
@@ -72,107 +85,130 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.ceil(np.log2(np.maximum(context, 0) + 1.0)).astype(np.int64))
 
 
-def cells(pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The cell of held-out counts that a token falls in: bucket, ratio of pair to context, frequency of the word."""
-    ratio = np.where(pair > 0, np.clip(RATIOS - 1 + np.round(2 * np.log2(np.maximum(pair, 1) / np.maximum(context, 1))), 1, RATIOS - 1), 0)
-    frequency = np.where(word > 0, np.minimum(FREQUENCIES - 1, 1 + np.round(2 * np.log2(np.maximum(word, 1)))), 0)
-    return ((bucket(context) * RATIOS + ratio) * FREQUENCIES + frequency).astype(np.int64)
+def _ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.where(part > 0, np.clip(RATIOS - 1 + np.round(np.log2(np.maximum(part, 1) / np.maximum(whole, 1))), 1, RATIOS - 1), 0).astype(np.int64)
+
+
+def cells(triple: np.ndarray, pair_context: np.ndarray, pair: np.ndarray, word_context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The cell of held-out counts that a token falls in: buckets of both contexts, ratios to them, frequency of the word."""
+    frequency = np.where(word > 0, np.minimum(FREQUENCIES - 1, 1 + np.round(np.log2(np.maximum(word, 1)))), 0).astype(np.int64)
+    out = bucket(pair_context) * RATIOS + _ratio(triple, pair_context)
+    return ((out * BUCKETS + bucket(word_context)) * RATIOS + _ratio(pair, word_context)) * FREQUENCIES + frequency
+
+
+def mixture(shares: np.ndarray, f3: np.ndarray, f2: np.ndarray, f1: np.ndarray, uniform: float, b3: np.ndarray, b2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The interpolated probability, and the parts of the orders in it: trigram, bigram, word, uniform."""
+    a, b, d = shares[0, b3], shares[1, b2], shares[2, 0]
+    p = a * f3, (1 - a) * b * f2, (1 - a) * (1 - b) * d * f1, (1 - a) * (1 - b) * (1 - d) * uniform
+    return (sum(p), *p)
 
 
 def learn_weights(at: np.ndarray, weight: np.ndarray, n: int, v: int, rounds: int = 60) -> np.ndarray:
-    """For each bucket the shares of bigram, word and uniform, by expectation-maximisation over the cells."""
-    b, ratio, frequency = at // (RATIOS * FREQUENCIES), at // FREQUENCIES % RATIOS, at % FREQUENCIES
-    parts = np.stack([np.where(ratio > 0, 2.0 ** ((ratio - RATIOS + 1) / 2), 0), np.where(frequency > 0, 2.0 ** ((frequency - 1) / 2), 0) / max(n, 1), np.full(len(at), 1 / (v + 1))], 1)
-    shares = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
-    shares[0] = [0, 0.8, 0.2]
+    """Rows a (by bucket of c(u v)), b (by bucket of c(v)) and d (the first place), by expectation-maximisation over the cells."""
+    shares = np.full((3, BUCKETS), 0.5)
     if n == 0:
-        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+        return np.zeros((3, BUCKETS))
+    frequency, rest = at % FREQUENCIES, at // FREQUENCIES
+    r2, rest = rest % RATIOS, rest // RATIOS
+    b2, rest = rest % BUCKETS, rest // BUCKETS
+    r3, b3 = rest % RATIOS, rest // RATIOS
+    f3, f2 = (np.where(r > 0, 2.0 ** (r - RATIOS + 1.0), 0) for r in (r3, r2))
+    f1 = np.where(frequency > 0, 2.0 ** (frequency - 1.0), 0) / n
+    shares[:2, 0] = 0  # a context that never occurred has nothing after it
     for _ in range(rounds):
-        p = shares[b] * parts
-        p = p / p.sum(1, keepdims=True) * weight[:, None]
-        sums = np.stack([np.bincount(b, p[:, j], BUCKETS) for j in range(3)], 1) + 1e-3 * shares
-        shares = sums / sums.sum(1, keepdims=True)
-    shares[0] = [0, *(shares[0, 1:] / shares[0, 1:].sum())]  # a context that never occurred has no bigrams
+        total, p3, p2, p1, p0 = mixture(shares, f3, f2, f1, 1 / (v + 1), b3, b2)
+        scale = weight / total
+        new = shares.copy()
+        for k, (own, lower, by) in enumerate(((p3, p2 + p1 + p0, b3), (p2, p1 + p0, b2), (p1, p0, np.zeros_like(b2)))):
+            yes, no = (np.bincount(by, x * scale, BUCKETS) for x in (own, lower))
+            new[k] = (yes + 1e-3 * shares[k]) / (yes + no + 1e-3)
+        shares = new
+    shares[:2, 0] = 0
     return shares
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    n_chunks = B.chunks_for(docs, text_col)
-    parts = n_chunks
-    chunked = B.dealt(docs, id_col, text_col, n_chunks)
-    source = chunked.withColumn("held_out", F.coalesce(id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)))
-
-    def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, out = Tokens(rows, B.Words()), []
-        for kind in (WORD, PAIR):
-            keys, _, counts = tokens.distinct(kind)
-            out += B.blocks_of(kind, key[0], keys, counts, parts)
-        return pd.DataFrame(out, columns=["kind", "part", "chunk", "keys", "counts"])
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [B.unpack_sorted(k) for k in rows["keys"]]
-        counts = np.concatenate([B.unpack(c, np.uint32) for c in rows["counts"]])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, counts, len(distinct)).astype(np.int64)
-        capped = np.minimum(total, 2**32 - 1).astype(np.uint32)[at]
-        ends = np.cumsum([len(k) for k in keys])
-        out = [(key[0], key[1], int(c), B.pack(capped[e - len(k) : e]), 0, 0) for c, k, e in zip(rows["chunk"], keys, ends, strict=True)]
-        if key[0] == WORD:  # for the totals of the corpus
-            out.append((WORD, key[1], -1, b"", int(total.sum()), int((total > 0).sum())))
-        return pd.DataFrame(out, columns=["kind", "part", "chunk", "counts", "n", "v"])
-
-    sent = source.groupBy("chunk").applyInPandas(send, B.BLOCK_SCHEMA)
-    answers = sent.groupBy("kind", "part").applyInPandas(add, "kind int, part int, chunk int, counts binary, n long, v long")
-    columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_sum", "codes", "cell", "weight"]
-    schema = T.StructType([T.StructField("row", T.IntegerType()), source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_sum", T.DoubleType()), T.StructField("codes", T.BinaryType()), T.StructField("cell", T.LongType()), T.StructField("weight", T.DoubleType())])
-
-    def meet(key: tuple, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):  # the totals: cell -1 for N, -2 for V
-            return pd.DataFrame([(1, None, None, None, None, None, None, c, float(got[x].sum())) for c, x in ((-1, "n"), (-2, "v"))], columns=columns)
-        tokens, total, at = Tokens(rows, B.Words()), {}, {}
-        for kind in (WORD, PAIR):
-            mine = got[got["kind"] == kind].sort_values("part")
-            total[kind] = np.concatenate([B.unpack(c, np.uint32) for c in mine["counts"]]).astype(np.int64)
-            keys, at[kind], _ = tokens.distinct(kind)
-            if kind == WORD:
-                n_docs = int(total[WORD][np.searchsorted(keys, END)])
-        word, pair = total[WORD][at[WORD]], total[PAIR][at[PAIR]]
-        logs = np.log10(word + 0.1)
-        codes = [B.pack(np.r_[word[a : a + n], pair[a : a + n], n_docs].astype(np.uint32)) for a, n in zip(tokens.starts, tokens.lengths, strict=True)]
-        columns_of = [[0] * len(rows), list(rows["doc_id"]), list(rows["held_out"]), list(tokens.lengths), list(np.add.reduceat((word > 0).astype(np.int64), tokens.starts)), list(np.add.reduceat(logs, tokens.starts)), codes, [None] * len(rows), [None] * len(rows)]
+    held = F.coalesce(id_remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT, F.lit(False))
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
+    bundles, kinds, chars = B.bundles(source, source.columns, "text", CHARS)
+    parts = B.parts_for(chars)
+    cut = B.sent_parts(parts)
+    short = 64 - min(64, max(48, chars.bit_length() + 18))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = B.Words()
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                tokens = Tokens(B.opened(blob), words, short)
+                trained = tokens.trained[tokens.doc]
+                for kind in (WORD, PAIR, TRIPLE):
+                    keys, at = tokens.distinct(kind)
+                    yield B.block_table(B.blocks_of(chunk, kind, keys, np.bincount(at, trained, len(keys)), cut))
+
+    def count(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return counts.astype(U)
+
+    answers = B.exchanged(bundles.select("chunk", "blob").mapInArrow(send, B.BLOCKS), parts, count)
+    schema = T.StructType([T.StructField("doc_id", kinds[0].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_sum", T.DoubleType()), T.StructField("codes", T.BinaryType()), T.StructField("cell", T.LongType()), T.StructField("weight", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def cell_rows(at: list, weight: list) -> pa.Table:
+        return pa.table([*(pa.nulls(len(at), f.type) for f in list(arrow)[:6]), pa.array(at, pa.int64()), pa.array(weight, pa.int64())], schema=arrow)
+
+    def meet(key: tuple, left: pa.Table, got: pa.Table) -> pa.Table:
+        if not left.num_rows:  # the totals: cell -1 for N, -2 for V
+            sums = [B.unpack(x, U) for x in got.filter(pa.compute.equal(got["kind"], WORD))["values"].to_pylist()]
+            return cell_rows([-1, -2], [int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums))])
+        rows = B.opened(left["blob"][0])
+        tokens = Tokens(rows, B.Words(), short)
         learnt = tokens.trained[tokens.doc]
+        total, own = {}, {}
+        for kind in (WORD, PAIR, TRIPLE):
+            keys, at = tokens.distinct(kind)
+            values = B.in_order(got.filter(pa.compute.equal(got["kind"], kind))).astype(np.int64)
+            total[kind] = values[at]
+            own[kind] = np.where(learnt, tokens.own(at), 0)
+            if kind == WORD:
+                n_docs = int(values[np.searchsorted(keys, END)])
+        word, pair, triple = total[WORD], total[PAIR], total[TRIPLE]
+        codes = [B.pack(np.r_[word[a : a + n], pair[a : a + n], triple[a : a + n], n_docs].astype(U)) for a, n in zip(tokens.starts, tokens.lengths, strict=True)]
+        known, base = np.add.reduceat((word > 0).astype(np.int64), tokens.starts), np.add.reduceat(np.log10(word + 0.1), tokens.starts)
+        none = pa.nulls(len(codes), pa.int64())
+        out = pa.table([rows.column(0).combine_chunks(), rows.column(2).combine_chunks(), pa.array(tokens.lengths), pa.array(known), pa.array(base), pa.array(codes, pa.binary()), none, none], schema=arrow)
         if learnt.any():
-            own_word, own_pair = tokens.own(at[WORD]), tokens.own(at[PAIR])
-            cell = cells((pair - own_pair)[learnt], (tokens.before(word, n_docs) - tokens.before(own_word, 1))[learnt], (word - own_word)[learnt])
-            where, weight = np.unique(cell, return_counts=True)
-            none = [None] * len(where)
-            for column, more in zip(columns_of, [[1] * len(where), none, none, none, none, none, none, list(where), list(weight.astype(float))], strict=True):
-                column += more
-        return pd.DataFrame(dict(zip(columns, (pd.Series(c, dtype=object) for c in columns_of), strict=True)))
-
-    met = B.stored(source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(meet, schema))
-    gathered = met.filter("row = 1").groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()
+            word, pair, triple = word - own[WORD], pair - own[PAIR], triple - own[TRIPLE]
+            others = n_docs - 1  # the documents that start elsewhere
+            cell = cells(triple, tokens.before(pair, others), pair, tokens.before(word, others), word)[learnt]
+            at, weight = np.unique(cell, return_counts=True)
+            out = pa.concat_tables([out, cell_rows(at.tolist(), weight.tolist())])
+        return out
+
+    met = stored(bundles.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema))
+    dropped(bundles)
+    gathered = met.filter("cell is not null").groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()
     totals = dict(zip(gathered["cell"], gathered["weight"], strict=True))
     n, v = int(totals.get(-1, 0)), int(totals.get(-2, 0))
-    held = gathered[gathered["cell"] >= 0]
-    shares = learn_weights(held["cell"].to_numpy(np.int64), held["weight"].to_numpy(float), n, v)
+    cell = gathered[gathered["cell"] >= 0].sort_values("cell")
+    shares = learn_weights(cell["cell"].to_numpy(np.int64), cell["weight"].to_numpy(float), n, v)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for codes in batches:
-            out = []
-            for code in codes:
-                x = B.unpack(code, np.uint32).astype(np.int64)
-                k = len(x) // 2
-                word, pair, context = x[:k], x[k : 2 * k], np.r_[x[-1], x[: k - 1]]
-                share = shares[bucket(context)]
-                p = share[:, 0] * pair / np.maximum(context, 1) + share[:, 1] * word / max(n, 1) + share[:, 2] / (v + 1)
-                out.append(float(np.log10(p).sum()))
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series([log_probability(B.unpack(code, U).astype(np.int64), shares, n, v) for code in codes], dtype="float64")
 
     base = F.col("base_sum") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.1 * (v + 1))))
-    return met.filter("row = 0").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score("codes").alias("score"))
+    return met.filter("cell is null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score("codes").alias("score"))
+
+
+def log_probability(code: np.ndarray, shares: np.ndarray, n: int, v: int) -> float:
+    """log10 of a text's probability. code: the counts of its words, bigrams and trigrams, and the number of training documents."""
+    k = len(code) // 3
+    word, pair, triple, start = code[:k], code[k : 2 * k], code[2 * k : 3 * k], code[-1:]
+    c3, c2 = np.r_[start, pair[:-1]], np.r_[start, word[:-1]]
+    f3, f2 = triple / np.maximum(c3, 1), pair / np.maximum(c2, 1)
+    p = mixture(shares, f3, f2, word / max(n, 1), 1 / (v + 1), bucket(c3), bucket(c2))[0]
+    return float(np.log10(p).sum())
 
 
 def op4_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,16 @@ enough others remain; where they don't, empty ones are given too, so no link is
 Before that, a document goes no further if over a quarter of its shingles occur in no other document: it has no link.
 Equal sets become one. Candidates are verified on whole sets: first each set with the pivot that it shares most buckets
 with; then, within families, blocks of a family meet, and sets of different components are compared there. Families are
-what pairs connect that share a bucket and whose sketches (48 minima of 8 bits) agree in 16 places or more; a pair of
-similarity 3/4 fails that with a probability of about 1e-9. A set of a family is copied once for each of its blocks, so
-this is quadratic in the size of a family that stays open, by a factor of about 1/200; no pairs are written.
+what pairs connect that share a bucket and whose sketches (48 minima of 8 bits) agree in 10 places or more; a pair of
+similarity 3/4 fails that with a probability of about 4e-16, less than two of its shingles have of sharing a hash. A set of a
+family is copied once for each of its blocks, so this is quadratic in the size of a family that stays open, by a factor of
+about 1/200; no pairs are written.
 
 Defined results: a document without words, or with a null or empty text, has 0 shingles and its own id as component; with
-fewer than five words the whole sequence is one shingle; texts of any length are read whole; repeated rows are linked; a null
-id has no links and a null component; an empty table gives an empty result; other columns of the input are not read.
+fewer than five words the whole sequence is one shingle; texts of any length are read whole; repeated rows are linked; ids are of
+any atomic type, and the smallest is by its order; a null id has no links and a null component; an empty table gives an empty
+result; other columns of the input are not read, or pass through one_of_each, whatever their names. Of each group one_of_each
+keeps the row with the smallest id, the first one where rows share it; rows of one id without a link all stay.
 """
 
 from __future__ import annotations
@@ -25,22 +28,30 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexgrove.llm import blocks as B
-from lexgrove.llm.common import table
+from lexgrove.llm.common import dropped, stored, table
 
 SHINGLE = 5
 #: Similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SUBPARTS = 3
 SLACK = 1.25
-SKETCH, AGREE = 48, 16
+SKETCH, AGREE = 48, 10
 _SEEDS = B.mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 #: A block of a family holds about so many shingles and sets at most.
 BLOCK_SHINGLES, BLOCK_SETS = 30_000, 200
+#: Signatures that one task puts into buckets, about.
+PART_SIGNATURES = 1_500_000
+#: The edges of a node are dealt to so many tasks.
+SALTS = 8
+#: Bits of a shingle's hash that are left out where it is only asked whether it occurs elsewhere.
+SHORT = np.uint64(16)
 U = np.uint64
 
 
@@ -107,17 +118,25 @@ def similar(a: bytes, b: bytes) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node, component from the columns a and b: alternating large and small stars until the stars stay as they are."""
-    edges = B.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """node, component from the columns a and b: alternating large and small stars until the stars stay as they are.
+
+    A star may hold a third of all nodes, so its edges are dealt by salts and its centre's minimum is sent to each."""
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    salt, salts = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.select("a", "b", salt).join(least.select("a", "m", salts), ["a", "salt"]).drop("salt")
+
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = with_least(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = B.stored(small)
+        small = with_least(large, least).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        last, edges = edges, stored(small)
+        dropped(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -125,62 +144,63 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
-def held(among: np.ndarray, keys: np.ndarray) -> int:
-    """How many of the keys are among sorted ones."""
-    return int((among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys).sum())
+def words_of(table: pa.Table) -> list[list[bytes]]:
+    return [x.lower().split() for x in B.texts_of(table.column(1))]
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, and for documents that may have links: d1, d2 (a digest of the set), keys (the set) and
-    shared (of 10,000 shingles, those that occur in other documents)."""
-    n_chunks = B.chunks_for(docs, text_col)
-    parts = n_chunks
-    chunked = B.dealt(docs, id_col, text_col, n_chunks)
+def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFrame:
+    """chunk, place (in the bundle), doc_id, n_shingles, and for documents that may have links: d1, d2 (a digest of the set),
+    shared (of 10,000 shingles, those that occur in other documents) and, once in a bundle, keys (the set).
 
-    def sets(rows: pd.DataFrame) -> list[np.ndarray]:
-        known = B.Words()
-        return [shingles(known.ids((t or "").encode("utf-8", "replace").lower().split())) for t in rows["text"]]
+    The first two columns of the bundles are id and text."""
+    parts = B.parts_for(chars)
+    cut = B.sent_parts(parts)
 
-    def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a shingle that only one document repeats counts as shared here; that keeps a document, it never loses one
         known = B.Words()
-        ids = [known.ids((t or "").encode("utf-8", "replace").lower().split()) for t in rows["text"]]
-        sizes = np.array([len(x) for x in ids])
-        inside = np.repeat(np.cumsum(sizes), sizes)  # where the word's document ends
-        whole = B.windows(np.concatenate(ids), SHINGLE, seed=SHINGLE)
-        whole = whole[np.arange(len(whole)) + SHINGLE <= inside[: len(whole)]]
-        short = [shingles(x) for x in ids if 0 < len(x) < SHINGLE]
-        keys, counts = np.unique(np.concatenate([whole, *short]), return_counts=True)
-        return pd.DataFrame(B.blocks_of(0, int(key[0]), keys, np.minimum(counts, 2), parts), columns=["kind", "part", "chunk", "keys", "counts"])
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [B.unpack_sorted(k) for k in rows["keys"]]
-        counts = np.concatenate([B.unpack(c, np.uint32) for c in rows["counts"]])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        often = (np.bincount(at, counts, len(distinct)) >= 2)[at]
-        ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame([(key[0], key[1], int(c), B.pack_sorted(k[often[e - len(k) : e]]), b"") for c, k, e in zip(rows["chunk"], keys, ends, strict=True)], columns=["kind", "part", "chunk", "keys", "counts"])
-
-    schema = T.StructType([chunked.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("shared", T.IntegerType())])
-
-    def meet(key: tuple, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=schema.names)
-        often = np.concatenate([np.zeros(0, U), *(B.unpack_sorted(k) for k in got.sort_values("part")["keys"])])
-        out = []
-        for doc, keys in zip(rows["doc_id"], sets(rows), strict=True):
-            row = (doc, len(keys), None, None, None, None)
-            if len(keys) and len(often):
-                few = keys[: max(40, len(keys) // 8)]  # most documents have no chance, as their first shingles show
-                if 100 * (held(often, few) + len(keys) - len(few)) >= PERCENT * len(keys) and 100 * (shared := held(often, keys)) >= PERCENT * len(keys):
-                    d1, d2 = (int(B.mixed(keys ^ U(s)).sum(dtype=U).astype(np.int64)) for s in (1, 2))
-                    row = (doc, len(keys), d1, d2, B.pack_sorted(keys), 10_000 * shared // len(keys))
-            out.append(row)
-        frame = pd.DataFrame(out, columns=schema.names)
-        return frame.astype({"d1": "Int64", "d2": "Int64", "shared": "Int64"})
-
-    answers = chunked.groupBy("chunk").applyInPandas(send, B.BLOCK_SCHEMA).groupBy("kind", "part").applyInPandas(add, B.BLOCK_SCHEMA)
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(meet, schema)
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                ids = [known.ids(w) for w in words_of(B.opened(blob))]
+                sizes = np.array([len(x) for x in ids])
+                inside = np.repeat(np.cumsum(sizes), sizes)  # where the word's document ends
+                whole = B.windows(np.concatenate(ids), SHINGLE, seed=SHINGLE)
+                whole = whole[np.arange(len(whole)) + SHINGLE <= inside[: len(whole)]]
+                short = [shingles(x) for x in ids if 0 < len(x) < SHINGLE]
+                keys, counts = np.unique(np.concatenate([whole, *short]) >> SHORT << SHORT, return_counts=True)
+                yield B.block_table(B.blocks_of(chunk, 0, keys, np.minimum(counts, 2), cut))
+
+    def often(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (counts >= 2).astype(U)
+
+    out = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("doc_id", schema[0].dataType), *(T.StructField(n, T.LongType()) for n in ("n_shingles", "d1", "d2", "shared")), T.StructField("keys", T.BinaryType())])
+    nothing = pa.Table.from_batches([], schema=to_arrow_schema(out))
+
+    def meet(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return nothing
+        rows, known = B.opened(left["blob"][0]), B.Words()
+        sets = [shingles(known.ids(w)) for w in words_of(rows)]
+        sizes = np.array([len(x) for x in sets])
+        every, at = np.unique(np.concatenate(sets) >> SHORT << SHORT, return_inverse=True)
+        shared = np.r_[0, np.cumsum(B.in_order(answers)[at].astype(np.int64))]
+        ends = np.cumsum(sizes)
+        shared = shared[ends] - shared[ends - sizes]
+        columns: dict[str, list] = {n: [] for n in ("d1", "d2", "shared", "keys")}
+        seen: set[tuple[int, int]] = set()
+        for keys, count in zip(sets, shared.tolist(), strict=True):
+            row = (None, None, None, None)
+            if len(keys) and 100 * count >= PERCENT * len(keys):
+                d1, d2 = (int(B.mixed(keys ^ U(s)).sum(dtype=U).astype(np.int64)) for s in (1, 2))
+                row = (d1, d2, 10_000 * count // len(keys), None if (d1, d2) in seen else B.pack_sorted(keys))
+                seen.add((d1, d2))
+            for c, v in zip(columns.values(), row, strict=True):
+                c.append(v)
+        n = len(sets)
+        return pa.table([pa.array([key[0].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), rows.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(columns[c], pa.int64()) for c in ("d1", "d2", "shared")), pa.array(columns["keys"], pa.binary())], names=out.names)
+
+    answers = B.exchanged(bundles.select("chunk", "blob").mapInArrow(send, B.BLOCKS), parts, often).filter(F.col("chunk") >= 0)
+    return bundles.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, out)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -271,7 +291,6 @@ def block_links(families: DataFrame) -> DataFrame:
     A family with several components is dealt to blocks by id, and each two blocks meet in a task of their own, where whole
     sets are compared; nothing but links leaves it, and no more of them than its components need.
     """
-    kind = families.schema["component"].dataType.simpleString()
     sizes = families.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), (F.min("component") < F.max("component")).alias("open"))
     sizes = sizes.filter("open").select("family", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("rows") / BLOCK_SETS)).cast("int").alias("blocks"))
     rows = families.join(sizes, "family").withColumn("own", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
@@ -303,20 +322,18 @@ def block_links(families: DataFrame) -> DataFrame:
         low = label != np.arange(len(nodes))
         return pd.DataFrame({"a": nodes[label[low]], "b": nodes[low]})
 
-    return rows.groupBy("family", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
+    return rows.groupBy("family", "i", "j").applyInPandas(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest id that the document's links reach."""
-    spark = docs.sparkSession
-    met = B.stored(shingle_sets(docs, id_col, text_col))
-    B.free(spark)
-    kind = met.schema["doc_id"].dataType.simpleString()
-    linked = met.filter("d1 is not null and doc_id is not null")
+def linked_rows(met: DataFrame) -> DataFrame:
+    """chunk, place, doc_id, n_shingles, least: of the row's component the smallest (doc_id, chunk, place); null without a set.
 
-    sets = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.first("n_shingles").alias("n"), F.max("shared").alias("shared"))
-    sets = B.stored(sets)
-    parts = max(1, B.partitions(spark))
+    met: the stored rows of shingle_sets. Sets have numbers of their own, so ids may be of any type."""
+    linked = met.filter("d1 is not null and doc_id is not null")
+    sets = linked.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("least"), F.first("keys", True).alias("keys"), F.first("n_shingles").alias("n"), F.max("shared").alias("shared"))
+    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // PART_SIGNATURES))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -369,29 +386,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         many = pd.Series([*often.tolist(), *[None] * int(low.sum())], dtype="Int64")
         return pd.DataFrame({"a": np.r_[ranked[pairs // len(ranked)], ranked[label[low]]], "b": np.r_[ranked[pairs % len(ranked)], ranked[low]], "often": many})
 
-    signed = sets.select(F.col("id").cast("long").alias("id"), "keys", "shared", "n").mapInPandas(sign, "part int, signs binary, at binary, ids binary, shared binary, size binary, marks binary")
-    members = B.stored(signed.groupBy("part").applyInPandas(bucket, "a long, b long, often long").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "often"))
+    signed = sets.select("id", "keys", "shared", "n").mapInPandas(sign, "part int, signs binary, at binary, ids binary, shared binary, size binary, marks binary")
+    members = stored(signed.groupBy("part").applyInPandas(bucket, "a long, b long, often long"))
     # each set meets the pivot that it shares most buckets with
     shares = members.filter("often is not null").groupBy("a", "b").agg(F.sum("often").alias("often"))
-    star = shares.groupBy("b").agg(F.max(F.struct("often", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).cast(kind).alias("a"), "b")
-    first = B.stored(verified(star, sets))
+    star = shares.groupBy("b").agg(F.max(F.struct("often", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
+    first = stored(verified(star, sets))
     known = components(first)
     # sets that near pairs of buckets connect are a family; those of one that are in different components meet in blocks
     family = components(members.filter("often is null").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("family"))
-    B.free(spark)
     families = sets.select("id", "n", "keys").join(family, "id").join(known.withColumnRenamed("node", "id"), "id", "left")
-    families = families.select("family", "id", F.coalesce("component", "id").alias("component"), "n", "keys")
-    more = B.stored(block_links(B.stored(families)))
+    families = stored(families.select("family", "id", F.coalesce("component", "id").alias("component"), "n", "keys"))
+    dropped(members)
+    more = stored(block_links(families))
+    dropped(families)
     found = components(first.union(more)) if not more.isEmpty() else known
-    groups = sets.select("d1", "d2", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    return met.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    groups = sets.select("d1", "d2", "least", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "least", F.coalesce("component", "id").alias("component"))
+    least = groups.groupBy("component").agg(F.min("least").alias("all"))
+    groups = groups.join(least, "component").select("d1", "d2", F.col("all").alias("least"))
+    rows = met.select("chunk", "place", "doc_id", "n_shingles", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("d1", "d2")))
+    return rows.join(groups, ["d1", "d2"], "left").select("chunk", "place", "doc_id", "n_shingles", "least")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest id that the document's links reach."""
+    bundles, schema, chars = B.bundles(docs, [id_col, text_col], text_col)
+    met = stored(shingle_sets(bundles, schema, chars))
+    dropped(bundles)
+    return linked_rows(met).select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, one row for each id, with the columns they came with."""
-    keep = near_duplicates(docs, id_col, text_col).filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept_id_")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_kept_id_")), "left_semi")
-    return kept.filter(F.col(id_col).isNull()).union(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    """One row of each group of linked documents, with the columns they came with; rows without links all stay."""
+    columns = [id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col))]
+    bundles, schema, chars = B.bundles(docs, columns, text_col)
+    met = stored(shingle_sets(bundles, schema, chars))
+    gone = linked_rows(met).filter("least is not null and (chunk <> least.chunk or place <> least.place)").select("chunk", "place")
+    nothing = pa.Table.from_batches([], schema=to_arrow_schema(schema))
+
+    def rest(key: tuple, left: pa.Table, places: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return nothing
+        rows = B.opened(left["blob"][0])
+        keep = np.ones(rows.num_rows, bool)
+        keep[np.array(places["place"], np.int64)] = False
+        return rows.filter(pa.array(keep))
+
+    kept = bundles.select("chunk", "blob").groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(rest, schema)
+    return kept.toDF(*columns).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

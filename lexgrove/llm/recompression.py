@@ -1,231 +1,331 @@
 """Substring dedup by recompression.
 
-Rounds of run and pair naming turn a text into ever longer symbols. A name is a hash of what it stands for, and the
-side a symbol takes in a pair is a bit of its name, so equal substrings get equal interior symbols wherever they stand. Each
-symbol carries the interval of words that its existence depends on; a window of words therefore contains the same
-symbols, with the same intervals, wherever it occurs. The window's anchor is the smallest name of its highest level.
-Spark counts anchors globally; only windows whose anchor occurs elsewhere are named in full and counted, which verifies
-them. Words covered by a window that starts twice or more go.
+Rounds turn a text into ever longer symbols. In a round, each bundle of documents folds runs of equal symbols and then pairs
+of a left and a right symbol, twice; the side of a symbol is a bit of its name. Spark then gathers the new symbols of
+all bundles and names them: a symbol that the corpus holds twice or more gets a number, the same one everywhere, and the next
+round goes on with these numbers; a symbol that occurs once gets none.
+
+Each symbol carries the interval of words that its existence depends on. Equal windows of words therefore hold the same
+symbols, with the same intervals, wherever they occur, and a window around a symbol without a name occurs nowhere else. Windows
+that hold named symbols only, shared up to the highest level, are the candidates; they are verified by counting them by a
+digest of 96 bits of their words (at 10^13 windows, two different ones share one with a probability of about 10^-3 in all).
+Words covered by a window that starts twice or more go.
+
+Symbols travel as hashes of 48 bits: two that collide may get a number where none is due, which costs a verification and
+changes no result.
 
 Defined results: a null or empty text has no words and keeps the empty text; texts of any length are read whole; equal
-texts in different rows, repeated rows included, are repeats of each other; an empty table gives an empty result; a null id
-passes through; other columns of the input are not read, or pass through where asked for.
+texts in different rows, repeated rows included, are repeats of each other; an empty table gives an empty result; an id of
+any type, null included, passes through as it is; other columns of the input are not read, or pass through where asked for,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexgrove.llm import blocks as B
 from lexgrove.llm.common import table
 
 WINDOW = 35
-ROUNDS = 3
-ANCHOR, FULL = 0, 1
+#: Rounds of naming, and levels of runs and pairs in a round.
+ROUNDS, LEVELS = 2, 2
+#: Kinds of blocks: a round's symbols have the round's number; windows of words, and where they start.
+WINDOWS, STARTS = 100, 101
+#: Bits of a symbol's hash that are left out when it is sent.
+SHORT = np.uint64(16)
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_BACK = U(pow(int(_BASE), -1, 2**64))
+_BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 
 
 class Texts:
-    """The words of a chunk's documents, one after another, and hashes of any interval of them."""
+    """The words of a bundle's documents, one after another."""
 
-    def __init__(self, texts: pd.Series, keep_words: bool = False) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
+        self.words = [t.split() for t in texts]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
         known = B.Words()
-        parts, self.words = [], []
-        for text in texts:
-            words = (text or "").encode("utf-8", "replace").split()
-            parts.append(known.ids(words))
-            if keep_words:
-                self.words.append(words)
-        self.ids = np.concatenate(parts) if parts else np.zeros(0, U)
-        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.ids = np.concatenate([np.zeros(0, U), *map(known.ids, self.words)])
         self.first = np.cumsum(self.lengths) - self.lengths
-        n = len(self.ids)
-        powers = np.cumprod(np.full(n, _BASE))
-        self.sums = np.r_[U(0), np.cumsum(B.mixed(self.ids) * powers, dtype=U)]
-        self.back = np.r_[U(1), np.cumprod(np.full(n, _BACK))]
-
-    def name(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return B.mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
 
     def starts(self, width: int) -> np.ndarray:
         """Where windows of so many words start."""
         counts = np.maximum(self.lengths - width + 1, 0)
         return np.repeat(self.first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
+    def digests(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of the windows that start at the given places; by two independent hashes of each word."""
+        if not len(at):
+            return np.zeros(0, U), np.zeros(0, U)
+        need = np.zeros(len(self.ids) + 1, np.int64)
+        np.add.at(need, at, 1)
+        np.add.at(need, at + width, -1)
+        need = np.cumsum(need)[:-1] > 0
+        other, known = np.zeros(len(self.ids), U), B.Words(seed=1)
+        for words, first, n in zip(self.words, self.first, self.lengths, strict=True):
+            if need[first : first + n].any():
+                other[first : first + n] = known.ids(words)
+        out = []
+        for ids, base in zip((self.ids, other), _BASES, strict=True):
+            sums, factor = np.zeros(len(at), U), U(1)
+            spread = B.mixed(ids + U(width))
+            with np.errstate(over="ignore"):
+                for k in range(width):
+                    sums += spread[at + k] * factor
+                    factor = factor * base
+            out.append(B.mixed(sums))
+        return out[0], out[1] >> U(32)
+
+
+class Symbols:
+    """The symbols of a bundle's documents, in order.
+
+    name: 0 where a symbol has none. start, end: the interval of words that the symbol depends on; one that reaches over its
+    document's ends depends on what no window holds. fresh: formed in this round."""
+
+    def __init__(self, texts: Texts) -> None:
+        n = len(texts.ids)
+        self.name, self.start, self.end = texts.ids | U(1), np.arange(n), np.arange(1, n + 1)
+        self.doc = np.repeat(np.arange(len(texts.lengths)), texts.lengths)
+        self.low, self.high = (texts.first - 1)[self.doc], (texts.first + texts.lengths + 1)[self.doc]
+        self.fresh = np.zeros(n, bool)
 
-def levels(t: Texts, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each round the intervals of words that its symbols depend on, in order: starts and ends."""
-    n = len(t.ids)
-    doc = np.repeat(np.arange(len(t.lengths)), t.lengths)
-    low, high = (t.first - 1)[doc] if n else doc, (t.first + t.lengths + 1)[doc] if n else doc  # beyond any window of the document
-    sym, ds, de = t.ids, np.arange(n), np.arange(n) + 1
-    out = []
-    for k in range(rounds):
-        if not n:
-            break
-        # runs: a symbol depends on its neighbours, which are other symbols
-        inner = doc[1:] == doc[:-1]
-        head = np.flatnonzero(np.r_[True, (sym[1:] != sym[:-1]) | ~inner])
-        tail = np.r_[head[1:] - 1, len(sym) - 1]
+    def _keep(self, at: np.ndarray) -> None:
+        for c in ("name", "start", "end", "doc", "low", "high", "fresh"):
+            setattr(self, c, getattr(self, c)[at])
+
+    def fold(self, level: int) -> None:
+        """One level: runs of equal symbols, then pairs of a left and a right one."""
+        if not len(self.name):
+            return
+        name, inner = self.name, self.doc[1:] == self.doc[:-1]
+        # a run depends on the symbols beside it, which are others
+        head = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | ~inner | (name[1:] == 0)])
+        tail = np.r_[head[1:] - 1, len(name) - 1]
         size = tail - head + 1
-        left = np.where(np.r_[False, inner][head], ds[head - 1], low[head])
-        right = np.where(np.r_[inner, False][tail], de[np.minimum(tail + 1, len(de) - 1)], high[tail])
-        sym = np.where(size > 1, B.joined(sym[head], size.astype(U)), sym[head])
-        doc, low, high, ds, de = doc[head], low[head], high[head], left, right
-        # pairs: a left symbol followed by a right one
-        inner = doc[1:] == doc[:-1]
-        is_left = B.mixed(sym + U(k + 1)) >> U(63) == U(0)
-        pair = np.r_[is_left[:-1] & ~is_left[1:] & inner, False]
+        start = np.where(np.r_[False, inner][head], self.start[head - 1], self.low[head])
+        end = np.where(np.r_[inner, False][tail], self.end[np.minimum(tail + 1, len(name) - 1)], self.high[tail])
+        lone = name[head] == 0  # without a name, a symbol stands for itself
+        start, end = np.where(lone, self.start[head], start), np.where(lone, self.end[head], end)
+        self._keep(head)
+        self.name = np.where(size > 1, B.joined(self.name, size.astype(U)) | U(1), self.name)
+        self.fresh |= size > 1
+        self.start, self.end = start, end
+        # a left symbol depends on the next one, a right symbol on the one before
+        name, inner = self.name, self.doc[1:] == self.doc[:-1]
+        side = B.mixed(name + U(level + 1)) >> U(63)
+        left, right = (side == 0) & (name != 0), (side == 1) & (name != 0)
+        pair = np.r_[left[:-1] & right[1:] & inner, False]
         second = np.r_[False, pair[:-1]]
-        after, before = np.r_[de[1:], de[-1:]], np.r_[ds[:1], ds[:-1]]
-        new_de = np.where(pair | is_left, np.where(np.r_[inner, False], after, high), de)
-        new_ds = np.where(~is_left & ~second, np.where(np.r_[False, inner], before, low), ds)
-        sym = np.where(pair, B.joined(sym, np.r_[sym[1:], sym[-1:]]), sym)
-        keep = ~second
-        sym, ds, de, doc, low, high = sym[keep], new_ds[keep], new_de[keep], doc[keep], low[keep], high[keep]
-        out.append((ds, de))
+        after = np.where(np.r_[inner, False], np.r_[self.end[1:], self.end[-1:]], self.high)
+        before = np.where(np.r_[False, inner], np.r_[self.start[:1], self.start[:-1]], self.low)
+        end = np.where(left, np.maximum(after, self.end), self.end)
+        start = np.where(right & ~second, np.minimum(before, self.start), self.start)
+        self.name = np.where(pair, B.joined(name, np.r_[name[1:], name[-1:]]) | U(1), name)
+        self.fresh |= pair
+        self.start, self.end = start, end
+        self._keep(~second)
+
+
+class Parse:
+    """A bundle's parse: what it asks Spark to name in each round, and the windows that may occur elsewhere."""
+
+    def __init__(self, texts: Texts, width: int) -> None:
+        self.texts, self.width, self.round = texts, width, 0
+        self.symbols = Symbols(texts)
+        self.open = np.zeros(len(texts.ids) + 1, bool)  # windows by where they start
+        self.open[texts.starts(width)] = True
+        self._asked: np.ndarray | None = None
+        self._fold()
+
+    def _fold(self) -> None:
+        s = self.symbols
+        s.fresh[:] = False
+        for k in range(LEVELS):
+            s.fold(self.round * LEVELS + k)
+        # a symbol asks for a name if an open window holds it with all that it depends on
+        count = np.r_[0, np.cumsum(self.open)]
+        first, last = np.maximum(s.end - self.width, 0), np.minimum(s.start, len(self.open) - 1)
+        held = (first <= last) & (last >= 0)
+        held[held] = count[last[held] + 1] > count[first[held]]
+        self._asked = np.flatnonzero(s.fresh & held)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct new symbols and how often they occur here, twice at most."""
+        keys, counts = np.unique(self.symbols.name[self._asked] >> SHORT << SHORT, return_counts=True)
+        return keys, np.minimum(counts, 2)
+
+    def named(self, numbers: np.ndarray) -> None:
+        """Goes on with Spark's numbers for keys(); windows around a symbol without one close."""
+        s, asked = self.symbols, self._asked
+        keys = np.unique(s.name[asked] >> SHORT << SHORT)
+        given = numbers[np.searchsorted(keys, s.name[asked] >> SHORT << SHORT)]
+        s.name[asked] = np.where(given > 0, B.mixed(given + (U(self.round + 1) << U(56))) | U(1), U(0))
+        gone = asked[given == 0]
+        first, last = np.maximum(s.end[gone] - self.width, 0), s.start[gone]
+        shut = np.zeros(len(self.open) + 1, np.int64)
+        np.add.at(shut, first, 1)
+        np.add.at(shut, last + 1, -1)
+        self.open &= np.cumsum(shut)[:-1] == 0
+        self.round += 1
+        if self.round < ROUNDS:
+            self._fold()
+
+    def windows(self) -> np.ndarray:
+        return np.flatnonzero(self.open)
+
+
+def parsed(blob: pa.Scalar, place: int, width: int, answers: pa.Table | None = None, rounds: int = 0) -> Parse:
+    """The parse of a bundle after so many rounds, with the numbers that Spark gave in each."""
+    out = Parse(Texts(B.texts_of(B.opened(blob).column(place))), width)
+    for r in range(rounds):
+        out.named(B.in_order(answers.filter(pa.compute.equal(answers["kind"], r))))
     return out
 
 
-def anchors(t: Texts, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window its start, its anchor's name, and a number that tells the anchor's place."""
-    starts = t.starts(width)
-    names, places = np.zeros(len(starts), U), np.full(len(starts), -1, np.int64)
-    todo = np.arange(len(starts))
-    for level, (ds, de) in reversed(list(enumerate(levels(t, rounds)))):
-        if not len(todo):
-            break
-        fits = (de - ds <= width) & (ds >= 0) & (de <= len(t.ids))
-        name = np.full(len(ds), U(2**64 - 1))
-        name[fits] = t.name(ds[fits], de[fits])
-        s = starts[todo]
-        lo, hi = np.searchsorted(ds, s, "left"), np.searchsorted(de, s + width, "right") - 1
-        found = lo <= hi
-        lo, hi = lo[found], hi[found]
-        best = np.arange(len(ds))
-        tables = [best]
-        span = 1
-        while len(lo) and span * 2 <= (hi - lo + 1).max():
-            a, b = best[:-span], best[span:]
-            best = np.where(name[a] <= name[b], a, b)
-            tables.append(best)
-            span *= 2
-        size = hi - lo + 1
-        step = np.frexp(size)[1] - 1
-        pick = np.empty(len(lo), np.int64)
-        for j, tab in enumerate(tables):
-            m = step == j
-            a, b = tab[lo[m]], tab[hi[m] - (1 << j) + 1]
-            pick[m] = np.where(name[a] <= name[b], a, b)
-        here = todo[found]
-        names[here] = B.mixed(name[pick] + U(level + 1))
-        places[here] = pick * (rounds + 1) + level + 1
-        todo = todo[~found]
-    if len(todo):  # inside long runs: the window stands for itself
-        names[todo] = B.mixed(t.name(starts[todo], starts[todo] + width))
-        places[todo] = starts[todo] * (rounds + 1)
-    return starts, names, places
+def number(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers for the symbols that occur twice or more: the range's, then the place in it."""
+    often = counts >= 2
+    return np.where(often, (U(part) << U(32)) + np.cumsum(often).astype(U), U(0))
+
+
+def intervals(at: np.ndarray) -> np.ndarray:
+    """Rising numbers as runs: first, length, first, length, ..."""
+    head = np.flatnonzero(np.r_[True, np.diff(at) != 1]) if len(at) else np.zeros(0, int)
+    return np.stack([at[head], np.diff(np.r_[head, len(at)])], 1).ravel().astype(U)
+
+
+def from_intervals(runs: np.ndarray) -> np.ndarray:
+    first, size = runs[::2].astype(np.int64), runs[1::2].astype(np.int64)
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def window_keys(texts: Texts, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests of windows in order (64 bits, 32 bits), which of them each window has, and how often each occurs."""
+    high, low = texts.digests(at, width)
+    order = np.lexsort((low, high))
+    new = np.r_[True, (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)] if len(at) else np.zeros(0, bool)
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return high[order][new], low[order][new], which, np.bincount(which, minlength=int(new.sum()))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, carry: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one space); with carry, the other columns as JSON in `carried`,
-    and a document that loses nothing keeps its text as it was."""
-    n_chunks = B.chunks_for(docs, text_col)
-    parts = n_chunks
-    chunked = B.dealt(docs, id_col, text_col, n_chunks, carry)
-
-    def rows_of(blocks: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(blocks, columns=["kind", "part", "chunk", "keys", "counts"])
-
-    def send_anchors(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, names, places = anchors(Texts(rows["text"]), width)
-        if not len(names):
-            return rows_of([])
-        _, one = np.unique(places, return_index=True)
-        keys, counts = np.unique(names[one], return_counts=True)
-        return rows_of(B.blocks_of(ANCHOR, int(key[0]), keys, np.minimum(counts, 2), parts))
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Answers each block with its keys that occur twice or more."""
-        keys = [B.unpack_sorted(k) for k in rows["keys"]]
-        counts = np.concatenate([B.unpack(c, np.uint32) for c in rows["counts"]])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        often = (np.bincount(at, counts, len(distinct)) >= 2)[at]
-        ends = np.cumsum([len(k) for k in keys])
-        out = [(key[0], key[1], int(c), B.pack_sorted(k[often[e - len(k) : e]]), b"") for c, k, e in zip(rows["chunk"], keys, ends, strict=True) if often[e - len(k) : e].any()]
-        return rows_of(out)
-
-    def repeated(got: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([np.zeros(0, U), *(B.unpack_sorted(k) for k in got.sort_values("part")["keys"])])
-
-    def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-        if not len(among):
-            return np.zeros(len(values), bool)
-        at = np.searchsorted(among, values)
-        return among[np.minimum(at, len(among) - 1)] == values
-
-    def send_windows(key: tuple, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(got):
-            return rows_of([])
-        t = Texts(rows["text"])
-        starts, names, _ = anchors(t, width)
-        at = starts[member(names, repeated(got))]
-        keys, counts = np.unique(t.name(at, at + width), return_counts=True)
-        return rows_of(B.blocks_of(FULL, int(key[0]), keys, np.minimum(counts, 2), parts))
-
-    schema = T.StructType([chunked.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), *([T.StructField("carried", T.StringType())] if carry else [])])
-
-    def finish(key: tuple, rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=schema.names)
-        t = Texts(rows["text"], keep_words=True)
-        at = t.starts(width)
-        at = at[member(t.name(at, at + width), repeated(got))] if len(got) else at[:0]
-        edges = np.zeros(len(t.ids) + 1, np.int64)
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + width, -1)
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one space). With carry, the columns of docs, where a document
+    that loses nothing keeps its text as it was, and n_chars follows the text."""
+    columns = list(docs.columns) if carry else [id_col, text_col]
+    bundles, schema, chars = B.bundles(docs, columns, text_col)
+    place, parts = columns.index(text_col), B.parts_for(chars)
+    cut = B.sent_parts(parts)
+    mine = bundles.select("chunk", "blob").groupBy("chunk")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                yield B.block_table(B.blocks_of(chunk, 0, *parsed(blob, place, width).keys(), cut))
+
+    def later(rounds: int):
+        def run(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return pa.Table.from_batches([B.block_table([])])
+            keys = parsed(left["blob"][0], place, width, answers, rounds).keys()
+            return pa.Table.from_batches([B.block_table(B.blocks_of(key[0].as_py(), rounds, *keys, cut))])
+
+        return run
+
+    def candidates(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows:
+            chunk, out = key[0].as_py(), parsed(left["blob"][0], place, width, answers, ROUNDS)
+            at = out.windows()
+            high, low, _, counts = window_keys(out.texts, at, width)
+            edges = np.searchsorted(B.part_of(high, parts), np.arange(parts + 1))
+            more = low << U(1) | (counts > 1).astype(U)
+            for p in np.flatnonzero(np.diff(edges)):
+                x, y = edges[p], edges[p + 1]
+                rows.append((chunk, WINDOWS, int(p), B.pack_sorted(high[x:y]), B.pack(more[x:y])))
+            if len(at):
+                rows.append((chunk, STARTS, chunk % parts, b"", B.pack(intervals(at))))
+        return pa.Table.from_batches([B.block_table(rows)])
+
+    def verify(key: tuple, rows: pa.Table) -> pa.Table:
+        """For each window of a bundle whether it occurs twice or more; where they start passes through."""
+        kind, part, chunks = key[0].as_py(), key[1].as_py(), rows["chunk"].to_pylist()
+        if kind == STARTS:
+            return B.answer_table([(c, STARTS, part, x) for c, x in zip(chunks, rows["counts"].to_pylist(), strict=True)])
+        highs = [B.unpack_sorted(k) for k in rows["keys"].to_pylist()]
+        high, low = np.concatenate(highs), np.concatenate([B.unpack(x, U) for x in rows["counts"].to_pylist()])
+        order = np.lexsort((low >> U(1), high))
+        new = np.r_[True, (np.diff(high[order]) != 0) | (np.diff(low[order] >> U(1)) != 0)]
+        group = np.cumsum(new) - 1
+        twice = np.bincount(group, 1 + (low[order] & U(1)).astype(float)) >= 2
+        often = np.empty(len(high), np.uint8)
+        often[order] = twice[group]
+        ends = np.cumsum([len(k) for k in highs])
+        return B.answer_table([(c, WINDOWS, part, B.pack(often[e - len(k) : e])) for c, k, e in zip(chunks, highs, ends, strict=True)])
+
+    kinds = [f.dataType for f in schema.fields]
+    if carry:
+        out_schema = schema
+    else:
+        out_schema = T.StructType([T.StructField("c0", kinds[0]), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    counted = columns.index("n_chars") if "n_chars" in columns and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else None
+
+    nothing = pa.Table.from_batches([], schema=to_arrow_schema(out_schema))
+
+    def finish(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return nothing
+        rows = B.opened(left["blob"][0])
+        texts = Texts(B.texts_of(rows.column(place)))
+        edges = np.zeros(len(texts.ids) + 1, np.int64)
+        starts = answers.filter(pa.compute.equal(answers["kind"], STARTS))
+        if starts.num_rows:
+            at = from_intervals(B.unpack(starts["values"][0].as_py(), U))
+            _, _, which, _ = window_keys(texts, at, width)
+            at = at[B.in_order(answers.filter(pa.compute.equal(answers["kind"], WINDOWS)), np.uint8)[which] > 0]
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + width, -1)
         gone = np.cumsum(edges)[:-1] > 0
-        removed = np.diff(np.r_[0, np.cumsum(gone)][np.r_[t.first, len(t.ids)]]) if len(t.first) else t.first
-        texts = []
-        for words, first, n, text in zip(t.words, t.first, removed, rows["text"], strict=True):
-            if carry and not n:
-                texts.append(text)
-                continue
+        removed = np.diff(np.r_[0, np.cumsum(gone)][np.r_[texts.first, len(texts.ids)]])
+        kept = []
+        for words, a, n in zip(texts.words, texts.first, removed, strict=True):
             if n:
-                words = [w for w, g in zip(words, gone[first : first + len(words)], strict=True) if not g]
-            texts.append(b" ".join(words).decode())
-        out = pd.DataFrame({"doc_id": rows["doc_id"], "n_words": t.lengths, "n_removed": removed, "kept_text": texts})
-        if carry:
-            out["carried"] = rows["carried"]
-        return out[schema.names]
+                words = [w for w, g in zip(words, gone[a : a + len(words)], strict=True) if not g]
+            kept.append(b" ".join(words) if n or not carry else None)
+        new = pa.array(kept, pa.binary()).cast(pa.string())
+        if not carry:
+            return pa.table({"c0": rows.column(0), "n_words": pa.array(texts.lengths), "n_removed": pa.array(removed.astype(np.int64)), "kept_text": new})
+        text = rows.column(place).combine_chunks()
+        new = new.cast(text.type)
+        out = rows.set_column(place, rows.schema.names[place], pa.compute.coalesce(new, text))
+        if counted is not None:
+            size = pa.compute.utf8_length(new).cast(rows.column(counted).type)
+            out = out.set_column(counted, rows.schema.names[counted], pa.compute.coalesce(size, rows.column(counted).combine_chunks()))
+        return out
 
-    first = chunked.groupBy("chunk").applyInPandas(send_anchors, B.BLOCK_SCHEMA).groupBy("kind", "part").applyInPandas(add, B.BLOCK_SCHEMA)
-    second = chunked.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(send_windows, B.BLOCK_SCHEMA).groupBy("kind", "part").applyInPandas(add, B.BLOCK_SCHEMA)
-    return chunked.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInPandas(finish, schema)
+    asked = bundles.select("chunk", "blob").mapInArrow(first, B.BLOCKS)
+    names = None
+    for r in range(ROUNDS):
+        given = B.exchanged(asked, parts, number)
+        names = given if names is None else names.union(given)
+        step = later(r + 1) if r + 1 < ROUNDS else candidates
+        asked = mine.cogroup(names.filter(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(step, B.BLOCKS)
+    often = asked.groupBy("kind", "part").applyInArrow(verify, B.ANSWERS)
+    done = mine.cogroup(often.groupBy("chunk")).applyInArrow(finish, out_schema)
+    return done.toDF(*(columns if carry else ["doc_id", "n_words", "n_removed", "kept_text"]))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated words gone from the text, and with the columns they came with; n_chars follows the text."""
-    done = without_repeats(docs, id_col, text_col, carry=True)
-    others = T.StructType([f for f in docs.schema.fields if f.name not in (id_col, text_col)])
-    time = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    row = F.from_json("carried", others, time) if len(others) else F.lit(None)
-    out = done.select(F.col("doc_id").alias(id_col), F.col("kept_text").alias(text_col), "n_removed", row.alias("_carried_"))
-    columns = []
-    for c in docs.columns:
-        if c in (id_col, text_col):
-            columns.append(F.col(f"`{c}`"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("n_removed") > 0, F.length(F.col(f"`{text_col}`"))).otherwise(F.col(f"_carried_.`{c}`")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(f"_carried_.`{c}`").alias(c))
-    return out.select(*columns)
+    return without_repeats(docs, id_col, text_col, carry=True)
 
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
