@@ -1,19 +1,24 @@
-"""Harmonic packing: pieces of reciprocal-capacity lengths, a fixed count of them in each bin of a class.
+"""Harmonic packing: classes of reciprocal-capacity lengths, a fixed count of documents in each bin of a class.
 
-Class k holds pieces of capacity // k tokens, k of which fill a sequence. A document is cut greedily: a whole
-sequence as often as it fits, then the largest class below the rest, and so on; rests under 32 tokens go by powers of
-two. Each worker fills the bins of its classes on its own, and cuts what it has left over into sequences whose lengths
-are powers of two, which need no padding. The sequence ids of a worker start at its partition number shifted left.
+A document of class k is over capacity / (k + 1) and up to capacity / k tokens long; k of them make a bin of their class, whole.
+What a bin has left is filled from a small store of documents of the same worker: first with whole ones that fit, then with a
+piece cut from one. A document longer than a sequence gives off whole sequences first. Each worker fills its bins on its
+own; what it has left over at its end is laid end to end and cut at capacity, and at last at powers of two, which need no padding.
+The sequence ids of a worker start at its partition number shifted left.
 
-Defined results: a null text counts as an empty one and gives the end id alone; texts of any length are cut
+Ids come from the tokenizer file itself: texts are split as its pre-tokenizer splits them, and each distinct part is encoded
+once by `tokenizers` and kept (for up to MOST_PARTS parts). A text that holds one of the file's added tokens is encoded as a whole.
+
+Defined results: a null text counts as an empty one and gives the end id alone; texts of any length are packed
 whole; repeated rows are packed each; an empty table gives an empty result; other columns of the input are not
-read; a null doc_id passes through.
+read; ids are of any atomic type, and a null one passes through.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -24,68 +29,106 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrove.llm.common import small_batches, table
+from lexgrove.llm.common import id_back, id_text, table
 
 CAPACITY = 2048
 #: The bits of a sequence id below the number of the partition.
 SEQUENCE_BITS = 36
-SMALLEST_CLASS = 32
-
-
-def tokenizer(ranks_path: str | None = None, json_path: str | None = None) -> Callable[[str], list[int]]:
-    """Encodes as byte_bpe_50k.json does. The same merges by their ranks give the same ids in a fifth of the
-    time; where that engine refuses a text, the file's own tokenizer encodes it."""
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    exact: list[Tokenizer] = []
-
-    def encode(text: str) -> list[int]:
-        try:
-            return fast.encode(text, allowed_special="all")
-        except BaseException as e:  # the engine's panics are no Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            if not exact:
-                exact.append(Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json")))
-            return exact[0].encode(text, add_special_tokens=False).ids
-
-    return encode
-
-
-def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(piece, class) of one document, in order; the pieces sum up to its length."""
-    out = [(capacity, 1)] * (length // capacity)
-    rest = length % capacity
-    while rest:
-        if rest >= SMALLEST_CLASS:
-            k = -(-capacity // rest)  # the smallest k with capacity / k <= rest
-            piece = capacity // k
-        else:
-            piece = 1 << (rest.bit_length() - 1)
-            k = capacity // piece
-        out.append((piece, k))
-        rest -= piece
-    return out
+#: Parts of texts whose ids a worker keeps.
+MOST_PARTS = 600_000
+
+
+class Encoder:
+    """The ids of texts, as little-endian 32-bit numbers, as `tokenizers` gives them for the file."""
+
+    def __init__(self, json_path: str | None = None) -> None:
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > MOST_PARTS:
+            self.known.clear()
+        out = []
+        for text in texts:
+            if any(t in text for t in self.special):
+                out.append(self.whole(text))
+                continue
+            parts = self.split(text)
+            try:
+                out.append(b"".join(map(self.known.__getitem__, parts)))
+            except KeyError:
+                new = list(set(parts).difference(self.known))
+                for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                    self.known[part] = np.array(e.ids, "<u4").tobytes()
+                out.append(b"".join(map(self.known.__getitem__, parts)))
+        return out
+
+
+def class_of(length: int, capacity: int = CAPACITY) -> int:
+    """The largest k with length <= capacity / k."""
+    return capacity // length
 
 
 class Packer:
-    """Fills the bins of one worker. A bin is open until it holds its class's count of pieces."""
+    """Fills the bins of one worker. A bin is open until it holds its class's count of documents."""
 
     def __init__(self, first_id: int, capacity: int = CAPACITY) -> None:
-        self.next_id, self.capacity, self.open = first_id, capacity, defaultdict(list)
+        self.next_id, self.capacity = first_id, capacity
+        self.open: dict[int, list[tuple]] = defaultdict(list)
+        self.store: list[tuple] = []  # (tokens, number, row, start, ids, tokens of the document), by tokens
+        self.stored = self.turn = 0
 
     def add(self, row: tuple, ids: np.ndarray) -> Iterator[tuple]:
-        start = 0
-        for piece, k in cut(len(ids), self.capacity):
-            self.open[k].append((row, start, ids[start : start + piece], len(ids)))
-            start += piece
-            if len(self.open[k]) == k:
-                yield from self._close(self.open.pop(k))
+        start, n = 0, len(ids)
+        while n - start >= self.capacity:
+            yield from self._close([(row, start, ids[start : start + self.capacity], n)])
+            start += self.capacity
+        if start == n:
+            return
+        piece = (row, start, ids[start:], n)
+        if self.stored < self.capacity:  # at least what any bin lacks
+            self._keep(piece)
+            return
+        k = class_of(n - start, self.capacity)
+        held = self.open[k]
+        held.append(piece)
+        if len(held) == k:
+            del self.open[k]
+            yield from self._close(self._filled(held))
+
+    def _keep(self, piece: tuple) -> None:
+        self.turn += 1
+        insort(self.store, (len(piece[2]), self.turn, *piece))
+        self.stored += len(piece[2])
+
+    def _take(self, at: int) -> tuple:
+        _, _, row, start, ids, n = self.store.pop(at)
+        self.stored -= len(ids)
+        return row, start, ids, n
+
+    def _filled(self, held: list[tuple]) -> list[tuple]:
+        """The bin with its rest filled: whole documents of the store while one fits, then a piece of the longest."""
+        room = self.capacity - sum(len(p[2]) for p in held)
+        while room and self.store:
+            at = bisect_right(self.store, room, key=lambda x: x[0]) - 1
+            if at >= 0:
+                held.append(self._take(at))
+            else:
+                row, start, ids, n = self._take(len(self.store) - 1)
+                held.append((row, start, ids[:room], n))
+                self._keep((row, start + room, ids[room:], n))
+            room -= len(held[-1][2])
+        return held
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -95,8 +138,8 @@ class Packer:
         self.next_id += 1
 
     def finish(self) -> Iterator[tuple]:
-        """What is left, at most one bin of each class: laid end to end and cut at capacity and then at powers of two."""
-        left, line = [p for k in sorted(self.open) for p in self.open[k]], []
+        """What is left, at most one bin of each class and the store: laid end to end and cut at capacity and then at powers of two."""
+        left, line = [p for k in sorted(self.open) for p in self.open[k]] + [x[2:] for x in self.store], []
         rest = sum(len(p[2]) for p in left)
         room = self._room(rest)
         for row, start, ids, n in left:
@@ -108,32 +151,33 @@ class Packer:
                     yield from self._close(line)
                     line, room = [], self._room(rest)
         self.open.clear()
+        self.store.clear()
 
     def _room(self, rest: int) -> int:
         return self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1) if rest else 0
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, json_path: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. No shuffle."""
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = T.StructType([source.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in names)])
+    source = docs.select(id_text(docs, id_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in names[1:])])
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(ranks_path, json_path)
+        encode = Encoder(json_path)
         packer = Packer(TaskContext.get().partitionId() << SEQUENCE_BITS, capacity)
-        frame = lambda rows: pd.DataFrame(rows, columns=schema.names)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows += packer.add((doc,), np.array([*encode(text), end_id], "<u4"))
+                rows += packer.add((doc,), np.frombuffer(encode([text])[0] + end, "<u4"))
             if rows:
-                yield frame(rows)
+                yield pd.DataFrame(rows, columns=names)
         if rows := list(packer.finish()):
-            yield frame(rows)
+            yield pd.DataFrame(rows, columns=names)
 
-    return source.mapInPandas(run, schema)
+    packed = source.mapInPandas(run, schema)
+    return packed.select(id_back("doc_id", docs.schema[id_col].dataType).alias("doc_id"), *names[1:])
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
