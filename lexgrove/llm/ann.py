@@ -9,7 +9,8 @@ The number of probed lists is the smallest whose recall on the sample, against a
 
 Defined results: vectors that are null, zero, hold null or non-finite components, have no id, or another number of
 components than most, take no part; with fewer candidates than k all are returned; ties go to the smaller id; repeated
-rows are candidates each, but none is its own id's neighbour; an empty table gives an empty result; other columns of
+rows are candidates each, but none is its own id's neighbour, and equal rows ask once; where rows of one id have several vectors, a
+query's answer is the nearest of all of them; ids are integers; an empty table gives an empty result; other columns of
 the input are not read.
 """
 
@@ -74,12 +75,13 @@ def fit_lists(x: np.ndarray, n: int, k: int, target: float = 0.985, seed: int =
 def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np.ndarray, ids: np.ndarray, k: int, step: int = 16, slack: float = 3.0, tile: int = 64) -> Iterator[tuple[int, int, float]]:
     """(query, vector, score) of each query's k best. qr and xr: rotated; x: original, in double precision.
 
-    A tile of queries reads a block of columns at a time; a vector goes when the test has failed for all of them.
+    A tile of queries reads the first block of columns together; after it, each pair of a query and a vector goes on alone
+    and is abandoned when its test fails.
     """
     d = x.shape[1]
     order = np.argsort(-(xr**2).sum(1), kind="stable")
     x, xr, ids = x[order], xr[order], ids[order]
-    ends = [*range(step, d, step), d]
+    ends = [*range(min(step, d), d, step), d]
     x_norms = np.stack([(xr[:, :e] ** 2).sum(1) for e in ends])
     head = min(len(x), 4 * k)
     for a in range(0, len(q), tile):
@@ -88,25 +90,24 @@ def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np
         scores[own[:, None] == ids[:head]] = -np.inf
         floor = np.partition(scores, -k, axis=1)[:, -k] if head >= k else np.full(len(t), -np.inf)
         floor = np.where(np.isfinite(floor), floor, -1e300)
-        alive = np.arange(len(x))
-        part, open_ = np.zeros((len(t), len(x))), own[:, None] != ids
+        # pairs of a query and a vector; a pair that fails the test is abandoned, for this query alone
+        partial = t[:, : ends[0]] @ xr[:, : ends[0]].T
+        row, column = np.nonzero(own[:, None] != ids)
+        part = partial[row, column]
+        norms = np.stack([(t[:, :e] ** 2).sum(1) for e in ends])
         for i, e in enumerate(ends):
-            c = slice(ends[i - 1] if i else 0, e)
-            part += t[:, c] @ xr[alive, c].T
+            if i:
+                c = slice(ends[i - 1], e)
+                part = part + np.einsum("ij,ij->i", t[row, c], xr[column, c])
             if e == d:
                 break
             # the distance of a vector as near as the k-th best follows from its norm and the query's
-            limit = (t**2).sum(1)[:, None] + x_norms[-1][alive] - 2 * floor[:, None]
-            far = (t[:, :e] ** 2).sum(1)[:, None] + x_norms[i][alive] - 2 * part
-            open_ &= far * (d / e) <= (1 + slack / np.sqrt(e)) ** 2 * limit + 1e-9
-            some = open_.any(0)
-            if some.mean() < 0.8:
-                alive, part, open_ = alive[some], part[:, some], open_[:, some]
-        part[~open_] = -np.inf
-        if part.shape[1] > k:  # a little below the k-th, as rotating rounds
-            open_ &= part >= (np.partition(part, -k, axis=1)[:, -k] - 1e-9 * (1 + abs(floor) * (floor > -1e300)))[:, None]
-        row, column = np.nonzero(open_)
-        found = alive[column]
+            limit = norms[-1][row] + x_norms[-1][column] - 2 * floor[row]
+            far = norms[i][row] + x_norms[i][column] - 2 * part
+            near = far * (d / e) <= (1 + slack / np.sqrt(e)) ** 2 * limit + 1e-9
+            row, column, part = row[near], column[near], part[near]
+        near = part >= floor[row] - 1e-9 * (1 + abs(floor[row]) * (floor[row] > -1e300))  # a little below the k-th, as rotating rounds
+        row, found = row[near], column[near]
         exact = (x[found] * q[a + row]).sum(1)
         best = np.lexsort((ids[found], -exact, row))
         first = np.searchsorted(row[best], np.arange(len(t)))
@@ -135,7 +136,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
             yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "list": sent.value.assign(x).astype(np.int32), "probes": list(sent.value.probed(x).astype(np.int32)) if (b["vec_id"] % every == 0).any() else [np.zeros(0, np.int32)] * len(b)})
 
     dealt = source.mapInPandas(deal, "vec_id long, v array<double>, list int, probes array<int>")
-    asked = dealt.filter(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode("probes").alias("list"))
+    asked = dealt.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.explode("probes").alias("list"))
     # parts of a list and of its queries: two counts for each of at most 4096 lists
     parts = {r["list"]: r["count"] for r in dealt.groupBy("list").count().collect()}
     turns = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}

@@ -4,7 +4,7 @@ Everything here is DataFrame expressions; no Python runs on executors.
 
 Defined results: a null text counts as an empty one; an empty text has no words, fails the base rules and
 isn't kept; a text of any length is read whole; repeated rows are judged one by one; an empty table gives an
-empty result; columns of the input other than id and text are not touched, whatever their names.
+empty result; columns of the input other than id, text and n_chars are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,12 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.llm.common import SPACE, table
 
-#: The column that carries the verdict while other columns of the input pass through.
-VERDICT = "_line_first_verdict_"
-
 
 @dataclass(frozen=True)
 class LineRules:
@@ -36,12 +34,15 @@ class LineRules:
     unpunctuated_words: int = 40
     #: A document goes if failing lines hold more than this share of its words.
     max_lost_pct: int = 30
-    #: A line of up to 30 words fails if it holds one of these, compared in lower case.
+    #: A line of up to 30 words fails if it holds one of these, compared in lower case; English, German, French and Spanish.
     boilerplate: tuple[str, ...] = field(
         default=(
             "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "accept cookies",
             "enable javascript", "javascript is disabled", "subscribe to our newsletter", "sign up for our", "click here to",
             "skip to content", "back to top", "share this", "powered by wordpress",
+            "cookie-richtlinie", "datenschutzerklärung", "alle rechte vorbehalten", "zum inhalt springen", "nach oben", "newsletter abonnieren",
+            "politique de confidentialité", "tous droits réservés", "aller au contenu", "haut de page", "accepter les cookies", "conditions générales",
+            "política de privacidad", "política de cookies", "todos los derechos reservados", "ir al contenido", "volver arriba", "aceptar cookies",
         )
     )
 
@@ -64,13 +65,12 @@ def _passes(rules: LineRules) -> str:
         or (x.w <= 30 and rlike(lower(x.l), '(^| )({rules.boilerplate_pattern()})'))))"""
 
 
-def verdicts(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """docs with one more column VERDICT: a struct of the counts, the flags and the cleaned text."""
-    t = "_t"
+def judged(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """row: the columns of docs, so that none of their names meets one from here; verdict: the counts, the flags, the cleaned text."""
     steps: list[tuple[str, str]] = [
-        ("_w", rf"filter(split({t}, '{SPACE.replace(chr(92), chr(92) * 2)}'), v -> v <> '')"),
-        ("_c", rf"regexp_replace({t}, '{SPACE.replace(chr(92), chr(92) * 2)}', '')"),
-        ("_l", rf"transform(filter(split({t}, '\\n'), l -> rlike(l, '[^\\x20\\x09-\\x0D]')), l -> {_line()})"),
+        ("_w", rf"filter(split(_t, '{SPACE.replace(chr(92), chr(92) * 2)}'), v -> v <> '')"),
+        ("_c", rf"regexp_replace(_t, '{SPACE.replace(chr(92), chr(92) * 2)}', '')"),
+        ("_l", rf"transform(filter(split(_t, '\\n'), l -> rlike(l, '[^\\x20\\x09-\\x0D]')), l -> {_line()})"),
         ("_n", "cast(size(_w) as bigint)"),
         # one hash for each window of three words, with its place
         ("_h", "if(_n < 3, cast(array() as array<struct<h: bigint, i: int>>), transform(slice(_w, 1, size(_w) - 2), (a, i) -> named_struct('h', xxhash64(a, _w[i + 1], _w[i + 2]), 'i', i)))"),
@@ -82,7 +82,7 @@ def verdicts(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()
         ("_lost", "_n - aggregate(_k, 0L, (s, x) -> s + x.w)"),
         ("_b", f"_n < {rules.min_words} or 100 * _r > {rules.max_repeat_pct} * _n"),
     ]
-    out = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     for name, sql in steps:
         out = out.withColumn(name, F.expr(sql))
     verdict: list[Column] = [
@@ -96,20 +96,30 @@ def verdicts(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()
         F.col("_lost").alias("n_lost_words"),
         F.expr("array_join(_k.l, '\\n')").alias("clean_text"),
     ]
-    return out.withColumn(VERDICT, F.struct(*verdict)).drop(t, *(name for name, _ in steps))
+    return out.select("row", F.struct(*verdict).alias("verdict"))
 
 
 def line_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """One row for each document: id, counts, base_failed, kept, n_lost_words, clean_text."""
-    judged = verdicts(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), rules=rules)
-    return judged.select("doc_id", f"{VERDICT}.*")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return judged(source, rules=rules).select("row.doc_id", "verdict.*")
 
 
 def keep_passing(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that are kept, whole, with the columns they came with."""
+    """The documents that are kept, without their failing lines, with the columns they came with. A text without failing lines
+    stays as it is; n_chars follows the text where it is a column of integers."""
     # the generator keeps the optimizer from evaluating the rules again inside a pushed filter
-    judged = verdicts(docs, text, rules).withColumn(VERDICT, F.explode(F.array(VERDICT)))
-    return judged.filter(F.col(f"{VERDICT}.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = judged(docs, text, rules).withColumn("verdict", F.explode(F.array("verdict"))).filter("verdict.kept")
+    cut = F.col("verdict.n_lost_words") > 0
+    columns = []
+    for f in docs.schema.fields:
+        column = F.col(f"row.`{f.name}`")
+        if f.name == text:
+            column = F.when(cut, F.col("verdict.clean_text")).otherwise(column)
+        elif f.name == "n_chars" and isinstance(f.dataType, (T.LongType, T.IntegerType)):
+            column = F.when(cut, F.length("verdict.clean_text")).otherwise(column).cast(f.dataType)
+        columns.append(column.alias(f.name))
+    return out.select(*columns)
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ crc32(doc_id) mod 4 is not 2 are learnt from. Neither labels nor language, sourc
 
 Defined results: a null or empty text has all its counts at zero and gets the score of those; texts of any length are
 read whole; repeated rows are scored alike; an empty table gives an empty result; labels that are null, or that
-contradict each other for a document, aren't learnt from; with no labels, or of one kind only, the score is the
+contradict each other for a document, aren't learnt from; of texts that share an id one is; with no labels, or of one kind only, the score is the
 share of good labels (0.5 without any); other columns of the input are not read.
 """
 
@@ -155,14 +155,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series([measures(t) for t in texts])
 
-    rows = source.join(F.broadcast(kept), "doc_id").select("doc_id", "y", measured("text").alias("x")).limit(2 * sample_rows).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    # kept: sample_rows rows at most; of texts that share an id, the one with the least measures is learnt from
+    rows = source.join(F.broadcast(kept), "doc_id").select("doc_id", "y", measured("text").alias("x")).groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(NAMES))
     order = np.lexsort((*x.T, rows["y"].to_numpy()))
     return fit(x[order], rows["y"].to_numpy(float)[order])
 
 
-def with_score(docs: DataFrame, model: AdditiveModel, text_col: str, name: str) -> DataFrame:
+def scores(docs: DataFrame, model: AdditiveModel, text_col: str) -> DataFrame:
+    """row: the columns of docs, so that none of their names meets one from here; score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # lookup tables of fixed size
 
     @F.pandas_udf("double")
@@ -171,21 +172,20 @@ def with_score(docs: DataFrame, model: AdditiveModel, text_col: str, name: str)
             x = np.array([measures(t) for t in texts], float).reshape(len(texts), len(NAMES))
             yield pd.Series(sent.value.score(x))
 
-    return docs.withColumn(name, score(F.col(text_col)))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), score(F.col(f"`{text_col}`")).alias("score"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: AdditiveModel | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted; a null id counts as not held out."""
     model = model or learn(docs, labels, id_col, text_col)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = with_score(source, model, "text", "score")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    out = scores(source, model, "text").select("row.doc_id", "score")
     return out.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
     """The documents with a score of THRESHOLD or more, with the columns they came with."""
-    scored = with_score(docs, model, text_col, "_additive_score_")
-    return scored.filter(F.col("_additive_score_") >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return scores(docs, model, text_col).filter(F.col("score") >= THRESHOLD).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
