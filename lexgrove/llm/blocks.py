@@ -34,6 +34,8 @@ MOST_PARTS = 512
 GROUP = 64
 BLOCKS = "chunk long, kind int, part int, keys binary, counts binary"
 ANSWERS = "chunk long, kind int, part int, values binary"
+#: Rows of BLOCKS of this kind aren't counted: their counts come back as they are, beside the answers.
+ALONG = 1000
 #: The chunk of an answer that holds the totals of a range: the sum of the counts, and the keys with a count.
 TOTALS = -1
 M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -113,10 +115,11 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
-def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | None = None) -> tuple[DataFrame, T.StructType, int]:
-    """The rows as a stored table (chunk, rows, chars, blob); the schema of the blobs' columns; all characters.
+def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | None = None, steady: bool = False) -> tuple[DataFrame, T.StructType, int]:
+    """The rows as a table (chunk, rows, chars, blob); the schema of the blobs' columns; all bytes of texts, about.
 
-    The columns are named c0, c1, ... in their order, whatever their names."""
+    The columns are named c0, c1, ... in their order, whatever their names. The table is stored, unless docs is steady: a
+    scan of files, which gives the same rows in the same order and partitions whenever it is read again."""
     limit = chars or BUNDLE_CHARS
     place = columns.index(text_col)
     source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
@@ -128,10 +131,8 @@ def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | Non
 
         def flush() -> pa.RecordBatch:
             nonlocal n, held, size
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
-                writer.write_table(pa.Table.from_batches(held).combine_chunks())
-            out = pa.record_batch({"chunk": pa.array([n], pa.int64()), "rows": pa.array([sum(b.num_rows for b in held)], pa.int64()), "chars": pa.array([size], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            blob = sealed(pa.Table.from_batches(held))
+            out = pa.record_batch({"chunk": pa.array([n], pa.int64()), "rows": pa.array([sum(b.num_rows for b in held)], pa.int64()), "chars": pa.array([size], pa.int64()), "blob": pa.array([blob], pa.binary())})
             n, held, size = n + 1, [], 0
             return out
 
@@ -150,11 +151,23 @@ def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | Non
         if held:
             yield flush()
 
-    table = stored(source.mapInArrow(run, "chunk long, rows long, chars long, blob binary"))
-    total = table.agg(F.sum("chars")).first()[0] or 0
+    table = source.mapInArrow(run, "chunk long, rows long, chars long, blob binary")
+    if steady:
+        total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")) + 8)).first()[0] or 0
+    else:
+        table = stored(table)
+        total = table.agg(F.sum("chars")).first()[0] or 0
     return table, source.schema, int(total)
 
 
+def sealed(table: pa.Table) -> bytes:
+    """A table as compressed Arrow data."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
 def opened(blob: bytes | pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(blob.as_py() if isinstance(blob, pa.Scalar) else blob).read_all()
 
@@ -189,13 +202,15 @@ def blocks_of(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts
     return out
 
 
-def added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The keys of each block of a range, the distinct ones, and their counts in all."""
+def added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a range's blocks, their counts in all, each key's place among them, and where blocks end."""
     keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
     counts = np.concatenate([unpack(c, U) for c in table["counts"].to_pylist()])
+    ends = np.cumsum([len(k) for k in keys])
     together = np.concatenate(keys)
     distinct = np.unique(together)
-    return keys, distinct, np.bincount(np.searchsorted(distinct, together), counts.astype(float), len(distinct)).astype(np.int64)
+    at = np.searchsorted(distinct, together)
+    return distinct, np.bincount(at, counts.astype(float), len(distinct)).astype(np.int64), at, ends
 
 
 Answer = Callable[[int, int, np.ndarray, np.ndarray], np.ndarray]
@@ -209,9 +224,11 @@ def exchanged(sent: DataFrame, parts: int, answer: Answer, most_parts: int | Non
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         kind, part = key[0].as_py(), key[1].as_py()
-        keys, distinct, total = added(table)
-        values = answer(kind, part, distinct, total)
-        out = [(c, kind, part, pack(values[np.searchsorted(distinct, k)])) for c, k in zip(table["chunk"].to_pylist(), keys, strict=True)]
+        if kind == ALONG:
+            return along(table)
+        distinct, total, at, ends = added(table)
+        values = answer(kind, part, distinct, total)[at]
+        out = [(c, kind, part, pack(x)) for c, x in zip(table["chunk"].to_pylist(), np.split(values, ends[:-1]), strict=True)]
         out.append((TOTALS, kind, part, pack(np.array([total.sum(), (total > 0).sum()], U))))
         return answer_table(out)
 
@@ -222,16 +239,20 @@ def exchanged(sent: DataFrame, parts: int, answer: Answer, most_parts: int | Non
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         team, kind, part = (x.as_py() for x in key)
-        _, distinct, total = added(table)
+        if kind == ALONG:
+            return pa.Table.from_batches([block_table([])])
+        distinct, total, _, _ = added(table)
         return pa.Table.from_batches([block_table(blocks_of(team << 20 | part, kind, distinct, total, parts))])
 
     def split(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         _, kind, part = (x.as_py() for x in key)
+        if kind == ALONG:
+            return along(table)
         if not table.num_rows:  # totals
             return answers.select(["chunk", "kind", "part", "values"])
-        keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
-        distinct, values = np.unique(np.concatenate(keys)), in_order(answers, U)
-        return answer_table([(c, kind, part, pack(values[np.searchsorted(distinct, k)])) for c, k in zip(table["chunk"].to_pylist(), keys, strict=True)])
+        _, _, at, ends = added(table)
+        values = in_order(answers, U)[at]
+        return answer_table([(c, kind, part, pack(x)) for c, x in zip(table["chunk"].to_pylist(), np.split(values, ends[:-1]), strict=True)])
 
     merged = keyed.groupBy("team", "kind", "part").applyInArrow(merge, BLOCKS).groupBy("kind", "part").applyInArrow(add, ANSWERS)
     back = merged.select("chunk", "kind", "part", "values", F.when(F.col("chunk") == TOTALS, TOTALS - F.col("part")).otherwise(F.shiftright("chunk", 20)).alias("team"), F.when(F.col("chunk") == TOTALS, F.col("part")).otherwise(F.col("chunk").bitwiseAND(F.lit(2**20 - 1))).cast("int").alias("coarse"))
@@ -239,6 +260,10 @@ def exchanged(sent: DataFrame, parts: int, answer: Answer, most_parts: int | Non
     return own.groupBy("team", "kind", "coarse").cogroup(back.groupBy("team", "kind", "coarse")).applyInArrow(split, ANSWERS)
 
 
+def along(table: pa.Table) -> pa.Table:
+    return answer_table(list(zip(*(table[c].to_pylist() for c in ("chunk", "kind", "part", "counts")), strict=True)))
+
+
 def sent_parts(parts: int, most_parts: int | None = None) -> int:
     """Into how many ranges bundles cut their keys: the parts, or fewer where groups of bundles are merged first."""
     return parts if parts <= (most_parts or MOST_PARTS) else int(parts**0.5) + 1

@@ -23,6 +23,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,23 @@ from lexgrove.llm.common import table
 WINDOW = 35
 #: Rounds of naming, and levels of runs and pairs in a round.
 ROUNDS, LEVELS = 2, 2
-#: Kinds of blocks: a round's symbols have the round's number; windows of words, and where they start.
-WINDOWS, STARTS = 100, 101
+#: Kinds of blocks: a round's symbols have the round's number; windows of words, and where they start; open windows go along.
+WINDOWS, STARTS, OPEN = 100, 101, B.ALONG
 #: Bits of a symbol's hash that are left out when it is sent.
 SHORT = np.uint64(16)
 U = np.uint64
-_BASES = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.r_[U(1), np.cumprod(np.full(n - 1, U(base)))]
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... up to n of them."""
+    return _powers(base, 1 << max(16, n.bit_length()))[:n]
 
 
 class Texts:
@@ -51,10 +63,15 @@ class Texts:
     def __init__(self, texts: list[bytes]) -> None:
         self.words = [t.split() for t in texts]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        known = B.Words()
-        self.ids = np.concatenate([np.zeros(0, U), *map(known.ids, self.words)])
         self.first = np.cumsum(self.lengths) - self.lengths
 
+    def ids(self, docs: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A hash of each word of the given documents; 0 for the words of others."""
+        out, known = np.zeros(int(self.lengths.sum()), U), B.Words(seed=seed)
+        for d in docs.tolist():
+            out[self.first[d] : self.first[d] + self.lengths[d]] = known.ids(self.words[d])
+        return out
+
     def starts(self, width: int) -> np.ndarray:
         """Where windows of so many words start."""
         counts = np.maximum(self.lengths - width + 1, 0)
@@ -62,25 +79,14 @@ class Texts:
 
     def digests(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits of the windows that start at the given places; by two independent hashes of each word."""
-        if not len(at):
-            return np.zeros(0, U), np.zeros(0, U)
-        need = np.zeros(len(self.ids) + 1, np.int64)
-        np.add.at(need, at, 1)
-        np.add.at(need, at + width, -1)
-        need = np.cumsum(need)[:-1] > 0
-        other, known = np.zeros(len(self.ids), U), B.Words(seed=1)
-        for words, first, n in zip(self.words, self.first, self.lengths, strict=True):
-            if need[first : first + n].any():
-                other[first : first + n] = known.ids(words)
         out = []
-        for ids, base in zip((self.ids, other), _BASES, strict=True):
-            sums, factor = np.zeros(len(at), U), U(1)
-            spread = B.mixed(ids + U(width))
+        docs = np.unique(np.searchsorted(self.first, at, "right") - 1)
+        docs = docs[self.lengths[docs] > 0]
+        for seed, base in enumerate(_BASES):
+            spread = B.mixed(self.ids(docs, seed) + U(width))
             with np.errstate(over="ignore"):
-                for k in range(width):
-                    sums += spread[at + k] * factor
-                    factor = factor * base
-            out.append(B.mixed(sums))
+                sums = np.r_[U(0), np.cumsum(spread * _power(base, len(spread)), dtype=U)]
+                out.append(B.mixed((sums[at + width] - sums[at]) * _power(pow(base, -1, 2**64), len(spread) + 1)[at]))
         return out[0], out[1] >> U(32)
 
 
@@ -91,58 +97,110 @@ class Symbols:
     document's ends depends on what no window holds. fresh: formed in this round."""
 
     def __init__(self, texts: Texts) -> None:
-        n = len(texts.ids)
-        self.name, self.start, self.end = texts.ids | U(1), np.arange(n), np.arange(1, n + 1)
-        self.doc = np.repeat(np.arange(len(texts.lengths)), texts.lengths)
-        self.low, self.high = (texts.first - 1)[self.doc], (texts.first + texts.lengths + 1)[self.doc]
+        n = int(texts.lengths.sum())
+        self.name = texts.ids(np.arange(len(texts.lengths))) | U(1)
+        self.start, self.end = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
+        self.doc = np.repeat(np.arange(len(texts.lengths), dtype=np.int32), texts.lengths)
+        self.low, self.high = (texts.first - 1).astype(np.int32), (texts.first + texts.lengths + 1).astype(np.int32)
         self.fresh = np.zeros(n, bool)
 
-    def _keep(self, at: np.ndarray) -> None:
-        for c in ("name", "start", "end", "doc", "low", "high", "fresh"):
-            setattr(self, c, getattr(self, c)[at])
+    def _beside(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether a symbol and the next are of one document; where the symbol before starts; where the one after ends."""
+        inner = self.doc[1:] == self.doc[:-1]
+        before, after = np.empty_like(self.start), np.empty_like(self.end)
+        before[1:], after[:-1] = self.start[:-1], self.end[1:]
+        edge = np.flatnonzero(~inner)
+        head, tail = np.r_[0, edge + 1], np.r_[edge, len(before) - 1]
+        before[head], after[tail] = self.low[self.doc[head]], self.high[self.doc[tail]]
+        return inner, before, after
 
     def fold(self, level: int) -> None:
         """One level: runs of equal symbols, then pairs of a left and a right one."""
         if not len(self.name):
             return
-        name, inner = self.name, self.doc[1:] == self.doc[:-1]
-        # a run depends on the symbols beside it, which are others
+        # a run depends on the symbols beside it, which are others; without a name, a symbol stands for itself
+        name = self.name
+        inner, before, after = self._beside()
         head = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | ~inner | (name[1:] == 0)])
-        tail = np.r_[head[1:] - 1, len(name) - 1]
-        size = tail - head + 1
-        start = np.where(np.r_[False, inner][head], self.start[head - 1], self.low[head])
-        end = np.where(np.r_[inner, False][tail], self.end[np.minimum(tail + 1, len(name) - 1)], self.high[tail])
-        lone = name[head] == 0  # without a name, a symbol stands for itself
-        start, end = np.where(lone, self.start[head], start), np.where(lone, self.end[head], end)
-        self._keep(head)
-        self.name = np.where(size > 1, B.joined(self.name, size.astype(U)) | U(1), self.name)
-        self.fresh |= size > 1
-        self.start, self.end = start, end
+        named = name != 0
+        np.copyto(self.start, before, where=named)
+        np.copyto(self.end, after, where=named)
+        if len(head) < len(name):
+            tail = np.r_[head[1:], len(name)] - 1
+            size = (tail - head + 1).astype(U)
+            self.name = np.where(size > 1, B.joined(name[head], size) | U(1), name[head])
+            self.fresh = self.fresh[head] | (size > 1)
+            self.start, self.end, self.doc = self.start[head], self.end[tail], self.doc[head]
         # a left symbol depends on the next one, a right symbol on the one before
-        name, inner = self.name, self.doc[1:] == self.doc[:-1]
-        side = B.mixed(name + U(level + 1)) >> U(63)
-        left, right = (side == 0) & (name != 0), (side == 1) & (name != 0)
+        name = self.name
+        inner, before, after = self._beside()
+        right = B.mixed(name + U(level + 1)) >> U(63) == 1
+        named = name != 0
+        left, right = ~right & named, right & named
         pair = np.r_[left[:-1] & right[1:] & inner, False]
         second = np.r_[False, pair[:-1]]
-        after = np.where(np.r_[inner, False], np.r_[self.end[1:], self.end[-1:]], self.high)
-        before = np.where(np.r_[False, inner], np.r_[self.start[:1], self.start[:-1]], self.low)
-        end = np.where(left, np.maximum(after, self.end), self.end)
-        start = np.where(right & ~second, np.minimum(before, self.start), self.start)
-        self.name = np.where(pair, B.joined(name, np.r_[name[1:], name[-1:]]) | U(1), name)
-        self.fresh |= pair
-        self.start, self.end = start, end
-        self._keep(~second)
+        np.copyto(self.end, after, where=left)
+        np.copyto(self.start, before, where=right & ~second)
+        at = np.flatnonzero(pair)
+        name[at] = B.joined(name[at], name[at + 1]) | U(1)
+        self.fresh[at] = True
+        keep = ~second
+        for c in ("name", "start", "end", "doc", "fresh"):
+            setattr(self, c, getattr(self, c)[keep])
+
+
+class Open:
+    """Windows of a bundle that may occur elsewhere, by where they start, and the symbols that ask Spark for a name.
+
+    key: the symbol's place among the distinct ones asked for; start, end: what it depends on."""
+
+    def __init__(self, windows: np.ndarray, width: int) -> None:
+        self.windows, self.width = windows, width
+        self.key = self.start = self.end = np.zeros(0, np.int64)
+
+    def holds(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether an open window holds the interval."""
+        count = np.r_[0, np.cumsum(self.windows)]
+        first, last = np.maximum(end - self.width, 0), np.minimum(start, len(self.windows) - 1)
+        held = (first <= last) & (last >= 0)
+        held[held] = count[last[held] + 1] > count[first[held]]
+        return held
+
+    def close(self, numbers: np.ndarray) -> np.ndarray:
+        """Closes the windows around symbols without a number; gives each asking symbol's number."""
+        given = numbers[self.key]
+        gone = given == 0
+        first, last = np.maximum(self.end[gone] - self.width, 0), self.start[gone]
+        n = len(self.windows) + 1
+        shut = np.bincount(first, minlength=n)[:n] - np.bincount(last + 1, minlength=n)[:n]
+        self.windows &= np.cumsum(shut)[:-1] == 0
+        return given
+
+    def dump(self) -> bytes:
+        arrays = [self.key.astype(np.int32), np.diff(self.start, prepend=0).astype(np.int32), (self.end - self.start).astype(np.int32), intervals(np.flatnonzero(self.windows)), np.array([len(self.windows)])]
+        parts = [B.pack(x) for x in arrays]
+        return b"".join([*(len(x).to_bytes(4, "little") for x in parts), *parts])
+
+    @staticmethod
+    def load(data: bytes, width: int) -> Open:
+        sizes = [int.from_bytes(data[4 * i : 4 * i + 4], "little") for i in range(5)]
+        ends = np.cumsum([20, *sizes])
+        key, start, size, runs, n = (B.unpack(data[a:b], t) for a, b, t in zip(ends, ends[1:], (np.int32, np.int32, np.int32, U, np.int64), strict=False))
+        out = Open(np.zeros(int(n[0]), bool), width)
+        out.windows[from_intervals(runs)] = True
+        out.key, out.start = key, np.cumsum(start, dtype=np.int64)
+        out.end = out.start + size
+        return out
 
 
 class Parse:
     """A bundle's parse: what it asks Spark to name in each round, and the windows that may occur elsewhere."""
 
     def __init__(self, texts: Texts, width: int) -> None:
-        self.texts, self.width, self.round = texts, width, 0
-        self.symbols = Symbols(texts)
-        self.open = np.zeros(len(texts.ids) + 1, bool)  # windows by where they start
-        self.open[texts.starts(width)] = True
-        self._asked: np.ndarray | None = None
+        self.round, self.symbols = 0, Symbols(texts)
+        windows = np.zeros(int(texts.lengths.sum()) + 1, bool)
+        windows[texts.starts(width)] = True
+        self.open = Open(windows, width)
         self._fold()
 
     def _fold(self) -> None:
@@ -151,35 +209,18 @@ class Parse:
         for k in range(LEVELS):
             s.fold(self.round * LEVELS + k)
         # a symbol asks for a name if an open window holds it with all that it depends on
-        count = np.r_[0, np.cumsum(self.open)]
-        first, last = np.maximum(s.end - self.width, 0), np.minimum(s.start, len(self.open) - 1)
-        held = (first <= last) & (last >= 0)
-        held[held] = count[last[held] + 1] > count[first[held]]
-        self._asked = np.flatnonzero(s.fresh & held)
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct new symbols and how often they occur here, twice at most."""
-        keys, counts = np.unique(self.symbols.name[self._asked] >> SHORT << SHORT, return_counts=True)
-        return keys, np.minimum(counts, 2)
+        asked = np.flatnonzero(s.fresh)
+        self._asked = asked = asked[self.open.holds(s.start[asked], s.end[asked])]
+        self.keys, self.open.key, counts = np.unique(s.name[asked] >> SHORT << SHORT, return_inverse=True, return_counts=True)
+        self.counts = np.minimum(counts, 2)  # how often each occurs here, twice at most
+        self.open.start, self.open.end = s.start[asked].astype(np.int64), s.end[asked].astype(np.int64)
 
     def named(self, numbers: np.ndarray) -> None:
-        """Goes on with Spark's numbers for keys(); windows around a symbol without one close."""
-        s, asked = self.symbols, self._asked
-        keys = np.unique(s.name[asked] >> SHORT << SHORT)
-        given = numbers[np.searchsorted(keys, s.name[asked] >> SHORT << SHORT)]
-        s.name[asked] = np.where(given > 0, B.mixed(given + (U(self.round + 1) << U(56))) | U(1), U(0))
-        gone = asked[given == 0]
-        first, last = np.maximum(s.end[gone] - self.width, 0), s.start[gone]
-        shut = np.zeros(len(self.open) + 1, np.int64)
-        np.add.at(shut, first, 1)
-        np.add.at(shut, last + 1, -1)
-        self.open &= np.cumsum(shut)[:-1] == 0
+        """Goes on with Spark's numbers for the keys; windows around a symbol without one close."""
+        given = self.open.close(numbers)
         self.round += 1
-        if self.round < ROUNDS:
-            self._fold()
-
-    def windows(self) -> np.ndarray:
-        return np.flatnonzero(self.open)
+        self.symbols.name[self._asked] = np.where(given > 0, B.mixed(given + (U(self.round) << U(56))) | U(1), U(0))
+        self._fold()
 
 
 def parsed(blob: pa.Scalar, place: int, width: int, answers: pa.Table | None = None, rounds: int = 0) -> Parse:
@@ -226,32 +267,38 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = B.sent_parts(parts)
     mine = bundles.select("chunk", "blob").groupBy("chunk")
 
+    def asking(chunk: int, parse: Parse) -> list[tuple]:
+        """The blocks of a round; before the last one's answer, the open windows go along."""
+        rows = B.blocks_of(chunk, parse.round, parse.keys, parse.counts, cut)
+        return [*rows, (chunk, OPEN, chunk % cut, b"", parse.open.dump())] if parse.round == ROUNDS - 1 else rows
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                yield B.block_table(B.blocks_of(chunk, 0, *parsed(blob, place, width).keys(), cut))
+                yield B.block_table(asking(chunk, parsed(blob, place, width)))
 
     def later(rounds: int):
         def run(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return pa.Table.from_batches([B.block_table([])])
-            keys = parsed(left["blob"][0], place, width, answers, rounds).keys()
-            return pa.Table.from_batches([B.block_table(B.blocks_of(key[0].as_py(), rounds, *keys, cut))])
+            rows = asking(key[0].as_py(), parsed(left["blob"][0], place, width, answers, rounds)) if left.num_rows else []
+            return pa.Table.from_batches([B.block_table(rows)])
 
         return run
 
     def candidates(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows:
-            chunk, out = key[0].as_py(), parsed(left["blob"][0], place, width, answers, ROUNDS)
-            at = out.windows()
-            high, low, _, counts = window_keys(out.texts, at, width)
-            edges = np.searchsorted(B.part_of(high, parts), np.arange(parts + 1))
-            more = low << U(1) | (counts > 1).astype(U)
-            for p in np.flatnonzero(np.diff(edges)):
-                x, y = edges[p], edges[p + 1]
-                rows.append((chunk, WINDOWS, int(p), B.pack_sorted(high[x:y]), B.pack(more[x:y])))
+            chunk = key[0].as_py()
+            still = Open.load(answers.filter(pa.compute.equal(answers["kind"], OPEN))["values"][0].as_py(), width)
+            still.close(B.in_order(answers.filter(pa.compute.equal(answers["kind"], ROUNDS - 1))))
+            at = np.flatnonzero(still.windows)
             if len(at):
+                texts = Texts(B.texts_of(B.opened(left["blob"][0]).column(place)))
+                high, low, _, counts = window_keys(texts, at, width)
+                edges = np.searchsorted(B.part_of(high, parts), np.arange(parts + 1))
+                more = low << U(1) | (counts > 1).astype(U)
+                for p in np.flatnonzero(np.diff(edges)):
+                    x, y = edges[p], edges[p + 1]
+                    rows.append((chunk, WINDOWS, int(p), B.pack_sorted(high[x:y]), B.pack(more[x:y])))
                 rows.append((chunk, STARTS, chunk % parts, b"", B.pack(intervals(at))))
         return pa.Table.from_batches([B.block_table(rows)])
 
@@ -285,7 +332,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return nothing
         rows = B.opened(left["blob"][0])
         texts = Texts(B.texts_of(rows.column(place)))
-        edges = np.zeros(len(texts.ids) + 1, np.int64)
+        edges = np.zeros(int(texts.lengths.sum()) + 1, np.int64)
         starts = answers.filter(pa.compute.equal(answers["kind"], STARTS))
         if starts.num_rows:
             at = from_intervals(B.unpack(starts["values"][0].as_py(), U))
@@ -294,7 +341,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             np.add.at(edges, at, 1)
             np.add.at(edges, at + width, -1)
         gone = np.cumsum(edges)[:-1] > 0
-        removed = np.diff(np.r_[0, np.cumsum(gone)][np.r_[texts.first, len(texts.ids)]])
+        removed = np.diff(np.r_[0, np.cumsum(gone)][np.r_[texts.first, len(gone)]])
         kept = []
         for words, a, n in zip(texts.words, texts.first, removed, strict=True):
             if n:
@@ -314,10 +361,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = bundles.select("chunk", "blob").mapInArrow(first, B.BLOCKS)
     names = None
     for r in range(ROUNDS):
-        given = B.exchanged(asked, parts, number)
+        given = B.exchanged(asked, parts, number).filter(F.col("chunk") >= 0)
         names = given if names is None else names.union(given)
-        step = later(r + 1) if r + 1 < ROUNDS else candidates
-        asked = mine.cogroup(names.filter(F.col("chunk") >= 0).groupBy("chunk")).applyInArrow(step, B.BLOCKS)
+        if r + 1 < ROUNDS:
+            asked = mine.cogroup(names.groupBy("chunk")).applyInArrow(later(r + 1), B.BLOCKS)
+        else:
+            asked = mine.cogroup(given.groupBy("chunk")).applyInArrow(candidates, B.BLOCKS)
     often = asked.groupBy("kind", "part").applyInArrow(verify, B.ANSWERS)
     done = mine.cogroup(often.groupBy("chunk")).applyInArrow(finish, out_schema)
     return done.toDF(*(columns if carry else ["doc_id", "n_words", "n_removed", "kept_text"]))
