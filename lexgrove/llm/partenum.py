@@ -322,7 +322,8 @@ def block_links(families: DataFrame) -> DataFrame:
         low = label != np.arange(len(nodes))
         return pd.DataFrame({"a": nodes[label[low]], "b": nodes[low]})
 
-    return rows.groupBy("family", "i", "j").applyInPandas(meet, "a long, b long")
+    # dealt by block, as what a join has dealt by family alone would keep all blocks of a family in one task
+    return rows.repartition("family", "i", "j").groupBy("family", "i", "j").applyInPandas(meet, "a long, b long")
 
 
 def linked_rows(met: DataFrame) -> DataFrame:
