@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 TYPES = ("LOC", "MISC", "ORG", "PER")
 SENTENCE = ("doc_id", "sent_id")
+TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def sentences(docs: DataFrame, text: str = "text", *others: str) -> DataFrame:
@@ -21,7 +22,20 @@ def sentences(docs: DataFrame, text: str = "text", *others: str) -> DataFrame:
 def tokens(docs: DataFrame, *others: str) -> DataFrame:
     """doc_id, sent_id, tok_id, token; ids count from 0."""
     lines = sentences(docs, "text", *others)
-    return lines.select("doc_id", *others, "sent_id", F.posexplode(F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("tok_id", "token"))
+    return lines.select("doc_id", *others, "sent_id", F.posexplode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("tok_id", "token"))
+
+
+def sentences_of(text: Column) -> Column:
+    """Sentences of running text: cut at white space behind a full stop, exclamation or question mark. A substitute by rule."""
+    return F.filter(F.split(F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\x01"), "\x01"), lambda x: x != "")
+
+
+def words_of(sentence: Column) -> Column:
+    """Words, marks and clitics of a sentence as tokens of their own. A substitute by rule for treebank tokenizing."""
+    apart = F.regexp_replace(sentence, r"([Nn]'[Tt])([^\p{L}\p{N}]|$)", " $1 $2")
+    apart = F.regexp_replace(apart, r"([\p{L}\p{N}])('(?:[sS]|[dD]|[mM]|[lL][lL]|[rR][eE]|[vV][eE]))([^\p{L}\p{N}]|$)", "$1 $2 $3")
+    apart = F.regexp_replace(apart, r"([^\p{L}\p{N}\x20\x09-\x0D'_])", " $1 ")
+    return F.regexp_extract_all(apart, F.lit(TOKEN), F.lit(0))
 
 
 def part_of_speech(token: Column) -> Column:
@@ -51,13 +65,19 @@ def with_runs(rows: DataFrame, value: str, name: str = "run_id", keys: tuple[str
 def annotated(docs: DataFrame) -> DataFrame:
     """doc_id, source, sent_id, tok_id, token, pos, ner. A whole run of proper nouns is one entity, typed by its first token.
 
-    Runs are maximal, so no two entities of a sentence touch and none needs a B- tag."""
-    rows = with_runs(tokens(docs, "source").withColumn("pos", part_of_speech(F.col("token"))), "pos")
-    run = Window.partitionBy(*SENTENCE, "run_id").orderBy("tok_id")
+    Runs are maximal, so no two entities of a sentence touch and none needs a B- tag. All of it happens inside the line's arrays,
+    so there is no shuffle: places where the part of speech changes cut the line into runs, and runs give their tokens a type."""
+    lines = sentences(docs, "text", "source").withColumn("t", F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0)))
+    lines = lines.withColumn("p", F.transform("t", part_of_speech))
+    lines = lines.withColumn("b", F.expr("filter(sequence(0, size(p) - 1), i -> i = 0 or p[i] <> p[i - 1])")).filter("size(t) > 0")
     turn = F.when(F.col("source") == "src0", 1).otherwise(0)
-    kind = F.element_at(F.array(*map(F.lit, TYPES)), ((F.ascii(F.first("token").over(run)) + turn) % 4 + 1).cast("int"))
-    ner = F.when(F.col("pos") == "NNP", F.concat(F.lit("I-"), kind)).otherwise("O")
-    return rows.withColumn("ner", ner).select("doc_id", "source", "sent_id", "tok_id", "token", "pos", "ner")
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), ((F.ascii(F.get("t", F.col("r.a"))) + turn) % 4 + 1).cast("int"))
+    run = F.transform("b", lambda a, k: F.struct(a.alias("a"), F.coalesce(F.get("b", k + 1), F.size("t")).alias("z")))
+    rows = lines.select("doc_id", "source", "sent_id", "t", "p", F.explode(run).alias("r"))
+    rows = rows.select("doc_id", "source", "sent_id", F.col("r.a").alias("a"), F.get("p", F.col("r.a")).alias("pos"), kind.alias("kind"), F.expr("slice(t, r.a + 1, r.z - r.a)").alias("own"))
+    ner = F.when(F.col("pos") == "NNP", F.concat(F.lit("I-"), F.col("kind"))).otherwise("O")
+    rows = rows.select("doc_id", "source", "sent_id", "a", "pos", ner.alias("ner"), F.posexplode("own").alias("k", "token"))
+    return rows.select("doc_id", "source", "sent_id", (F.col("a") + F.col("k")).alias("tok_id"), "token", "pos", "ner")
 
 
 def split_of(doc_id: Column) -> Column:

@@ -9,11 +9,13 @@ from lexgrove.functions import surface
 from lexgrove.operators.annotations import SENTENCE
 
 
-def phrases(rows: DataFrame, lowercase: bool = False) -> DataFrame:
-    """phrase (tokens joined by a blank), n_tokens, kind, n: the distinct typed phrases of entities (entity_id, ner)."""
+def phrases(rows: DataFrame, lowercase: bool = False, keys: tuple[str, ...] = (*SENTENCE, "entity")) -> DataFrame:
+    """phrase (tokens joined by a blank), n_tokens, kind, n: the distinct typed phrases of entities.
+
+    keys tell entities apart, the last of them is NULL outside; those of with_local_entities need no shuffle of their own."""
     token = F.lower("token") if lowercase else F.col("token")
     ordered = F.sort_array(F.collect_list(F.struct("tok_id", token.alias("token"))))
-    found = rows.filter("entity_id is not null").groupBy("doc_id", "entity_id").agg(ordered.alias("o"), F.first(surface.normal_tag(F.col("ner"))).alias("kind"))
+    found = rows.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(ordered.alias("o"), F.first(surface.normal_tag(F.col("ner"))).alias("kind"))
     text = F.array_join(F.transform("o", lambda x: x["token"]), " ")
     return found.select(text.alias("phrase"), F.size("o").alias("n_tokens"), "kind").groupBy("phrase", "n_tokens", "kind").agg(F.count("*").alias("n"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexgrove.functions import surface
-from lexgrove.operators.annotations import SENTENCE, in_order, with_runs
+from lexgrove.operators.annotations import SENTENCE, TOKEN, in_order, part_of_speech, sentences_of, with_runs
+from lexgrove.sources.workspace import running_total
 
 NOUN_PHRASE = "^[CDJNP]"
 
@@ -18,22 +19,22 @@ def entity_starts(ner: Column, before: Column) -> Column:
     return (ner != "O") & (ner.startswith("B-") | before.isNull() | (surface.normal_tag(before) != kind))
 
 
+def with_local_entities(rows: DataFrame, ner: str = "ner") -> DataFrame:
+    """Adds entity: 0-based within the sentence, NULL outside entities. One shuffle, by sentence."""
+    w = in_order()
+    start = F.coalesce(entity_starts(F.col(ner), F.lag(ner).over(w)), F.lit(False)).cast("long")
+    return rows.withColumn("_s", start).withColumn("entity", F.when(F.col(ner) != "O", F.sum("_s").over(w) - 1)).drop("_s")
+
+
 def with_entity_ids(rows: DataFrame, ner: str = "ner") -> DataFrame:
     """Adds entity_id: 0-based in document order, NULL outside entities.
 
-    Counts are numbered within each sentence; sentences get their offsets from a table of one row for each, so that no
-    window runs over all tokens. Only that small table of sums is windowed as a whole, by document first.
-    """
-    w = in_order()
-    start = entity_starts(F.col(ner), F.lag(ner).over(w))
-    local = rows.withColumn("_s", F.coalesce(start, F.lit(False)).cast("long")).withColumn("_k", F.sum("_s").over(w))
-    by_sentence = local.groupBy(*SENTENCE).agg(F.sum("_s").alias("_n"))
-    by_doc = by_sentence.groupBy("doc_id").agg(F.sum("_n").alias("_d"))
-    docs = by_doc.withColumn("_do", F.sum("_d").over(Window.orderBy("doc_id")) - F.col("_d")).select("doc_id", "_do")
-    within = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("sent_id")) - F.col("_n")
-    offsets = by_sentence.withColumn("_so", within).join(docs, "doc_id").select(*SENTENCE, (F.col("_so") + F.col("_do")).alias("_o"))
-    out = local.join(offsets, list(SENTENCE)).withColumn("entity_id", F.when(F.col(ner) != "O", F.col("_k") + F.col("_o") - 1))
-    return out.drop("_s", "_k", "_o")
+    Entities are numbered within each sentence; a table with one row for each sentence gets the sums before it, range by range,
+    so that no task sees all documents."""
+    local = with_local_entities(rows, ner)
+    counts = local.groupBy(*SENTENCE).agg((F.coalesce(F.max("entity"), F.lit(-1)) + 1).alias("_n"))
+    offsets = running_total(counts, list(SENTENCE), "_n", "_o").select(*SENTENCE, "_o")
+    return local.join(offsets, list(SENTENCE)).withColumn("entity_id", F.col("entity") + F.col("_o")).drop("_o", "entity")
 
 
 def entity_counts(rows: DataFrame, types: tuple[str, ...], ner: str = "ner") -> DataFrame:
@@ -121,3 +122,22 @@ def split_union(first: DataFrame, second: DataFrame, ids: tuple[str, ...]) -> Da
     for c in ids:
         moved = moved.withColumn(c, F.col(c) + F.col(f"_m_{c}"))
     return first.unionByName(moved.select(*first.columns))
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (*SENTENCE, "tok_id"), token: str = "token") -> DataFrame:
+    """Two token tables side by side by position; rows without a token go. right's other columns must have names of their own."""
+    other = [c for c in right.columns if c not in (*keys, token)]
+    return left.join(right.select(*keys, *other), list(keys)).filter(F.col(token).isNotNull())
+
+
+def zip_mismatches(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (*SENTENCE, "tok_id"), token: str = "token") -> DataFrame:
+    """keys, of the places that only one table has or where the tokens differ; empty where the tables fit."""
+    both = left.select(*keys, F.col(token).alias("_a")).join(right.select(*keys, F.col(token).alias("_b")), list(keys), "full")
+    return both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys)
+
+
+def candidate_phrases(docs: DataFrame) -> DataFrame:
+    """doc_id, sent_id, start, n_tokens, phrase, is_entity: noun-phrase chunks of running text, by sentence rules and blanks."""
+    lines = docs.select("doc_id", F.posexplode(sentences_of(F.coalesce(F.col("text"), F.lit("")))).alias("sent_id", "line"))
+    rows = lines.select(*SENTENCE, F.posexplode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("tok_id", "token"))
+    return noun_phrase_chunks(rows.withColumn("pos", part_of_speech(F.col("token"))))

@@ -77,7 +77,7 @@ longest AS (SELECT * FROM dict_ WHERE phrase NOT IN (SELECT phrase FROM subs))""
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    train = _part(sequences.with_entity_ids(_ann(spark, sf)), "train")
+    train = sequences.with_local_entities(_part(_ann(spark, sf), "train"))
     return gazetteer.unambiguous(gazetteer.phrases(train))
 
 
@@ -99,8 +99,10 @@ def phrase_length(spark: SparkSession, sf: str) -> DataFrame:
     return gazetteer.maximal(_dictionary(spark, sf)).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
 
 
-def _tagged(spark: SparkSession, sf: str) -> DataFrame:
-    test = _part(sequences.with_entity_ids(_ann(spark, sf)), "test")
+def _tagged(spark: SparkSession, sf: str, ids: bool = False) -> DataFrame:
+    """ids: with entity_id, numbered over all splits."""
+    rows = _ann(spark, sf)
+    test = _part(sequences.with_entity_ids(rows) if ids else rows, "test")
     return gazetteer.tagged(test, gazetteer.maximal(_dictionary(spark, sf))).withColumn("gold", surface.normal_tag(F.col("ner")))
 
 
@@ -154,19 +156,19 @@ _VOTES = ", votes AS (SELECT entity_id, predicted AS label FROM (SELECT entity_i
 @query("majority_vote", _TAGGED + _VOTES + " SELECT entity_id, label FROM votes")
 def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
     """A11."""
-    return metrics.most_frequent(_tagged(spark, sf).filter("entity_id is not null"), ["entity_id"], "predicted")
+    return metrics.most_frequent(_tagged(spark, sf, True).filter("entity_id is not null"), ["entity_id"], "predicted")
 
 
 @query("filled_ids", _TAGGED + ", m AS (SELECT max(entity_id) AS m FROM tagged) SELECT doc_id, sent_id, tok_id, coalesce(entity_id, m + row_number() OVER (PARTITION BY doc_id, entity_id IS NULL ORDER BY sent_id, tok_id))::BIGINT AS entity_id FROM tagged, m")
 def filled_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers are kept apart by document, not over the whole corpus."""
-    return sequences.filled_ids(_tagged(spark, sf)).select("doc_id", "sent_id", "tok_id", "entity_id")
+    return sequences.filled_ids(_tagged(spark, sf, True)).select("doc_id", "sent_id", "tok_id", "entity_id")
 
 
 @query("entity_level_report", _TAGGED + _VOTES + ", e AS (SELECT entity_id, min(gold) AS gold FROM tagged WHERE entity_id IS NOT NULL GROUP BY 1), o AS (SELECT gold, label AS predicted FROM e JOIN votes USING (entity_id) UNION ALL SELECT gold, predicted FROM tagged WHERE entity_id IS NULL)" + _report_sql("o", "gold", "predicted") + "SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score, support::BIGINT AS support FROM rep")
 def entity_level_report(spark: SparkSession, sf: str) -> DataFrame:
     """One vote for each entity, other tokens stand alone."""
-    rows = sequences.filled_ids(_tagged(spark, sf))
+    rows = sequences.filled_ids(_tagged(spark, sf, True))
     voted = metrics.most_frequent(rows, ["doc_id", "entity_id", "gold"], "predicted")
     return metrics.classification_report(voted, "gold", "label")
 

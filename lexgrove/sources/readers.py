@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexgrove.functions.surface import NO_ENTRY
+from lexgrove.sources.workspace import numbered
 
 PAGE = "title string, ns int, id long, redirect struct<_title: string>, revision struct<id: long, contributor: struct<id: long>, text: struct<_VALUE: string>>"
 TOKEN = "Article_ID int, Sentence_ID int, Token_ID int, Token string, POS_Tag string, Chunk_Tag string, NER_Tag string, NER_Tag_ID long, NER_Tag_Normalized string"
-MARKS = ("-DOCSTART- -X- O O\n\n", "-DOCSTART- -X- -X- O\n\n")
+#: Fixed values of the corpus files: what opens a document, and the rest of that line in one file or another.
+MARK = "-DOCSTART- "
+MARK_ENDS = ("-X- O O\n\n", "-X- -X- O\n\n")
 
 
 def pages(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
@@ -23,25 +26,50 @@ def pages(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     return raw.select("title", "ns", (F.coalesce(*ids) if compat else F.col("id")).alias("id"), F.col("redirect._title").alias("redirect"), F.col("revision.text._VALUE").alias("text"), F.col("id").alias("page_id"), F.col("revision.id").alias("revision_id"), F.col("revision.contributor.id").alias("contributor_id"))
 
 
-def conll(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, sent_id, tok_id, token, pos, chunk, ner of a CoNLL-2003 file; what precedes the first mark is dropped."""
-    whole = spark.read.text(path, wholetext=True)
-    mark = F.when(F.contains("value", F.lit(MARKS[0])), MARKS[0]).otherwise(MARKS[1])
-    docs = whole.select(F.posexplode(F.slice(F.split("value", mark), 2, 2**31 - 1)).alias("doc_id", "doc"))
-    sentences = docs.select("doc_id", F.posexplode(F.split("doc", "\n\n")).alias("sent_id", "sentence"))
-    lines = F.filter(F.split("sentence", "\n"), lambda x: x != "")
-    parts = F.split("line", " ")
-    rows = sentences.select("doc_id", "sent_id", F.posexplode(lines).alias("tok_id", "line"))
-    return rows.select("doc_id", "sent_id", "tok_id", *(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("token", "pos", "chunk", "ner"))))
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """file, start, row, doc: what follows each mark, in the order of files and places. Files are split between marks, not read whole;
+    what precedes a file's first mark isn't told apart here."""
+    records = spark.read.option("lineSep", MARK).text(path)
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return records.select(*place, F.col("value").alias("doc"))
+
+
+def _conll_documents(spark: SparkSession, path: str) -> DataFrame:
+    found = _documents(spark, path)
+    end = F.when(F.startswith("doc", F.lit(MARK_ENDS[0])), len(MARK_ENDS[0])).when(F.startswith("doc", F.lit(MARK_ENDS[1])), len(MARK_ENDS[1]))
+    return found.withColumn("end", end).filter("end is not null").select("file", "start", "row", F.expr("substring(doc, end + 1)").alias("doc"))
+
+
+def conll(spark: SparkSession, path: str, names: tuple[str, ...] = ("token", "pos", "chunk", "ner")) -> DataFrame:
+    """doc_id, sent_id, tok_id and the named columns of CoNLL files; what precedes a file's first mark is dropped.
+
+    Documents are numbered over all files, in the order of their paths."""
+    docs = numbered(_conll_documents(spark, path), ["file", "start", "row"], "doc_id").select("doc_id", "doc")
+    return _token_lines(docs, names)
+
+
+def chunked_sentences(spark: SparkSession, path: str, names: tuple[str, ...] = ("token", "pos", "chunk")) -> DataFrame:
+    """sent_id, tok_id and the named columns of files without document marks: a line for each token, a blank line behind a sentence.
+    Sentences are numbered over all files, in the order of their paths."""
+    records = spark.read.option("lineSep", "\n\n").text(path).filter("trim(replace(value, '\n', '')) <> ''")
+    place = records.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("sentence"))
+    return _lines(numbered(place, ["file", "start", "row"], "sent_id").select("sent_id", "sentence"), ["sent_id"], names)
+
+
+def _token_lines(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return _lines(docs.select("doc_id", F.posexplode(F.split("doc", "\n\n")).alias("sent_id", "sentence")), ["doc_id", "sent_id"], names)
+
+
+def _lines(found: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
+    lines, parts = F.filter(F.split("sentence", "\n"), lambda x: x != ""), F.split("line", " ")
+    return found.select(*keys, F.posexplode(lines).alias("tok_id", "line")).select(*keys, "tok_id", *(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 def conll_counts(spark: SparkSession, path: str) -> DataFrame:
     """n_docs, n_sentences, n_with_empty: sentences with tokens, and as blank lines delimit them."""
-    whole = spark.read.text(path, wholetext=True)
-    mark = F.when(F.contains("value", F.lit(MARKS[0])), MARKS[0]).otherwise(MARKS[1])
-    docs = whole.select(F.explode(F.slice(F.split("value", mark), 2, 2**31 - 1)).alias("doc"))
-    parts = docs.select(F.split("doc", "\n\n").alias("s"))
-    return parts.agg(F.count("*").alias("n_docs"), F.sum(F.size(F.filter("s", lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(""))) != ""))).alias("n_sentences"), F.sum(F.size("s")).alias("n_with_empty"))
+    parts = _conll_documents(spark, path).select(F.split("doc", "\n\n").alias("s"))
+    full = F.size(F.filter("s", lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(""))) != ""))
+    return parts.agg(F.count("*").alias("n_docs"), F.sum(full).alias("n_sentences"), F.sum(F.size("s")).alias("n_with_empty"))
 
 
 def aida_kind(line: Column) -> Column:
@@ -56,18 +84,20 @@ def aida_header(line: Column) -> tuple[Column, Column]:
 
 
 def aida(spark: SparkSession, path: str) -> DataFrame:
-    """The token table of an annotated TSV file. Lines keep their order by file and number."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    w = Window.partitionBy("file").orderBy("n")
-    kind, (doc, name) = aida_kind(F.col("line")), aida_header(F.col("line"))
-    rows = whole.withColumn("kind", kind).withColumn("doc", F.when(F.col("kind") == "DOCSTART", F.struct(doc.alias("id"), name.alias("name"))))
-    rows = rows.withColumn("doc", F.last("doc", True).over(w)).withColumn("_d", F.sum((F.col("kind") == "DOCSTART").cast("int")).over(w))
-    inside = Window.partitionBy("file", "_d").orderBy("n")
-    rows = rows.withColumn("sentence", F.sum((F.col("kind") == "NEWSENTENCE").cast("int")).over(inside)).filter("kind = 'TOKEN'")
-    parts, known = F.split("line", "\t"), F.size(F.split("line", "\t")) >= 4
+    """The token table of annotated TSV files. A document is one record; its lines are numbered inside it."""
+    docs = _documents(spark, path).filter("startswith(doc, '(')").select("file", "start", "row", F.split("doc", "\n").alias("lines"))
+    doc, name = aida_header(F.concat(F.lit(MARK), F.get("lines", F.lit(0))))
+    rows = docs.select("file", "start", "row", doc.alias("doc"), name.alias("name"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("n", "line"))
+    before = Window.partitionBy("file", "start", "row").orderBy("n")
+    rows = rows.withColumn("kind", aida_kind(F.col("line")))
+    rows = rows.withColumn("sentence", F.sum((F.col("kind") == "NEWSENTENCE").cast("int")).over(before)).filter("kind = 'TOKEN'")
+    parts = F.split("line", "\t")
+    known = F.size(parts) >= 4
     field = lambda i: F.when(known, F.get(parts, F.lit(i)))
     entry = lambda i: F.when(known, F.coalesce(F.get(parts, F.lit(i)), F.lit(NO_ENTRY)))
-    return rows.select(F.col("doc.id").alias("Document_ID"), F.col("doc.name").alias("Document_Name"), F.col("sentence").cast("int").alias("Sentence_Number"), parts[0].alias("Token"), field(1).alias("BI_Tag"), field(2).alias("Complete_Entity"), field(3).alias("YAGO2_Entity"), entry(4).alias("Wikipedia_URL"), entry(5).alias("Wikipedia_ID"), entry(6).alias("Freebase_MID"))
+    columns = {"Document_ID": F.col("doc"), "Document_Name": F.col("name"), "Sentence_Number": F.col("sentence").cast("int"), "Token": parts[0], "BI_Tag": field(1), "Complete_Entity": field(2), "YAGO2_Entity": field(3)}
+    columns |= {"Wikipedia_URL": entry(4), "Wikipedia_ID": entry(5), "Freebase_MID": entry(6)}
+    return rows.select(*(c.alias(n) for n, c in columns.items()))
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -79,17 +109,54 @@ def write_token_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
 
 
-def shards(spark: SparkSession, path: str) -> DataFrame:
-    """anchor, entity, n of JSON shards {anchor: {entity: n}}; counts of the same pair in different shards are summed."""
-    text = spark.read.text(path, wholetext=True)
+def shards(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """anchor, entity, n of JSON shards {anchor: {entity: n}}, an object on each line or, with whole_files, one spread over a file's
+    lines; counts of the same pair are summed."""
+    text = spark.read.text(path, wholetext=whole_files)
     maps = text.select(F.explode(F.from_json("value", "map<string, map<string, bigint>>")).alias("anchor", "entities"))
     return maps.select("anchor", F.explode("entities").alias("entity", "n")).groupBy("anchor", "entity").agg(F.sum("n").alias("n"))
 
 
 def write_shards(counts: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
-    """JSON lines of anchor and its entities, in files of bounded size."""
+    """Shards as `shards` reads them: an object for each anchor, a bounded number of them in a file."""
     by = counts.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("entity", "n"))).alias("entities"))
-    by.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path)
+    lines = by.select(F.to_json(F.map_from_entries(F.array(F.struct("anchor", "entities")))).alias("value"))
+    lines.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def write_pages(found: DataFrame, path: str) -> None:
+    """Pages (title, ns, id, redirect, text) as an XML dump that `pages` reads."""
+    shaped = found.select("title", "ns", "id", F.when(F.col("redirect").isNotNull(), F.struct(F.col("redirect").alias("_title"))).alias("redirect"), F.struct(F.col("id"), F.struct(F.col("text").alias("_VALUE"), F.lit("preserve").alias("_space")).alias("text")).alias("revision"))
+    shaped.write.mode("overwrite").format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """file, size of the regular files under a path whose name has neither `index` nor `.DS_Store` in it; contents aren't read."""
+    name = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(name.alias("file"), F.col("length").alias("size")).filter(~F.contains("file", F.lit("index")) & ~F.contains("file", F.lit(".DS_Store")))
+
+
+def settings(spark: SparkSession, path: str) -> dict[str, str | int | float | bool]:
+    """The values of a flat `key: value` file. A number of workers of -1 stands for all cores."""
+    out: dict[str, str | int | float | bool] = {}
+    for row in spark.read.text(path, wholetext=True).collect():  # a file for people, a few lines long
+        for line in row["value"].splitlines():
+            key, colon, value = line.split("#")[0].partition(":")
+            if not colon:
+                continue
+            value = value.strip().strip("'\"")
+            for kind in (int, float):
+                try:
+                    out[key.strip()] = kind(value)
+                    break
+                except ValueError:
+                    continue
+            else:
+                out[key.strip()] = value.lower() == "true" if value.lower() in ("true", "false") else value
+            if key.strip().endswith("_workers") and out[key.strip()] == -1:
+                out[key.strip()] = spark.sparkContext.defaultParallelism
+    return out
 
 
 STATUS = "jobs map<string, struct<status: string, files: map<string, struct<url: string, sha1: string>>>>"
