@@ -1,57 +1,21 @@
-"""Helpers shared by the corpus operators: tables, stored tables, ids, word rules."""
+"""Helpers shared by the corpus operators: tables, ids, word rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexgrove.sources.workspace import dropped, stored  # noqa: F401
+
 #: The six ASCII characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a Python stage takes at once from an Arrow batch; texts can be long.
-SLICE_ROWS = 500
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only: executors elsewhere couldn't see it."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lexgrove-checkpoints-")
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder; this cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexgrove-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/lexgrove-" not in path:
-                raise ValueError(f"{path} isn't a stored table")
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def id_text(docs: DataFrame, name: str) -> Column:
     """The id as text, so that a null beside it costs a Python stage no digits; id_back undoes it. NULL stays NULL."""
     kind, column = docs.schema[name].dataType, F.col(f"`{name}`")
