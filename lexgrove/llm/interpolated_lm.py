@@ -5,8 +5,8 @@ a belongs to the bucket of the context's frequency c(u v), b to that of c(v). Th
 expectation-maximisation on counts held out in turn: for each training document, the counts of all other training documents.
 Counts cover the whole corpus; what reaches the driver is a table of at most 12 * 18 * 12 * 18 * 34 cells.
 
-Words are told apart by hashes of 64 bits, bigrams and trigrams by hashes of at least 48 bits, and 18 more than the number of
-characters of the corpus has: about one in a million of them is counted together with another.
+Words are told apart by hashes of 64 bits, bigrams and trigrams by hashes of at least 40 bits, and 15 more than the number of
+bytes of the corpus has: about one in 100,000 of them is counted together with another.
 
 Defined results: a null text counts as an empty one, which is one end token; texts of any length are read whole;
 repeated rows are counted and scored each; a null id is trained on and not held out; ids of any type pass through as they are;
@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,14 +126,14 @@ def learn_weights(at: np.ndarray, weight: np.ndarray, n: int, v: int, rounds: in
     return shares
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steady: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. steady: docs is a scan of files (see bundles)."""
     held = F.coalesce(id_remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT, F.lit(False))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held.alias("held_out"))
-    bundles, kinds, chars = B.bundles(source, source.columns, "text", CHARS)
+    bundles, kinds, chars = B.bundles(source, source.columns, "text", CHARS, steady)
     parts = B.parts_for(chars)
     cut = B.sent_parts(parts)
-    short = 64 - min(64, max(48, chars.bit_length() + 18))
+    short = 64 - min(64, max(40, chars.bit_length() + 15))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = B.Words()
@@ -150,11 +149,11 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return counts.astype(U)
 
     answers = B.exchanged(bundles.select("chunk", "blob").mapInArrow(send, B.BLOCKS), parts, count)
-    schema = T.StructType([T.StructField("doc_id", kinds[0].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_sum", T.DoubleType()), T.StructField("codes", T.BinaryType()), T.StructField("cell", T.LongType()), T.StructField("weight", T.LongType())])
+    schema = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("cell", T.LongType()), T.StructField("weight", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def cell_rows(at: list, weight: list) -> pa.Table:
-        return pa.table([*(pa.nulls(len(at), f.type) for f in list(arrow)[:6]), pa.array(at, pa.int64()), pa.array(weight, pa.int64())], schema=arrow)
+        return pa.table([pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int64()), pa.array(weight, pa.int64())], schema=arrow)
 
     def meet(key: tuple, left: pa.Table, got: pa.Table) -> pa.Table:
         if not left.num_rows:  # the totals: cell -1 for N, -2 for V
@@ -172,10 +171,10 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if kind == WORD:
                 n_docs = int(values[np.searchsorted(keys, END)])
         word, pair, triple = total[WORD], total[PAIR], total[TRIPLE]
-        codes = [B.pack(np.r_[word[a : a + n], pair[a : a + n], triple[a : a + n], n_docs].astype(U)) for a, n in zip(tokens.starts, tokens.lengths, strict=True)]
         known, base = np.add.reduceat((word > 0).astype(np.int64), tokens.starts), np.add.reduceat(np.log10(word + 0.1), tokens.starts)
-        none = pa.nulls(len(codes), pa.int64())
-        out = pa.table([rows.column(0).combine_chunks(), rows.column(2).combine_chunks(), pa.array(tokens.lengths), pa.array(known), pa.array(base), pa.array(codes, pa.binary()), none, none], schema=arrow)
+        blob = B.sealed(pa.table({"doc_id": rows.column(0), "held_out": rows.column(2), "n_tokens": tokens.lengths, "n_known": known, "base": base}))
+        codes = B.pack(np.r_[word, pair, triple, n_docs].astype(U))
+        out = pa.table([pa.array([blob], pa.binary()), pa.array([codes], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=arrow)
         if learnt.any():
             word, pair, triple = word - own[WORD], pair - own[PAIR], triple - own[TRIPLE]
             others = n_docs - 1  # the documents that start elsewhere
@@ -185,31 +184,41 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return out
 
     met = stored(bundles.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema))
-    dropped(bundles)
+    if not steady:
+        dropped(bundles)
     gathered = met.filter("cell is not null").groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()
     totals = dict(zip(gathered["cell"], gathered["weight"], strict=True))
     n, v = int(totals.get(-1, 0)), int(totals.get(-2, 0))
     cell = gathered[gathered["cell"] >= 0].sort_values("cell")
     shares = learn_weights(cell["cell"].to_numpy(np.int64), cell["weight"].to_numpy(float), n, v)
+    numbers = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
+    result = T.StructType([T.StructField("doc_id", kinds[0].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, t) for c, t in numbers.items())])
+    log_all = float(np.log10(n + 0.1 * (v + 1)))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for codes in batches:
-            yield pd.Series([log_probability(B.unpack(code, U).astype(np.int64), shares, n, v) for code in codes], dtype="float64")
-
-    base = F.col("base_sum") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.1 * (v + 1))))
-    return met.filter("cell is null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score("codes").alias("score"))
-
-
-def log_probability(code: np.ndarray, shares: np.ndarray, n: int, v: int) -> float:
-    """log10 of a text's probability. code: the counts of its words, bigrams and trigrams, and the number of training documents."""
-    k = len(code) // 3
-    word, pair, triple, start = code[:k], code[k : 2 * k], code[2 * k : 3 * k], code[-1:]
-    c3, c2 = np.r_[start, pair[:-1]], np.r_[start, word[:-1]]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, codes in zip(batch.column("blob"), batch.column("codes").to_pylist(), strict=True):
+                rows = B.opened(blob)
+                lengths = np.array(rows["n_tokens"])
+                scores = log_probabilities(B.unpack(codes, U).astype(np.int64), lengths, shares, n, v)
+                base = np.array(rows["base"]) - lengths * log_all
+                columns = [*(rows[c] for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array([n] * len(lengths), pa.int64()), pa.array(base), pa.array(scores)]
+                yield from pa.table(columns, names=result.names).combine_chunks().to_batches()
+
+    return met.filter("cell is null").select("blob", "codes").mapInArrow(score, result)
+
+
+def log_probabilities(code: np.ndarray, lengths: np.ndarray, shares: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of each text's probability. code: the counts of the texts' words, of their bigrams and of their trigrams, in order,
+    and the number of training documents; lengths: tokens of each text."""
+    k, starts = len(code) // 3, np.cumsum(lengths) - lengths
+    word, pair, triple = code[:k], code[k : 2 * k], code[2 * k : 3 * k]
+    c3, c2 = np.roll(pair, 1), np.roll(word, 1)
+    c3[starts] = c2[starts] = code[-1]
     f3, f2 = triple / np.maximum(c3, 1), pair / np.maximum(c2, 1)
     p = mixture(shares, f3, f2, word / max(n, 1), 1 / (v + 1), bucket(c3), bucket(c2))[0]
-    return float(np.log10(p).sum())
+    return np.add.reduceat(np.log10(p), starts)
 
 
 def op4_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(table(spark, sf_dir, "documents"))
+    return score_corpus(table(spark, sf_dir, "documents"), steady=True)
