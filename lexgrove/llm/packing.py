@@ -6,8 +6,8 @@ piece cut from one. A document longer than a sequence gives off whole sequences
 own; what it has left over at its end is laid end to end and cut at capacity, and at last at powers of two, which need no padding.
 The sequence ids of a worker start at its partition number shifted left.
 
-Ids come from the tokenizer file itself: texts are split as its pre-tokenizer splits them, and each distinct part is encoded
-once by `tokenizers` and kept (for up to MOST_PARTS parts). A text that holds one of the file's added tokens is encoded as a whole.
+Ids come from the tokenizer file itself, by `tokenizers`; those of single words are kept. A text with double spaces, or one of the
+file's added tokens, is encoded as a whole.
 
 Defined results: a null text counts as an empty one and gives the end id alone; texts of any length are packed
 whole; repeated rows are packed each; an empty table gives an empty result; other columns of the input are not
@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,44 +36,76 @@ from lexgrove.llm.common import id_back, id_text, table
 CAPACITY = 2048
 #: The bits of a sequence id below the number of the partition.
 SEQUENCE_BITS = 36
-#: Parts of texts whose ids a worker keeps.
-MOST_PARTS = 600_000
+#: Marks that a word may end with.
+MARKS = ".,;:!?"
+#: Bytes of words and ids that a worker keeps, about.
+MOST_KEPT = 200_000_000
+#: Bytes of a kept word besides its own.
+KEPT = 160
 
 
 class Encoder:
-    """The ids of texts, as little-endian 32-bit numbers, as `tokenizers` gives them for the file."""
+    """The ids of texts, as little-endian 32-bit numbers, as `tokenizers` gives them for the file.
+
+    The file's pre-tokenizer never joins what stands before a single space with what follows it, so a text without double spaces is
+    encoded word by word, each with the space before it, and the ids of words are kept."""
 
     def __init__(self, json_path: str | None = None) -> None:
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.size = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_PARTS:
-            self.known.clear()
-        out = []
-        for text in texts:
-            if any(t in text for t in self.special):
-                out.append(self.whole(text))
-                continue
-            parts = self.split(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, parts)))
-            except KeyError:
-                new = list(set(parts).difference(self.known))
-                for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[part] = np.array(e.ids, "<u4").tobytes()
-                out.append(b"".join(map(self.known.__getitem__, parts)))
-        return out
+    def _learn(self, words: list[str]) -> None:
+        """Keeps the ids of new words; marks behind a letter are a part of their own, so they need not be learned with each word."""
+        known = self.known
+        if self.size > MOST_KEPT:
+            known.clear()
+            self.size = 0
+        new, ended = set(), []
+        for word in set(words):
+            if word not in known:
+                core = word.rstrip(MARKS)
+                if core != word and core[-1:].isalpha():
+                    ended.append((word, core))
+                    if core in known:
+                        continue
+                    word = core
+                new.add(word)
+        for word, e in zip(new, self.tokenizer.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False), strict=True):
+            known[word] = ids = array("I", e.ids).tobytes()
+            self.size += KEPT + len(word) + len(ids)
+        for word, core in ended:
+            marks = word[len(core) :]
+            if marks not in self.marks:
+                self.marks[marks] = self.whole(marks)
+            known[word] = known[core] + self.marks[marks]
+            self.size += KEPT + len(word) + len(known[word])
+
+    def __call__(self, text: str) -> bytes:
+        if "  " in text or any(t in text for t in self.special):
+            return self.whole(text)
+        head, *words = text.split(" ")
+        try:
+            rest = b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            rest = b"".join([self.known[w] if w in self.known else self.whole(f" {w}") for w in words])
+        return self.whole(head) + rest
+
+
+@lru_cache(maxsize=2)
+def encoder(json_path: str | None = None) -> Encoder:
+    """One for each worker, whose tasks follow each other."""
+    return Encoder(json_path)
 
 
 def class_of(length: int, capacity: int = CAPACITY) -> int:
@@ -165,12 +199,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(json_path)
+        encode = encoder(json_path)
         packer = Packer(TaskContext.get().partitionId() << SEQUENCE_BITS, capacity)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows += packer.add((doc,), np.frombuffer(encode([text])[0] + end, "<u4"))
+                rows += packer.add((doc,), np.frombuffer(encode(text) + end, "<u4"))
             if rows:
                 yield pd.DataFrame(rows, columns=names)
         if rows := list(packer.finish()):
