@@ -9,10 +9,11 @@ from lexgrove.functions import surface
 from lexgrove.operators.annotations import SENTENCE
 
 
-def phrases(rows: DataFrame, lowercase: bool = False, keys: tuple[str, ...] = (*SENTENCE, "entity")) -> DataFrame:
+def phrases(rows: DataFrame, lowercase: bool = False) -> DataFrame:
     """phrase (tokens joined by a blank), n_tokens, kind, n: the distinct typed phrases of entities.
 
-    keys tell entities apart, the last of them is NULL outside; those of with_local_entities need no shuffle of their own."""
+    Entities are told apart by the sentence's `entity` where rows have it, which needs no shuffle of its own, else by `entity_id`."""
+    keys = (*SENTENCE, "entity") if "entity" in rows.columns else ("doc_id", "entity_id")
     token = F.lower("token") if lowercase else F.col("token")
     ordered = F.sort_array(F.collect_list(F.struct("tok_id", token.alias("token"))))
     found = rows.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(ordered.alias("o"), F.first(surface.normal_tag(F.col("ner"))).alias("kind"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexgrove.sources.workspace import running_total
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / F.when(b != 0, b))
@@ -78,9 +80,29 @@ def conditional_ratios(rows: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.round(100 * F.round(ratio(F.col("numerator"), F.col("denominator")), 4), 2))
 
 
+def quantiles(rows: DataFrame, score: str, **shares: float) -> DataFrame:
+    """One row with a column for each share: the score below which it lies, between neighbours in proportion. NULLs don't count.
+
+    Scores are counted and summed up range by range, so no task holds all of them."""
+    counts = rows.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = running_total(counts, ["_v"], "_n", "_before")
+    total = ranked.agg(F.sum("_n").alias("_all"))
+    at = ranked.crossJoin(F.broadcast(total))  # one row
+
+    def value(place: Column) -> Column:
+        return F.max(F.when(F.col("_before") <= place, F.col("_v")))
+
+    columns = []
+    for name, share in shares.items():
+        place = (F.col("_all") - 1) * share
+        columns += [value(F.floor(place)).alias(f"_lo_{name}"), value(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    found = at.agg(*columns)
+    return found.select(*((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in shares))
+
+
 def above_median(rows: DataFrame, score: str, flag: str) -> DataFrame:
     """Adds predicted: flagged, and scored above the median of all."""
-    median = rows.agg(F.percentile(score, F.lit(0.5)).alias("_m"))
+    median = quantiles(rows, score, _m=0.5)
     return rows.crossJoin(F.broadcast(median)).withColumn("predicted", F.col(flag) & (F.col(score) > F.col("_m"))).drop("_m")  # _m: one row
 
 
@@ -90,7 +112,7 @@ def threshold_curve(rows: DataFrame, score: str, flag: str, target: str, steps:
     Each row falls in one bucket between thresholds; the curve is a running sum over at most steps + 1 buckets, so the
     rows are read twice and never multiplied.
     """
-    q = rows.agg(F.percentile(score, F.lit(0.25)).alias("_a"), F.percentile(score, F.lit(0.75)).alias("_b"))
+    q = quantiles(rows, score, _a=0.25, _b=0.75)
     x = rows.crossJoin(F.broadcast(q)).withColumn("_w", (F.col("_b") - F.col("_a")) / steps)  # q: one row
     at = F.when(F.col(score) < F.col("_a"), -1).when(F.col("_w") == 0, 0).otherwise(F.least(F.floor((F.col(score) - F.col("_a")) / F.when(F.col("_w") != 0, F.col("_w"))), F.lit(steps - 1)))
     counts = x.withColumn("_k", at.cast("int")).groupBy("_k").agg(F.count_if(F.col(flag)).alias("said"), F.count_if(F.col(flag) & F.col(target)).alias("hits"), F.count_if(F.col(target)).alias("gold"))

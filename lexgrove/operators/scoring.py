@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexgrove.sources.workspace import running_total
+
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -113,9 +115,19 @@ def rank_score(tokens: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFram
     return out.select(*keys, "raw", length_normalised(F.col("raw"), F.col("length"), F.col("content")).alias("normalised"))
 
 
-def percentile_rank(rows: DataFrame, score: str, keys: list[str]) -> DataFrame:
-    """Adds percentile: the mean of the shares of scores below and not above, as percentileofscore ranks."""
-    w = Window.partitionBy(*keys).orderBy(score)
-    below, upto = F.rank().over(w) - 1, F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn("percentile", (below + upto + F.when(below < upto, 1).otherwise(0)) * 50.0 / n / 100)
+def percentile_rank(rows: DataFrame, score: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds percentile: the mean of the shares of scores below and not above, as percentileofscore ranks.
+
+    Without keys, all rows are one group: scores are counted and summed up range by range, and rows meet the counts by score."""
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(score)
+        below, upto = F.rank().over(w) - 1, F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("percentile", _percentile(below, upto, F.count("*").over(Window.partitionBy(*keys))))
+    counts = running_total(rows.groupBy(F.col(score).alias("_v")).agg(F.count("*").alias("_n")), ["_v"], "_n", "_before")
+    ranked = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))  # one row
+    ranked = ranked.select("_v", _percentile(F.col("_before"), F.col("_before") + F.col("_n"), F.col("_all")).alias("percentile"))
+    return rows.join(ranked, rows[score].eqNullSafe(F.col("_v"))).drop("_v")
+
+
+def _percentile(below: Column, upto: Column, n: Column) -> Column:
+    return (below + upto + F.when(below < upto, 1).otherwise(0)) * 50.0 / n / 100

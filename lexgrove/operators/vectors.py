@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -10,29 +13,45 @@ from pyspark.sql.window import Window
 
 from lexgrove.functions import surface
 
-#: Indicators or centroids that may be sent to every task.
+#: Indicators or centroids that are sent to every task at once, about.
 MOST_SMALL = 10_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    n = df.limit(MOST_SMALL + 1).count()
-    if n > MOST_SMALL:
-        raise ValueError(f"more than {MOST_SMALL} indicator vectors")
-    return F.broadcast(df)
+def _in_blocks(rows: DataFrame, small: DataFrame, key: str, best: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """best() over rows beside each block of the indicators, and again() over what the blocks gave where there are several.
+
+    A block holds a bounded number of indicators, however many there are."""
+    blocks = max(1, -(-small.count() // MOST_SMALL))
+    if blocks == 1:
+        return best(rows.crossJoin(F.broadcast(small)))  # up to MOST_SMALL rows
+    place = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return again(reduce(DataFrame.union, [best(rows.crossJoin(F.broadcast(small.filter(place == b)))) for b in range(blocks)]))  # a block of about MOST_SMALL rows
 
 
 def most_similar(rows: DataFrame, indicators: DataFrame) -> DataFrame:
-    """vec_id, indicator_id, similarity: the first indicator of the largest cosine. indicators: indicator_id, v; checked to be few."""
-    both = rows.select("vec_id", "embedding").crossJoin(_small(indicators))  # a few indicators
-    by = both.groupBy("vec_id").agg(F.max(F.struct(F.round(surface.cosine(F.col("embedding"), F.col("v")), 6).alias("s"), (-F.col("indicator_id")).alias("i"))).alias("x"))
-    return by.select("vec_id", (-F.col("x.i")).alias("indicator_id"), F.col("x.s").alias("similarity"))
+    """vec_id, indicator_id, similarity: the first indicator of the largest cosine. indicators: indicator_id, v."""
+
+    def best(both: DataFrame) -> DataFrame:
+        return again(both.select("vec_id", "indicator_id", F.round(surface.cosine(F.col("embedding"), F.col("v")), 6).alias("similarity")))
+
+    def again(found: DataFrame) -> DataFrame:
+        by = found.groupBy("vec_id").agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.col("indicator_id")).alias("i"))).alias("x"))
+        return by.select("vec_id", (-F.col("x.i")).alias("indicator_id"), F.col("x.s").alias("similarity"))
+
+    return _in_blocks(rows.select("vec_id", "embedding"), indicators, "indicator_id", best, again)
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id, cluster, distance2. centroids: cluster, c; checked to be few."""
-    both = rows.select("vec_id", "embedding").crossJoin(_small(centroids))  # a few centroids
-    by = both.groupBy("vec_id").agg(F.min(F.struct(F.round(surface.squared_distance(F.col("embedding"), F.col("c")), 6).alias("d"), F.col("cluster").alias("k"))).alias("x"))
-    return by.select("vec_id", F.col("x.k").alias("cluster"), F.col("x.d").alias("distance2"))
+    """vec_id, cluster, distance2. centroids: cluster, c."""
+
+    def best(both: DataFrame) -> DataFrame:
+        return again(both.select("vec_id", "cluster", F.round(surface.squared_distance(F.col("embedding"), F.col("c")), 6).alias("distance2")))
+
+    def again(found: DataFrame) -> DataFrame:
+        by = found.groupBy("vec_id").agg(F.min(F.struct(F.col("distance2").alias("d"), F.col("cluster").alias("k"))).alias("x"))
+        return by.select("vec_id", F.col("x.k").alias("cluster"), F.col("x.d").alias("distance2"))
+
+    return _in_blocks(rows.select("vec_id", "embedding"), centroids, "cluster", best, again)
 
 
 def centroids_of(rows: DataFrame, label: str) -> DataFrame:

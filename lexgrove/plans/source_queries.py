@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import surface
 from lexgrove.operators import annotations as A
-from lexgrove.operators import capacity, linking, models, predictors, sequences
+from lexgrove.operators import capacity, linking, models, predictors, sequences, triples
 from lexgrove.plans import link_queries, text_queries
 from lexgrove.plans.catalogue import query
 from lexgrove.plans.link_queries import table
@@ -272,3 +272,33 @@ def cluster_predictor(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector gets the most frequent label of its cluster; clusters by rule, so that SQL can follow."""
     vectors = table(spark, sf, "embeddings")
     return predictors.by_clusters(vectors.select("vec_id", "label"), vectors.select("vec_id", (F.col("vec_id") % 7).alias("cluster")), "label")
+
+
+@query("extracted_triples", text_queries._CHUNKS + """ SELECT doc_id, sent_id, subject, phrase AS predicate, object FROM (SELECT *, lag(phrase) OVER w AS subject, lag(is_entity) OVER w AS s, lead(phrase) OVER w AS object, lead(is_entity) OVER w AS o
+FROM chunks WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY start)) c WHERE NOT is_entity AND s AND o AND EXISTS (SELECT 1 FROM ann a WHERE a.doc_id = c.doc_id AND a.sent_id = c.sent_id AND a.tok_id >= c.start AND a.tok_id < c.start + c.n_tokens AND starts_with(a.pos, 'VB'))""")
+def extracted_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """X19, by rule: noun phrase, verbs, noun phrase."""
+    rows = _ann(spark, sf)
+    return triples.extracted(sequences.noun_phrase_chunks(rows), rows)
+
+
+@query("elapsed_times", "SELECT l_orderkey, l_linenumber, printf('%d:%02d:%05.2f', (l_orderkey % 20000) // 3600, ((l_orderkey % 20000) % 3600) // 60, ((l_orderkey % 20000) % 60) + l_linenumber * 0.125) AS elapsed FROM lineitem WHERE l_linenumber IN (2, 4, 6)")
+def elapsed_times(spark: SparkSession, sf: str) -> DataFrame:
+    """X22."""
+    lines = table(spark, sf, "lineitem").filter("l_linenumber in (2, 4, 6)")
+    return lines.select("l_orderkey", "l_linenumber", surface.elapsed(F.col("l_orderkey") % 20000 + F.col("l_linenumber") * 0.125).alias("elapsed"))
+
+
+@query("repaired_quotes", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN chr(34) ELSE p_name END AS token FROM part")
+def repaired_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """P12."""
+    token = F.when(F.col("p_partkey") % 3 == 0, "``").otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", surface.repaired_quote(token).alias("token"))
+
+
+@query("malformed_links", link_queries._WIKI + "SELECT id, 'File:' || id || '.jpg|thumb|cap' AS link FROM wiki WHERE id % 2 = 0")
+def malformed_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of three parts, put into every second page."""
+    pages = link_queries._wiki(spark, sf)
+    bad = F.concat(F.coalesce("text", F.lit("")), F.lit(" [[File:"), F.col("id").cast("string"), F.lit(".jpg|thumb|cap]]"))
+    return linking.malformed_links(pages.withColumn("text", F.when(F.col("id") % 2 == 0, bad).otherwise(F.col("text"))))

@@ -289,7 +289,7 @@ def best_threshold(spark: SparkSession, sf: str) -> DataFrame:
 @query("percentile_rank", f"WITH {_IDF}{_SCORED} SELECT phrase_id, round(((SELECT count(*) FROM scored x WHERE x.score < s.score) + (SELECT count(*) FROM scored x WHERE x.score <= s.score) + 1) * 50.0 / (SELECT count(*) FROM scored) / 100, 6)::DOUBLE AS percentile FROM scored s")
 def percentile_rank(spark: SparkSession, sf: str) -> DataFrame:
     """W8."""
-    ranked = scoring.percentile_rank(_scored(spark, sf).withColumn("all", F.lit(1)), "score", ["all"])
+    ranked = scoring.percentile_rank(_scored(spark, sf), "score")
     return ranked.select("phrase_id", F.round("percentile", 6).alias("percentile"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lexgrove.functions.surface import NO_ENTRY
 from lexgrove.sources.workspace import numbered
 
+#: The fields of a page dump, of a token table and of a dump description, as their files have them.
 PAGE = "title string, ns int, id long, redirect struct<_title: string>, revision struct<id: long, contributor: struct<id: long>, text: struct<_VALUE: string>>"
 TOKEN = "Article_ID int, Sentence_ID int, Token_ID int, Token string, POS_Tag string, Chunk_Tag string, NER_Tag string, NER_Tag_ID long, NER_Tag_Normalized string"
 #: Fixed values of the corpus files: what opens a document, and the rest of that line in one file or another.

@@ -50,12 +50,12 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
 
     Rows are dealt to ranges of the order and written; each range sums up its own, and only one row for each range is added
     up as a whole."""
-    ranges = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sums = ranges.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = ranges.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return own.join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
+    ranges = stored(df.repartitionByRange(*order).withColumn("_range_", F.spark_partition_id()))
+    before = Window.orderBy("_range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = ranges.groupBy("_range_").agg(F.sum(value).alias("_sum_")).select("_range_", F.coalesce(F.sum("_sum_").over(before), F.lit(0)).alias("_before_"))
+    within = Window.partitionBy("_range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranges.withColumn("_within_", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return own.join(F.broadcast(sums), "_range_").withColumn(name, F.col("_before_") + F.col("_within_")).drop("_range_", "_before_", "_within_")
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
