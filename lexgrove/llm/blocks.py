@@ -13,21 +13,24 @@ coarse ranges, so that a bundle never sends more than MOST_PARTS blocks and each
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexgrove.llm.common import stored
 
 #: Characters of text of a bundle, about; a longer text is a bundle of its own.
-BUNDLE_CHARS = 3_000_000
+BUNDLE_CHARS = 2_000_000
 #: Characters of text whose keys one task adds up, about.
-PART_CHARS = 12_000_000
+PART_CHARS = 10_000_000
+#: Rows of an Arrow batch while bundles are written.
+BATCH_ROWS = 500
 #: Ranges that a bundle's keys are cut into at most.
 MOST_PARTS = 512
 #: Bundles that are merged first where there are more ranges.
@@ -115,6 +118,18 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most, for what runs inside; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | None = None, steady: bool = False) -> tuple[DataFrame, T.StructType, int]:
     """The rows as a table (chunk, rows, chars, blob); the schema of the blobs' columns; all bytes of texts, about.
 
@@ -152,10 +167,11 @@ def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | Non
             yield flush()
 
     table = source.mapInArrow(run, "chunk long, rows long, chars long, blob binary")
-    if steady:
+    if steady:  # the plan runs later, with the session's own batches
         total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")) + 8)).first()[0] or 0
     else:
-        table = stored(table)
+        with batches_of(docs.sparkSession, BATCH_ROWS):
+            table = stored(table)
         total = table.agg(F.sum("chars")).first()[0] or 0
     return table, source.schema, int(total)
 

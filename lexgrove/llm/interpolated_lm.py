@@ -5,8 +5,8 @@ a belongs to the bucket of the context's frequency c(u v), b to that of c(v). Th
 expectation-maximisation on counts held out in turn: for each training document, the counts of all other training documents.
 Counts cover the whole corpus; what reaches the driver is a table of at most 12 * 18 * 12 * 18 * 34 cells.
 
-Words are told apart by hashes of 64 bits, bigrams and trigrams by hashes of at least 40 bits, and 15 more than the number of
-bytes of the corpus has: about one in 100,000 of them is counted together with another.
+Words are told apart by hashes of 64 bits, bigrams and trigrams by hashes of at least 40 bits, and 13 more than the number of
+bytes of the corpus has: about one in 30,000 of them is counted together with another.
 
 Defined results: a null text counts as an empty one, which is one end token; texts of any length are read whole;
 repeated rows are counted and scored each; a null id is trained on and not held out; ids of any type pass through as they are;
@@ -133,22 +133,21 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bundles, kinds, chars = B.bundles(source, source.columns, "text", CHARS, steady)
     parts = B.parts_for(chars)
     cut = B.sent_parts(parts)
-    short = 64 - min(64, max(40, chars.bit_length() + 15))
+    short = 64 - min(64, max(40, chars.bit_length() + 13))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = B.Words()
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                tokens = Tokens(B.opened(blob), words, short)
-                trained = tokens.trained[tokens.doc]
-                for kind in (WORD, PAIR, TRIPLE):
-                    keys, at = tokens.distinct(kind)
-                    yield B.block_table(B.blocks_of(chunk, kind, keys, np.bincount(at, trained, len(keys)), cut))
+    def send(key: tuple, left: pa.Table) -> pa.Table:
+        tokens, out = Tokens(B.opened(left["blob"][0]), B.Words(), short), []
+        trained = tokens.trained[tokens.doc]
+        for kind in (WORD, PAIR, TRIPLE):
+            keys, at = tokens.distinct(kind)
+            out += B.blocks_of(key[0].as_py(), kind, keys, np.bincount(at, trained, len(keys)), cut)
+        return pa.Table.from_batches([B.block_table(out)])
 
     def count(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return counts.astype(U)
 
-    answers = B.exchanged(bundles.select("chunk", "blob").mapInArrow(send, B.BLOCKS), parts, count)
+    mine = bundles.select("chunk", "blob").groupBy("chunk")
+    answers = B.exchanged(mine.applyInArrow(send, B.BLOCKS), parts, count)
     schema = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("cell", T.LongType()), T.StructField("weight", T.LongType())])
     arrow = to_arrow_schema(schema)
 
@@ -183,7 +182,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = pa.concat_tables([out, cell_rows(at.tolist(), weight.tolist())])
         return out
 
-    met = stored(bundles.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema))
+    met = stored(mine.cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema))
     if not steady:
         dropped(bundles)
     gathered = met.filter("cell is not null").groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()

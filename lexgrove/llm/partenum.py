@@ -156,19 +156,17 @@ def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFr
     parts = B.parts_for(chars)
     cut = B.sent_parts(parts)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(key: tuple, left: pa.Table) -> pa.Table:
         # a shingle that only one document repeats counts as shared here; that keeps a document, it never loses one
         known = B.Words()
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                ids = [known.ids(w) for w in words_of(B.opened(blob))]
-                sizes = np.array([len(x) for x in ids])
-                inside = np.repeat(np.cumsum(sizes), sizes)  # where the word's document ends
-                whole = B.windows(np.concatenate(ids), SHINGLE, seed=SHINGLE)
-                whole = whole[np.arange(len(whole)) + SHINGLE <= inside[: len(whole)]]
-                short = [shingles(x) for x in ids if 0 < len(x) < SHINGLE]
-                keys, counts = np.unique(np.concatenate([whole, *short]) >> SHORT << SHORT, return_counts=True)
-                yield B.block_table(B.blocks_of(chunk, 0, keys, np.minimum(counts, 2), cut))
+        ids = [known.ids(w) for w in words_of(B.opened(left["blob"][0]))]
+        sizes = np.array([len(x) for x in ids])
+        inside = np.repeat(np.cumsum(sizes), sizes)  # where the word's document ends
+        whole = B.windows(np.concatenate(ids), SHINGLE, seed=SHINGLE)
+        whole = whole[np.arange(len(whole)) + SHINGLE <= inside[: len(whole)]]
+        short = [shingles(x) for x in ids if 0 < len(x) < SHINGLE]
+        keys, counts = np.unique(np.concatenate([whole, *short]) >> SHORT << SHORT, return_counts=True)
+        return pa.Table.from_batches([B.block_table(B.blocks_of(key[0].as_py(), 0, keys, np.minimum(counts, 2), cut))])
 
     def often(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (counts >= 2).astype(U)
@@ -199,8 +197,9 @@ def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFr
         n = len(sets)
         return pa.table([pa.array([key[0].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), rows.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(columns[c], pa.int64()) for c in ("d1", "d2", "shared")), pa.array(columns["keys"], pa.binary())], names=out.names)
 
-    answers = B.exchanged(bundles.select("chunk", "blob").mapInArrow(send, B.BLOCKS), parts, often).filter(F.col("chunk") >= 0)
-    return bundles.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, out)
+    mine = bundles.select("chunk", "blob").groupBy("chunk")
+    answers = B.exchanged(mine.applyInArrow(send, B.BLOCKS), parts, often).filter(F.col("chunk") >= 0)
+    return mine.cogroup(answers.groupBy("chunk")).applyInArrow(meet, out)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -22,7 +22,6 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -272,10 +271,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = B.blocks_of(chunk, parse.round, parse.keys, parse.counts, cut)
         return [*rows, (chunk, OPEN, chunk % cut, b"", parse.open.dump())] if parse.round == ROUNDS - 1 else rows
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                yield B.block_table(asking(chunk, parsed(blob, place, width)))
+    def first(key: tuple, left: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([B.block_table(asking(key[0].as_py(), parsed(left["blob"][0], place, width)))])
 
     def later(rounds: int):
         def run(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
@@ -358,7 +355,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = out.set_column(counted, rows.schema.names[counted], pa.compute.coalesce(size, rows.column(counted).combine_chunks()))
         return out
 
-    asked = bundles.select("chunk", "blob").mapInArrow(first, B.BLOCKS)
+    asked = mine.applyInArrow(first, B.BLOCKS)
     names = None
     for r in range(ROUNDS):
         given = B.exchanged(asked, parts, number).filter(F.col("chunk") >= 0)
