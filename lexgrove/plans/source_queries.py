@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import surface
 from lexgrove.operators import annotations as A
-from lexgrove.operators import capacity, linking, models, predictors, sequences, triples
+from lexgrove.operators import capacity, extensions, linking, models, predictors, sequences, triples
 from lexgrove.plans import link_queries, text_queries
 from lexgrove.plans.catalogue import query
 from lexgrove.plans.link_queries import table
@@ -302,3 +302,12 @@ def malformed_links(spark: SparkSession, sf: str) -> DataFrame:
     pages = link_queries._wiki(spark, sf)
     bad = F.concat(F.coalesce("text", F.lit("")), F.lit(" [[File:"), F.col("id").cast("string"), F.lit(".jpg|thumb|cap]]"))
     return linking.malformed_links(pages.withColumn("text", F.when(F.col("id") % 2 == 0, bad).otherwise(F.col("text"))))
+
+
+@query("table_function", link_queries._WIKI + r""", l AS (SELECT id, unnest(regexp_extract_all(text, '\[\[([^\[\]]*)\]\]', 1)) AS link FROM wiki)
+SELECT id, trim(replace(CASE WHEN contains(link, '|') THEN split_part(link, '|', 1) ELSE link END, '_', ' '), ' ') AS entity, CASE WHEN contains(link, '|') THEN split_part(link, '|', 2) WHEN starts_with(link, 'Category:') THEN substr(link, 10) ELSE link END AS anchor, count(*) AS n FROM l GROUP BY ALL""")
+def table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """a table function and a scalar function of the package, called from SQL."""
+    extensions.register(spark)
+    links = spark.sql("SELECT w.id, plain_title(l.entity) AS entity, l.anchor FROM {wiki} AS w, LATERAL wikilinks(w.text) AS l", wiki=link_queries._wiki(spark, sf))
+    return links.groupBy("id", "entity", "anchor").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lexgrove.operators import annotations as A
-from lexgrove.operators import capacity, models, predictors, sequences
+from lexgrove.operators import capacity, metrics, models, predictors, render, scoring, sequences, vectors
 from lexgrove.plans import source_queries
 from lexgrove.sources import readers, workspace
 
@@ -115,7 +115,8 @@ def test_zip(spark):
     left = spark.createDataFrame([(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 0, 2, None)], "doc_id long, sent_id int, tok_id int, token string")
     right = left.withColumn("tag", F.lit("T"))
     assert sequences.zipped(left, right).count() == 2 and sequences.zip_mismatches(left, right).count() == 0
-    assert {r["tok_id"] for r in sequences.zip_mismatches(left, right.filter("tok_id < 2").replace("b", "c", ["token"])).collect()} == {1} | set()
+    changed = right.filter("tok_id < 2").replace("b", "c", ["token"])
+    assert {r["tok_id"] for r in sequences.zip_mismatches(left, changed).collect()} == {1}
 
 
 def corpus(spark, n=40):
@@ -172,3 +173,61 @@ def test_early_stopping_query(spark, tmp_path):
 def test_every_query_has_sql_or_a_test():
     without = set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())
     assert {q for q in without if not q.startswith("op") and q != "pipeline"} == {"bigram_chunker", "maxent_chunker", "kmeans_clusters", "elbow_k", "early_stopping", "textrank_predictor"}
+
+
+def test_quantiles_and_ranks(spark):
+    rng = random.Random(4)
+    values = [rng.choice([0.5, 1.25, 2.0, 7.0, 7.5]) for _ in range(41)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "s double").repartition(3)
+    got = metrics.quantiles(rows, "s", a=0.25, b=0.5, c=0.9).first()
+    ordered = sorted(values)
+
+    def wanted(share):
+        place = (len(ordered) - 1) * share
+        low, part = int(place), place - int(place)
+        return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * part
+
+    assert [got[c] for c in "abc"] == pytest.approx([wanted(x) for x in (0.25, 0.5, 0.9)])
+    whole = rows.filter("s is not null")
+    one, all_ = scoring.percentile_rank(whole.withColumn("k", F.lit(1)), "s", ["k"]), scoring.percentile_rank(whole, "s")
+    assert sorted((r["s"], r["percentile"]) for r in one.collect()) == sorted((r["s"], r["percentile"]) for r in all_.collect())
+
+
+def test_indicators_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    vectors_ = [(i, [rng.random() for _ in range(4)]) for i in range(60)]
+    rows = spark.createDataFrame(vectors_, "vec_id long, embedding array<double>")
+    indicators = rows.filter("vec_id < 25").select(F.col("vec_id").alias("indicator_id"), F.col("embedding").alias("v"))
+    centroids = rows.filter("vec_id < 25").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("c"))
+    whole = sorted(vectors.most_similar(rows, indicators).collect()), sorted(vectors.nearest_centroid(rows, centroids).collect())
+    monkeypatch.setattr(vectors, "MOST_SMALL", 4)
+    assert (sorted(vectors.most_similar(rows, indicators).collect()), sorted(vectors.nearest_centroid(rows, centroids).collect())) == whole
+
+
+def test_k_means_finds_separate_clusters(spark):
+    rows = spark.createDataFrame([(i, [10.0 * (i % 3) + 0.01 * i, -10.0 * (i % 3)]) for i in range(30)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["cluster"] for r in vectors.k_means(rows, 3).collect()}
+    assert len(set(found.values())) == 3 and all(found[i] == found[i % 3] for i in found)
+
+
+def test_latex_table(spark):
+    rows = spark.createDataFrame([("A", "A"), ("B", "A")], "g string, p string")
+    assert metrics.latex_table(metrics.classification_report(rows, "g", "p")).splitlines() == [
+        r"\begin{tabular}{lrrrr}",
+        r"Class & Precision & Recall & F1-Score & Support \\",
+        r"\hline",
+        r"A & 0.50 & 1.00 & 0.67 & 1 \\",
+        r"B & 0.00 & 0.00 & 0.00 & 1 \\",
+        r"Macro Avg & 0.25 & 0.50 & 0.33 & 2 \\",
+        r"Weighted Avg & 0.25 & 0.50 & 0.33 & 2 \\",
+        r"\end{tabular}",
+    ]
+
+
+def test_linked_html_by_broadcast_and_by_join(spark, monkeypatch):
+    spans = spark.createDataFrame([(0, 0, "Ann", True, None), (0, 1, "saw", False, None), (0, 2, "Bo", True, "PER")], "doc_id long, start int, phrase string, is_entity boolean, kind string")
+    top = spark.createDataFrame([("Ann", "Ann A")], "anchor string, entity string")
+    small = render.linked_html(spans, top, ["doc_id"]).first()["html"]
+    monkeypatch.setattr(render, "MOST_ANCHORS", 0)
+    assert render.linked_html(spans, top, ["doc_id"]).first()["html"] == small
+    assert small == '<a href="https://en.wikipedia.org/wiki/Ann_A">Ann</a> saw <u class="entity">Bo</u> <span class="type">(PER)</span>'
