@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch with about so many bytes of text each, one row at least."""
+    total = np.r_[0, np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64))]
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + size, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def id_text(docs: DataFrame, name: str) -> Column:
     """The id as text, so that a null beside it costs a Python stage no digits; id_back undoes it. NULL stays NULL."""
     kind, column = docs.schema[name].dataType, F.col(f"`{name}`")
