@@ -6,7 +6,7 @@ piece cut from one. A document longer than a sequence gives off whole sequences
 own; what it has left over at its end is laid end to end and cut at capacity, and at last at powers of two, which need no padding.
 The sequence ids of a worker start at its partition number shifted left.
 
-Ids come from the tokenizer file itself, by `tokenizers`; those of single words are kept. A text with double spaces, or one of the
+Ids come from the tokenizer file itself, by `tokenizers`; those of words that come again are kept. A text with double spaces, or one of the
 file's added tokens, is encoded as a whole.
 
 Defined results: a null text counts as an empty one and gives the end id alone; texts of any length are packed
@@ -25,21 +25,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrove.llm.common import id_back, id_text, table
+from lexgrove.llm.common import slices, table
 
 CAPACITY = 2048
 #: The bits of a sequence id below the number of the partition.
 SEQUENCE_BITS = 36
 #: Marks that a word may end with.
 MARKS = ".,;:!?"
+#: Bytes of texts that are encoded at once.
+SLICE_BYTES = 1_000_000
 #: Bytes of words and ids that a worker keeps, about.
-MOST_KEPT = 200_000_000
+MOST_KEPT = 150_000_000
 #: Bytes of a kept word besides its own.
 KEPT = 160
 
@@ -50,7 +52,7 @@ class Encoder:
     The file's pre-tokenizer never joins what stands before a single space with what follows it, so a text without double spaces is
     encoded word by word, each with the space before it, and the ids of words are kept."""
 
-    def __init__(self, json_path: str | None = None) -> None:
+    def __init__(self, json_path: str | None = None, most: int = MOST_KEPT) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -59,18 +61,20 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
-        self.size = 0
+        self.seen = bytearray(1 << 22)
+        self.size, self.most = 0, most
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Keeps the ids of new words; marks behind a letter are a part of their own, so they need not be learned with each word."""
-        known = self.known
-        if self.size > MOST_KEPT:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't known. A word is kept from its second time on, as most words come once; marks behind a
+        letter are a part of their own, so they need not be learned with each word."""
+        known, seen, found = self.known, self.seen, {}
+        if self.size > self.most:
             known.clear()
             self.size = 0
-        new, ended = set(), []
+        ended = []
         for word in set(words):
             if word not in known:
                 core = word.rstrip(MARKS)
@@ -79,16 +83,21 @@ class Encoder:
                     if core in known:
                         continue
                     word = core
-                new.add(word)
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False), strict=True):
-            known[word] = ids = array("I", e.ids).tobytes()
-            self.size += KEPT + len(word) + len(ids)
+                found[word] = b""
+        for word, e in zip(found, self.tokenizer.encode_batch_fast([f" {w}" for w in found], add_special_tokens=False), strict=True):
+            found[word] = array("I", e.ids).tobytes()
         for word, core in ended:
             marks = word[len(core) :]
             if marks not in self.marks:
                 self.marks[marks] = self.whole(marks)
-            known[word] = known[core] + self.marks[marks]
-            self.size += KEPT + len(word) + len(known[word])
+            found[word] = (known.get(core) or found[core]) + self.marks[marks]
+        for word, ids in found.items():
+            place = hash(word) & (len(seen) - 1)
+            if seen[place]:
+                known[word] = ids
+                self.size += KEPT + len(word) + len(ids)
+            seen[place] = 1
+        return found
 
     def __call__(self, text: str) -> bytes:
         if "  " in text or any(t in text for t in self.special):
@@ -97,15 +106,15 @@ class Encoder:
         try:
             rest = b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            self._learn(words)
-            rest = b"".join([self.known[w] if w in self.known else self.whole(f" {w}") for w in words])
+            known, new = self.known.get, self._learn(words)
+            rest = b"".join([known(w) or new[w] for w in words])
         return self.whole(head) + rest
 
 
 @lru_cache(maxsize=2)
-def encoder(json_path: str | None = None) -> Encoder:
+def encoder(json_path: str | None = None, most: int = MOST_KEPT) -> Encoder:
     """One for each worker, whose tasks follow each other."""
-    return Encoder(json_path)
+    return Encoder(json_path, most)
 
 
 def class_of(length: int, capacity: int = CAPACITY) -> int:
@@ -191,27 +200,35 @@ class Packer:
         return self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1) if rest else 0
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, json_path: str | None = None) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. No shuffle."""
-    source = docs.select(id_text(docs, id_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = T.StructType([T.StructField("doc_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in names[1:])])
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, json_path: str | None = None, most_kept: int = MOST_KEPT) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. No shuffle. most_kept: bytes of words
+    that a worker keeps, which change no result."""
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(json_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(json_path, most_kept)
         packer = Packer(TaskContext.get().partitionId() << SEQUENCE_BITS, capacity)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows += packer.add((doc,), np.frombuffer(encode(text) + end, "<u4"))
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            ids, *numbers = zip(*rows, strict=True)
+            return pa.record_batch([pa.array(ids, kind), *(pa.array(c, pa.int64()) for c in numbers)], names=schema.names)
+
+        kind = None
+        for whole in batches:
+            kind = whole.column(0).type
+            for part in slices(whole, SLICE_BYTES):
+                rows: list[tuple] = []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    rows += packer.add((doc,), np.frombuffer(encode(text) + end, "<u4"))
+                if rows:
+                    yield batch(rows)
         if rows := list(packer.finish()):
-            yield pd.DataFrame(rows, columns=names)
+            yield batch(rows)
 
-    packed = source.mapInPandas(run, schema)
-    return packed.select(id_back("doc_id", docs.schema[id_col].dataType).alias("doc_id"), *names[1:])
+    return source.mapInArrow(run, schema)
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
