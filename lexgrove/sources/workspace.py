@@ -27,11 +27,16 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lexgrove-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder; this cuts the lineage."""
-    path = new_path(df.sparkSession)
+def stored(df: DataFrame, shrink: int = 1) -> DataFrame:
+    """df as a table written to the shared folder; this cuts the lineage.
+
+    shrink: how many of the session's shuffle partitions make one file, for tables whose rows are few or short."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    if shrink > 1:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // shrink))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(*tables: DataFrame) -> None:
