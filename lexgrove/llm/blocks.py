@@ -26,11 +26,11 @@ from pyspark.sql import types as T
 from lexgrove.llm.common import stored
 
 #: Characters of text of a bundle, about; a longer text is a bundle of its own.
-BUNDLE_CHARS = 2_000_000
+BUNDLE_CHARS = 1_500_000
 #: Characters of text whose keys one task adds up, about.
-PART_CHARS = 10_000_000
+PART_CHARS = 6_000_000
 #: Rows of an Arrow batch while bundles are written.
-BATCH_ROWS = 500
+BATCH_ROWS = 300
 #: Ranges that a bundle's keys are cut into at most.
 MOST_PARTS = 512
 #: Bundles that are merged first where there are more ranges.

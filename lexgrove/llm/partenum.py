@@ -47,9 +47,11 @@ _SEEDS = B.mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 #: A block of a family holds about so many shingles and sets at most.
 BLOCK_SHINGLES, BLOCK_SETS = 30_000, 200
 #: Signatures that one task puts into buckets, about.
-PART_SIGNATURES = 1_500_000
+PART_SIGNATURES = 800_000
 #: The edges of a node are dealt to so many tasks.
 SALTS = 8
+#: Shuffle partitions that make one file of the tables of pairs and sets.
+SHRINK = 8
 #: Bits of a shingle's hash that are left out where it is only asked whether it occurs elsewhere.
 SHORT = np.uint64(16)
 U = np.uint64
@@ -122,7 +124,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component from the columns a and b: alternating large and small stars until the stars stay as they are.
 
     A star may hold a third of all nodes, so its edges are dealt by salts and its centre's minimum is sent to each."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), SHRINK)
     salt, salts = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
 
     def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = with_least(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = with_least(large, least).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        last, edges = edges, stored(small)
+        last, edges = edges, stored(small, SHRINK)
         dropped(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -331,7 +333,7 @@ def linked_rows(met: DataFrame) -> DataFrame:
     met: the stored rows of shingle_sets. Sets have numbers of their own, so ids may be of any type."""
     linked = met.filter("d1 is not null and doc_id is not null")
     sets = linked.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("least"), F.first("keys", True).alias("keys"), F.first("n_shingles").alias("n"), F.max("shared").alias("shared"))
-    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()))
+    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), SHRINK)
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // PART_SIGNATURES))
 
@@ -387,23 +389,25 @@ def linked_rows(met: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": np.r_[ranked[pairs // len(ranked)], ranked[label[low]]], "b": np.r_[ranked[pairs % len(ranked)], ranked[low]], "often": many})
 
     signed = sets.select("id", "keys", "shared", "n").mapInPandas(sign, "part int, signs binary, at binary, ids binary, shared binary, size binary, marks binary")
-    members = stored(signed.groupBy("part").applyInPandas(bucket, "a long, b long, often long"))
+    members = stored(signed.groupBy("part").applyInPandas(bucket, "a long, b long, often long"), SHRINK)
     # each set meets the pivot that it shares most buckets with
     shares = members.filter("often is not null").groupBy("a", "b").agg(F.sum("often").alias("often"))
     star = shares.groupBy("b").agg(F.max(F.struct("often", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    first = stored(verified(star, sets))
+    first = stored(verified(star, sets), SHRINK)
     known = components(first)
     # sets that near pairs of buckets connect are a family; those of one that are in different components meet in blocks
     family = components(members.filter("often is null").select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("family"))
     families = sets.select("id", "n", "keys").join(family, "id").join(known.withColumnRenamed("node", "id"), "id", "left")
-    families = stored(families.select("family", "id", F.coalesce("component", "id").alias("component"), "n", "keys"))
+    families = stored(families.select("family", "id", F.coalesce("component", "id").alias("component"), "n", "keys"), SHRINK)
     dropped(members)
-    more = stored(block_links(families))
+    more = stored(block_links(families), SHRINK)
     dropped(families)
     found = components(first.union(more)) if not more.isEmpty() else known
-    groups = sets.select("d1", "d2", "least", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "least", F.coalesce("component", "id").alias("component"))
-    least = groups.groupBy("component").agg(F.min("least").alias("all"))
-    groups = groups.join(least, "component").select("d1", "d2", F.col("all").alias("least"))
+    groups = sets.select("d1", "d2", "least", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
+    groups = groups.select("d1", "d2", "least", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    # a component may hold a third of all sets: its least row goes to each of its salts
+    least = groups.groupBy("component").agg(F.min("least").alias("all")).select("component", "all", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    groups = groups.join(least, ["component", "salt"]).select("d1", "d2", F.col("all").alias("least"))
     rows = met.select("chunk", "place", "doc_id", "n_shingles", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("d1", "d2")))
     return rows.join(groups, ["d1", "d2"], "left").select("chunk", "place", "doc_id", "n_shingles", "least")
 

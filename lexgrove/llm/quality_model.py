@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ from lexgrove.llm.common import id_remainder, table
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
+#: Texts that a worker holds outside an Arrow batch at once.
+SLICE_ROWS = 200
 FOLDS, HELD_OUT = 4, 2
 NAMES = (
     "log_words", "word_bytes", "distinct_words", "repeated_triples", "same_as_next", "log_lines", "repeated_lines", "line_words",
@@ -69,6 +71,15 @@ def measures(text: str | None) -> list[float]:
     ]
 
 
+def measured_rows(texts: pa.Array) -> np.ndarray:
+    """The measures of a batch of texts, a row for each; the texts are taken out a few at a time."""
+    out = np.zeros((len(texts), len(NAMES)))
+    for a in range(0, len(texts), SLICE_ROWS):
+        for i, text in enumerate(texts.slice(a, SLICE_ROWS).to_pylist(), a):
+            out[i] = measures(text)
+    return out
+
+
 @dataclass
 class AdditiveModel:
     """edges: of each feature's bins. tables: for each feature. pairs: (i, j, coarse bins of i, of j, table)."""
@@ -151,9 +162,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "y")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("array<double>")
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series([measures(t) for t in texts])
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array(measured_rows(texts).tolist(), pa.list_(pa.float64()))
 
     # kept: sample_rows rows at most; of texts that share an id, the one with the least measures is learnt from
     rows = source.join(F.broadcast(kept), "doc_id").select("doc_id", "y", measured("text").alias("x")).groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas()
@@ -166,11 +177,10 @@ def scores(docs: DataFrame, model: AdditiveModel, text_col: str) -> DataFrame:
     """row: the columns of docs, so that none of their names meets one from here; score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # lookup tables of fixed size
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            x = np.array([measures(t) for t in texts], float).reshape(len(texts), len(NAMES))
-            yield pd.Series(sent.value.score(x))
+            yield pa.array(sent.value.score(measured_rows(texts)))
 
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), score(F.col(f"`{text_col}`")).alias("score"))
 
