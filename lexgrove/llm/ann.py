@@ -33,6 +33,8 @@ SAMPLE = 20_000
 PROBE_QUERIES = 200
 #: Vectors, and queries, that one task holds of one list.
 PART = 4096
+#: Below this share of open pairs, a tile goes on with the open pairs alone.
+FEW_OPEN = 0.02
 
 
 @dataclass
@@ -75,8 +77,8 @@ def fit_lists(x: np.ndarray, n: int, k: int, target: float = 0.985, seed: int =
 def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np.ndarray, ids: np.ndarray, k: int, step: int = 16, slack: float = 3.0, tile: int = 64) -> Iterator[tuple[int, int, float]]:
     """(query, vector, score) of each query's k best. qr and xr: rotated; x: original, in double precision.
 
-    A tile of queries reads the first block of columns together; after it, each pair of a query and a vector goes on alone
-    and is abandoned when its test fails.
+    Each pair of a query and a vector is abandoned when its own test fails; a tile of queries reads columns together while many
+    pairs are open.
     """
     d = x.shape[1]
     order = np.argsort(-(xr**2).sum(1), kind="stable")
@@ -90,22 +92,38 @@ def scan(q: np.ndarray, qr: np.ndarray, q_ids: np.ndarray, x: np.ndarray, xr: np
         scores[own[:, None] == ids[:head]] = -np.inf
         floor = np.partition(scores, -k, axis=1)[:, -k] if head >= k else np.full(len(t), -np.inf)
         floor = np.where(np.isfinite(floor), floor, -1e300)
-        # pairs of a query and a vector; a pair that fails the test is abandoned, for this query alone
-        partial = t[:, : ends[0]] @ xr[:, : ends[0]].T
-        row, column = np.nonzero(own[:, None] != ids)
-        part = partial[row, column]
+        # a pair of a query and a vector that fails the test is abandoned, for this query alone; while many pairs are open, a block of
+        # columns is read for the whole tile, later for the open pairs only
         norms = np.stack([(t[:, :e] ** 2).sum(1) for e in ends])
+        alive, open_ = np.arange(len(x)), own[:, None] != ids
+        dense = np.zeros((len(t), len(x)))
+        row = column = part = None
         for i, e in enumerate(ends):
-            if i:
-                c = slice(ends[i - 1], e)
+            c = slice(ends[i - 1] if i else 0, e)
+            if row is None:
+                dense += t[:, c] @ xr[alive, c].T
+            else:
                 part = part + np.einsum("ij,ij->i", t[row, c], xr[column, c])
             if e == d:
                 break
             # the distance of a vector as near as the k-th best follows from its norm and the query's
-            limit = norms[-1][row] + x_norms[-1][column] - 2 * floor[row]
-            far = norms[i][row] + x_norms[i][column] - 2 * part
-            near = far * (d / e) <= (1 + slack / np.sqrt(e)) ** 2 * limit + 1e-9
-            row, column, part = row[near], column[near], part[near]
+            bound = (1 + slack / np.sqrt(e)) ** 2
+            if row is None:
+                limit = norms[-1][:, None] + x_norms[-1][alive] - 2 * floor[:, None]
+                far = norms[i][:, None] + x_norms[i][alive] - 2 * dense
+                open_ &= far * (d / e) <= bound * limit + 1e-9
+                if open_.mean() < FEW_OPEN:
+                    row, at = np.nonzero(open_)
+                    column, part = alive[at], dense[row, at]
+                elif (some := open_.any(0)).mean() < 0.8:
+                    alive, dense, open_ = alive[some], dense[:, some], open_[:, some]
+            else:
+                limit = norms[-1][row] + x_norms[-1][column] - 2 * floor[row]
+                near = (norms[i][row] + x_norms[i][column] - 2 * part) * (d / e) <= bound * limit + 1e-9
+                row, column, part = row[near], column[near], part[near]
+        if row is None:
+            row, at = np.nonzero(open_ & (dense >= (floor - 1e-9 * (1 + abs(floor) * (floor > -1e300)))[:, None]))
+            column, part = alive[at], dense[row, at]
         near = part >= floor[row] - 1e-9 * (1 + abs(floor[row]) * (floor[row] > -1e300))  # a little below the k-th, as rotating rounds
         row, found = row[near], column[near]
         exact = (x[found] * q[a + row]).sum(1)
