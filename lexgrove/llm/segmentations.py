@@ -44,7 +44,7 @@ SAMPLES = 4
 TEMPERATURE = 1.0
 SEED = 20
 #: Characters that are segmented at once, and characters of the chunks kept by a worker.
-SLAB, MEMO = 300_000, 1_900_000
+SLAB, MEMO = 300_000, 1_600_000
 SPACE = "▁"
 #: Stands for a space mark that is part of the text itself; no valid text holds this code point.
 _LITERAL = "\udfff"
@@ -246,6 +246,12 @@ class _Table:
         self.new: list[str] = []
         self.buffers = {n: np.zeros(1 << 16, t) for n, t in (("start", np.int32), ("ids", np.uint32), ("target", np.int32), ("logs", float), ("rung", np.uint64))}
 
+    def close(self) -> None:
+        """Lets go of all arrays now; the table and its roots refer to each other."""
+        self.buffers.clear()
+        self.root.clear()
+        self.root.table = None
+
     def add(self, chunk: str) -> int:
         self.new.append(chunk)
         self.fresh += len(chunk)
@@ -340,7 +346,9 @@ class Sampler:
                 size += len(marked[end])
                 end += 1
             if self.table.held > MEMO:
-                self.table = _Table(self.table.vocabulary)
+                vocabulary = self.table.vocabulary
+                self.table.close()
+                self.table = _Table(vocabulary)
             slab = _Slab(self.table, marked[at:end], np.array([self.key(r) for r in keys[at:end]], np.uint64), self.k)
             for d in range(end - at):
                 yield self._search(slab, d)
