@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-All stages take null and empty texts for texts without words, read whole texts, keep repeated rows apart until near_duplicates,
-give an empty result for an empty table, and all but the last return the columns they got, whatever their names.
+All stages take null and empty texts for texts without words, read whole texts, also those with bytes that aren't UTF-8, keep
+repeated rows apart until near_duplicates, give an empty result for an empty table, and all but the last return the columns they got, whatever their names.
 """
 from __future__ import annotations
 

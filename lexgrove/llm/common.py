@@ -32,6 +32,14 @@ def slices(batch: pa.RecordBatch, size: int, column: int = 1) -> Iterator[pa.Rec
         a = b
 
 
+def texts_in(column: pa.Array) -> list[str | None]:
+    """The texts of an Arrow column; bytes that aren't UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def id_text(docs: DataFrame, name: str) -> Column:
     """The id as text, so that a null beside it costs a Python stage no digits; id_back undoes it. NULL stays NULL."""
     kind, column = docs.schema[name].dataType, F.col(f"`{name}`")

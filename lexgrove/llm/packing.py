@@ -10,7 +10,7 @@ Ids come from the tokenizer file itself, by `tokenizers`; those of words that co
 file's added tokens, is encoded as a whole.
 
 Defined results: a null text counts as an empty one and gives the end id alone; texts of any length are packed
-whole; repeated rows are packed each; an empty table gives an empty result; other columns of the input are not
+whole, bytes that aren't UTF-8 as U+FFFD; repeated rows are packed each; an empty table gives an empty result; other columns of the input are not
 read; ids are of any atomic type, and a null one passes through.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrove.llm.common import slices, table
+from lexgrove.llm.common import slices, table, texts_in
 
 CAPACITY = 2048
 #: The bits of a sequence id below the number of the partition.
@@ -221,7 +221,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             kind = whole.column(0).type
             for part in slices(whole, SLICE_BYTES):
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc, text in zip(part.column(0).to_pylist(), texts_in(part.column(1)), strict=True):
                     rows += packer.add((doc,), np.frombuffer(encode(text) + end, "<u4"))
                 if rows:
                     yield batch(rows)

@@ -8,7 +8,7 @@ Learning reads at most SAMPLE_ROWS labelled documents, the first by a hash of th
 crc32(doc_id) mod 4 is not 2 are learnt from. Neither labels nor language, source or id are inputs of a score.
 
 Defined results: a null or empty text has all its counts at zero and gets the score of those; texts of any length are
-read whole; repeated rows are scored alike; an empty table gives an empty result; labels that are null, or that
+read whole, and bytes that aren't UTF-8 count as they are; repeated rows are scored alike; an empty table gives an empty result; labels that are null, or that
 contradict each other for a document, aren't learnt from; of texts that share an id one is; with no labels, or of one kind only, the score is the
 share of good labels (0.5 without any); other columns of the input are not read.
 """
@@ -41,9 +41,9 @@ _LETTER = bytes(x for x in range(128) if chr(x).isalpha()) + _HIGH
 _SHOUT = re.compile(rb"[!?][!?]+")
 
 
-def measures(text: str | None) -> list[float]:
+def measures(text: bytes | None) -> list[float]:
     """The inputs of the model, from the whole text, in the order of NAMES."""
-    raw = (text or "").encode("utf-8", "replace")
+    raw = text or b""
     words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
     n, size = max(1, len(words)), max(1, len(raw))
     count = lambda kinds: size - len(raw.translate(None, kinds)) if raw else 0
@@ -74,6 +74,7 @@ def measures(text: str | None) -> list[float]:
 def measured_rows(texts: pa.Array) -> np.ndarray:
     """The measures of a batch of texts, a row for each; the texts are taken out a few at a time."""
     out = np.zeros((len(texts), len(NAMES)))
+    texts = texts.cast(pa.binary())  # never decoded, so bytes that aren't UTF-8 are bytes like others
     for a in range(0, len(texts), SLICE_ROWS):
         for i, text in enumerate(texts.slice(a, SLICE_ROWS).to_pylist(), a):
             out[i] = measures(text)

@@ -344,7 +344,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if n:
                 words = [w for w, g in zip(words, gone[a : a + len(words)], strict=True) if not g]
             kept.append(b" ".join(words) if n or not carry else None)
-        new = pa.array(kept, pa.binary()).cast(pa.string())
+        new = pa.array(kept, pa.binary()).cast(options=pa.compute.CastOptions.unsafe(pa.string()))  # words stay as they are, UTF-8 or not
         if not carry:
             return pa.table({"c0": rows.column(0), "n_words": pa.array(texts.lengths), "n_removed": pa.array(removed.astype(np.int64)), "kept_text": new})
         text = rows.column(place).combine_chunks()

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexgrove.llm import ann, blocks, html_wrappers, interpolated_lm, line_rules, packing, partenum, quality_model, recompression, segmentations, url_filter
@@ -167,3 +168,24 @@ def test_pipeline(spark, tmp_path):
     docs.limit(0).write.parquet(str(empty / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_pipeline_takes_bytes_that_are_not_utf8(spark, tmp_path):
+    """They stop no stage, and no word with or without them is lost on the way."""
+    passage = text(60)
+    rows = [(i, ". ".join(text(12) for _ in range(12)) + "." + (" " + passage) * (i > 17)) for i in range(20)]
+    docs = frame(spark, rows).withColumn("text", F.expr("cast(case when doc_id % 2 = 0 then concat(X'FF41C3', X'20', cast(text as binary)) else cast(text as binary) end as string)"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert docs.filter("not is_valid_utf8(text)").count() == 10
+
+    def held(stage):
+        return {r["doc_id"]: bytes(r["raw"]) for r in stage(spark, docs, sf).select("doc_id", F.col("text").cast("binary").alias("raw")).collect()}
+
+    given = held(lambda s, d, _: d)
+    assert held(corpus_pipeline.quality_classifier) == held(corpus_pipeline.near_duplicates) == given
+    cleaned = held(corpus_pipeline.substring_dedup)
+    assert cleaned[18] == b" ".join(given[18].removesuffix(passage.encode()).split()) and all(cleaned[i] == given[i] for i in range(18))
+    assert {r["doc_id"] for r in corpus_pipeline.harmonic_packing(spark, docs, sf).collect()} == {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == set(range(20))
