@@ -35,7 +35,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' sequences; a null or empty text gives its end token."""
-    return packing.pack(docs, most_kept=60_000_000)  # its workers go on with other stages
+    return packing.pack(docs, most_kept=60_000_000, lasting=False)  # its workers go on with other stages
 
 
 STAGES = [

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrove.llm.common import stored
+from lexgrove.llm.common import let_go, stored, tidy, tidy_both
 
 #: Characters of text of a bundle, about; a longer text is a bundle of its own.
 BUNDLE_CHARS = 1_500_000
@@ -165,6 +165,7 @@ def bundles(docs: DataFrame, columns: list[str], text_col: str, chars: int | Non
                 a = b
         if held:
             yield flush()
+        let_go()
 
     table = source.mapInArrow(run, "chunk long, rows long, chars long, blob binary")
     if steady:  # the plan runs later, with the session's own batches
@@ -238,6 +239,7 @@ def exchanged(sent: DataFrame, parts: int, answer: Answer, most_parts: int | Non
     A block's values stand in the order of its keys. sent must have been cut into sent_parts(parts) ranges."""
     coarse = sent_parts(parts, most_parts)
 
+    @tidy
     def add(key: tuple, table: pa.Table) -> pa.Table:
         kind, part = key[0].as_py(), key[1].as_py()
         if kind == ALONG:
@@ -253,6 +255,7 @@ def exchanged(sent: DataFrame, parts: int, answer: Answer, most_parts: int | Non
     # groups of bundles meet over coarse ranges first; what they have in common goes on once
     keyed = sent.withColumn("team", F.pmod(F.xxhash64("chunk"), F.greatest(F.lit(1), F.lit(parts // group))))
 
+    @tidy
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         team, kind, part = (x.as_py() for x in key)
         if kind == ALONG:
@@ -260,6 +263,7 @@ def exchanged(sent: DataFrame, parts: int, answer: Answer, most_parts: int | Non
         distinct, total, _, _ = added(table)
         return pa.Table.from_batches([block_table(blocks_of(team << 20 | part, kind, distinct, total, parts))])
 
+    @tidy_both
     def split(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         _, kind, part = (x.as_py() for x in key)
         if kind == ALONG:

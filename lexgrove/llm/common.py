@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let_go() -> None:
+    """Gives memory that this process has freed back to the system: a worker goes on, and would keep what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def tidy(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """A function of a group's rows that lets go of what it took."""
+
+    def tidied(key, rows):
+        out = run(key, rows)
+        let_go()
+        return out
+
+    return tidied
+
+
+def tidy_both(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The same for the rows of two cogrouped tables."""
+
+    def tidied(key, left, right):
+        out = run(key, left, right)
+        let_go()
+        return out
+
+    return tidied
+
+
 def slices(batch: pa.RecordBatch, size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch with about so many bytes of text each, one row at least."""
     total = np.r_[0, np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64))]

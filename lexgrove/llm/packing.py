@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrove.llm.common import slices, table, texts_in
+from lexgrove.llm.common import let_go, slices, table, texts_in
 
 CAPACITY = 2048
 #: The bits of a sequence id below the number of the partition.
@@ -200,9 +200,9 @@ class Packer:
         return self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1) if rest else 0
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, json_path: str | None = None, most_kept: int = MOST_KEPT) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, json_path: str | None = None, most_kept: int = MOST_KEPT, lasting: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. No shuffle. most_kept: bytes of words
-    that a worker keeps, which change no result."""
+    that a worker keeps, which change no result. lasting: whether it keeps them, and the tokenizer, when a task has ended."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
@@ -227,6 +227,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     yield batch(rows)
         if rows := list(packer.finish()):
             yield batch(rows)
+        if not lasting:
+            del encode
+            encoder.cache_clear()
+            let_go()
 
     return source.mapInArrow(run, schema)
 

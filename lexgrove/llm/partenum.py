@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexgrove.llm import blocks as B
-from lexgrove.llm.common import dropped, stored, table
+from lexgrove.llm.common import dropped, let_go, stored, table, tidy, tidy_both
 
 SHINGLE = 5
 #: Similarity: 100 * intersection >= PERCENT * union.
@@ -158,6 +158,7 @@ def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFr
     parts = B.parts_for(chars)
     cut = B.sent_parts(parts)
 
+    @tidy
     def send(key: tuple, left: pa.Table) -> pa.Table:
         # a shingle that only one document repeats counts as shared here; that keeps a document, it never loses one
         known = B.Words()
@@ -176,6 +177,7 @@ def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFr
     out = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("doc_id", schema[0].dataType), *(T.StructField(n, T.LongType()) for n in ("n_shingles", "d1", "d2", "shared")), T.StructField("keys", T.BinaryType())])
     nothing = pa.Table.from_batches([], schema=to_arrow_schema(out))
 
+    @tidy_both
     def meet(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
         if not left.num_rows:
             return nothing
@@ -298,6 +300,7 @@ def block_links(families: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "n", "keys")
 
+    @tidy
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         comp, size, side = rows["component"].to_numpy(), rows["n"].to_numpy(), (rows["own"] == key[1]).to_numpy()
@@ -307,11 +310,14 @@ def block_links(families: DataFrame) -> DataFrame:
         _, at, often = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         common = often >= 2  # the others are in no intersection
         column, row = (np.cumsum(common) - 1)[at], np.repeat(np.arange(len(keys)), size)
-        holds = np.zeros((len(keys), int(common.sum())), np.float32)
-        holds[row[common[at]], column[common[at]]] = 1
+        # the own side's sets stand first, so that each side is a part of the table and no copy
         left = np.flatnonzero(side)
         right = left if key[1] == key[2] else np.flatnonzero(~side)
-        both = (holds[left] @ holds[right].T).astype(np.int64)
+        place = np.empty(len(keys), np.int64)
+        place[np.r_[left, np.flatnonzero(~side)]] = np.arange(len(keys))
+        holds = np.zeros((len(keys), int(common.sum())), np.float32)
+        holds[place[row[common[at]]], column[common[at]]] = 1
+        both = (holds[: len(left)] @ (holds if right is left else holds[len(left) :]).T).astype(np.int64)
         x, y = np.nonzero((100 * both >= PERCENT * (size[left][:, None] + size[right][None] - both)) & (comp[left][:, None] != comp[right][None]))
         if not len(x):
             return none
@@ -356,7 +362,9 @@ def linked_rows(met: DataFrame) -> DataFrame:
                     own, at = np.unique(row[x:y], return_inverse=True)
                     out.append((int(p), B.pack_sorted(signs[x:y]), B.pack(at.astype(np.uint16)), B.pack(ids[own]), B.pack(shared[own].astype(np.uint16)), B.pack(size[own]), marks[own].tobytes()))
                 yield pd.DataFrame(out, columns=["part", "signs", "at", "ids", "shared", "size", "marks"])
+        let_go()
 
+    @tidy
     def bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """How often a pivot a and a member b share a bucket; with often null, a is the first set of b's family here.
 
@@ -428,6 +436,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = linked_rows(met).filter("least is not null and (chunk <> least.chunk or place <> least.place)").select("chunk", "place")
     nothing = pa.Table.from_batches([], schema=to_arrow_schema(schema))
 
+    @tidy_both
     def rest(key: tuple, left: pa.Table, places: pa.Table) -> pa.Table:
         if not left.num_rows:
             return nothing

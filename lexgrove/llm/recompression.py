@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexgrove.llm import blocks as B
-from lexgrove.llm.common import table
+from lexgrove.llm.common import table, tidy, tidy_both
 
 WINDOW = 35
 #: Rounds of naming, and levels of runs and pairs in a round.
@@ -271,16 +271,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = B.blocks_of(chunk, parse.round, parse.keys, parse.counts, cut)
         return [*rows, (chunk, OPEN, chunk % cut, b"", parse.open.dump())] if parse.round == ROUNDS - 1 else rows
 
+    @tidy
     def first(key: tuple, left: pa.Table) -> pa.Table:
         return pa.Table.from_batches([B.block_table(asking(key[0].as_py(), parsed(left["blob"][0], place, width)))])
 
     def later(rounds: int):
+        @tidy_both
         def run(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
             rows = asking(key[0].as_py(), parsed(left["blob"][0], place, width, answers, rounds)) if left.num_rows else []
             return pa.Table.from_batches([B.block_table(rows)])
 
         return run
 
+    @tidy_both
     def candidates(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows:
@@ -299,6 +302,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows.append((chunk, STARTS, chunk % parts, b"", B.pack(intervals(at))))
         return pa.Table.from_batches([B.block_table(rows)])
 
+    @tidy
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
         """For each window of a bundle whether it occurs twice or more; where they start passes through."""
         kind, part, chunks = key[0].as_py(), key[1].as_py(), rows["chunk"].to_pylist()
@@ -324,6 +328,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nothing = pa.Table.from_batches([], schema=to_arrow_schema(out_schema))
 
+    @tidy_both
     def finish(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
         if not left.num_rows:
             return nothing
