@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexgrove.functions.surface import NO_ENTRY
-from lexgrove.sources.workspace import numbered
 
 #: The fields of a page dump, of a token table and of a dump description, as their files have them.
 PAGE = "title string, ns int, id long, redirect struct<_title: string>, revision struct<id: long, contributor: struct<id: long>, text: struct<_VALUE: string>>"
@@ -28,24 +27,36 @@ def pages(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, row, doc: what follows each mark, in the order of files and places. Files are split between marks, not read whole;
+    """file, start, doc: what follows each mark, in the order of files and places. Files are split between marks, not read whole;
     what precedes a file's first mark isn't told apart here."""
     records = spark.read.option("lineSep", MARK).text(path)
-    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     return records.select(*place, F.col("value").alias("doc"))
 
 
+def _numbered(records: DataFrame, name: str) -> DataFrame:
+    """Adds the running number of records (file, start of a split, ...) over all files, from 0. A split's records are read in order by
+    one task, so they are counted by split, and only one row for each split is summed up; the records themselves stay where they are.
+    The files are read twice."""
+    rows = records.withColumn("_row", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "start").agg(F.min("_row").alias("_least"), F.count("*").alias("_n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.select("file", "start", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = rows.join(F.broadcast(splits), ["file", "start"])
+    return out.withColumn(name, F.col("_row") - F.col("_least") + F.col("_before")).drop("_row", "_least", "_before")
+
+
 def _conll_documents(spark: SparkSession, path: str) -> DataFrame:
     found = _documents(spark, path)
     end = F.when(F.startswith("doc", F.lit(MARK_ENDS[0])), len(MARK_ENDS[0])).when(F.startswith("doc", F.lit(MARK_ENDS[1])), len(MARK_ENDS[1]))
-    return found.withColumn("end", end).filter("end is not null").select("file", "start", "row", F.expr("substring(doc, end + 1)").alias("doc"))
+    return found.withColumn("end", end).filter("end is not null").select("file", "start", F.expr("substring(doc, end + 1)").alias("doc"))
 
 
 def conll(spark: SparkSession, path: str, names: tuple[str, ...] = ("token", "pos", "chunk", "ner")) -> DataFrame:
     """doc_id, sent_id, tok_id and the named columns of CoNLL files; what precedes a file's first mark is dropped.
 
     Documents are numbered over all files, in the order of their paths."""
-    docs = numbered(_conll_documents(spark, path), ["file", "start", "row"], "doc_id").select("doc_id", "doc")
+    docs = _numbered(_conll_documents(spark, path), "doc_id").select("doc_id", "doc")
     return _token_lines(docs, names)
 
 
@@ -53,8 +64,8 @@ def chunked_sentences(spark: SparkSession, path: str, names: tuple[str, ...] = (
     """sent_id, tok_id and the named columns of files without document marks: a line for each token, a blank line behind a sentence.
     Sentences are numbered over all files, in the order of their paths."""
     records = spark.read.option("lineSep", "\n\n").text(path).filter("trim(replace(value, '\n', '')) <> ''")
-    place = records.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("sentence"))
-    return _lines(numbered(place, ["file", "start", "row"], "sent_id").select("sent_id", "sentence"), ["sent_id"], names)
+    place = records.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("sentence"))
+    return _lines(_numbered(place, "sent_id").select("sent_id", "sentence"), ["sent_id"], names)
 
 
 def _token_lines(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -86,12 +97,11 @@ def aida_header(line: Column) -> tuple[Column, Column]:
 
 def aida(spark: SparkSession, path: str) -> DataFrame:
     """The token table of annotated TSV files. A document is one record; its lines are numbered inside it."""
-    docs = _documents(spark, path).filter("startswith(doc, '(')").select("file", "start", "row", F.split("doc", "\n").alias("lines"))
-    doc, name = aida_header(F.concat(F.lit(MARK), F.get("lines", F.lit(0))))
-    rows = docs.select("file", "start", "row", doc.alias("doc"), name.alias("name"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("n", "line"))
-    before = Window.partitionBy("file", "start", "row").orderBy("n")
-    rows = rows.withColumn("kind", aida_kind(F.col("line")))
-    rows = rows.withColumn("sentence", F.sum((F.col("kind") == "NEWSENTENCE").cast("int")).over(before)).filter("kind = 'TOKEN'")
+    docs = _documents(spark, path).filter("startswith(doc, '(')").select(F.substring_index("doc", "\n", 1).alias("head"), F.expr("substr(doc, length(substring_index(doc, '\n', 1)) + 1)").alias("rest"))
+    doc, name = aida_header(F.concat(F.lit(MARK), F.col("head")))
+    # rest starts with the end of the head's line; a line end behind another is an empty line, and the next sentence starts there
+    rows = docs.select(doc.alias("doc"), name.alias("name"), F.posexplode(F.split("rest", r"(?<=\n)\n")).alias("sentence", "lines"))
+    rows = rows.select("doc", "name", "sentence", F.explode(F.split("lines", "\n")).alias("line")).filter(aida_kind(F.col("line")) == "TOKEN")
     parts = F.split("line", "\t")
     known = F.size(parts) >= 4
     field = lambda i: F.when(known, F.get(parts, F.lit(i)))
@@ -107,7 +117,7 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_token_table(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True)
+    rows.write.mode("overwrite").csv(path, header=True, compression="gzip")  # as its ids and tags are most of a plain one
 
 
 def shards(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrove.operators import annotations as A
-from lexgrove.operators import predictors, scoring
-from lexgrove.plans import text_queries
+from lexgrove.operators import predictors, scoring, sequences
+from lexgrove.plans import source_queries, text_queries
+from lexgrove.sources import readers
 
 
 def exchanges(df):
@@ -66,3 +67,53 @@ def test_chunks_by_document(spark, sf):
     got = scoring.document_chunks(docs, True).select(*names[:3], F.round(score, 6).alias("score"))
     wanted = predictors.TextRank().transform(predictors.candidates(rows), rows).select(*names[:3], F.round("score", 6).alias("score"))
     assert rows_of(got) == rows_of(wanted) and exchanges(got) == 0
+
+
+def test_sentences_by_document(spark, sf):
+    rows = A.annotated(docs_of(spark, sf))
+    assert rows_of(text_queries.sentence_sequences(spark, sf)) == rows_of(sequences.sentence_sequences(rows))
+    assert rows_of(text_queries.tags_since_dt(spark, sf)) == rows_of(sequences.tags_since_determiner(rows))
+    assert exchanges(text_queries.sentence_sequences(spark, sf)) == exchanges(text_queries.tags_since_dt(spark, sf)) == 0
+    zipped = source_queries.zip_join(spark, sf)
+    tags = rows.select("doc_id", "sent_id", "tok_id", "token", F.when(F.col("pos").rlike("^[CDJNP]"), "I-NP").otherwise("O").alias("chunk"))
+    assert rows_of(zipped) == rows_of(sequences.zipped(rows.select("doc_id", "sent_id", "tok_id", "token", "ner"), tags))
+    assert "tok_id" not in "".join(x for x in zipped._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+def test_zipped_arrays_drop_what_one_table_lacks(spark):
+    left = spark.createDataFrame([(0, 0, ["a", None, "c"]), (0, 1, ["x"])], "doc_id long, sent_id int, token array<string>")
+    right = spark.createDataFrame([(0, 0, ["A", "B"]), (1, 1, ["X"])], "doc_id long, sent_id int, tag array<string>")
+    assert rows_of(sequences.zipped_arrays(left, right)) == [(0, 0, 0, "a", "A")]
+
+
+def test_entities_over_documents(spark, sf):
+    docs = docs_of(spark, sf)
+    names = ["doc_id", "sent_id", "tok_id", "entity_id"]
+    key = lambda r: tuple((x is None, x) for x in r)
+    wanted = sorted(map(tuple, sequences.with_entity_ids(A.annotated(docs)).select(*names).collect()), key=key)
+    got = sequences.document_entities(docs).select(*names)
+    assert sorted(map(tuple, got.collect()), key=key) == wanted
+    assert "sent_id" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+    some = sequences.document_entities(docs, F.col("doc_id") % 10 > 7).select(*names)
+    assert sorted(map(tuple, some.collect()), key=key) == [r for r in wanted if r[0] % 10 > 7]
+
+
+def test_records_are_numbered_where_they_are_read(spark, tmp_path):
+    for f in range(3):
+        text = "".join(f"-DOCSTART- -X- O O\n\nw{f} NN O O\nv NN O O\n\nd{i} NN O O\n\n" for i in range(400))
+        (tmp_path / f"part-{f}.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = readers.conll(spark, str(tmp_path)).filter("sent_id = 1 and tok_id = 0")
+        assert sorted((r["doc_id"], r["token"]) for r in found.collect()) == [(f * 400 + i, f"d{i}") for f in range(3) for i in range(400)]
+        assert "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sentences_of_annotated_files(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("-DOCSTART- (1 X)\na\n\n\nb\nc\n\nd\n-DOCSTART- (2 Y)\n\ne\n")
+    found = readers.aida(spark, str(tmp_path))
+    assert rows_of(found.select("Document_ID", "Document_Name", "Sentence_Number", "Token")) == [("1", "X", 0, "a"), ("1", "X", 2, "b"), ("1", "X", 2, "c"), ("1", "X", 3, "d"), ("2", "Y", 1, "e")]
+    assert exchanges(found) == 0
