@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.operators import metrics, scoring
 from lexgrove.operators.annotations import SENTENCE, with_runs
+from lexgrove.sources.workspace import stored
 
 PHRASE = (*SENTENCE, "start")
 
@@ -93,6 +94,14 @@ def by_graph_rank(train: DataFrame, test: DataFrame, steps: int = 64) -> DataFra
     return held_out(scored(train), scored(test), steps)
 
 
+def by_tfidf(docs: DataFrame, learnt: Column, tested: Column, steps: int = 64) -> DataFrame:
+    """with_held_out_threshold of TfIdf for the annotations of documents, trained on the learnt ones; the candidates without their phrases.
+
+    Scores are written once, as the threshold reads them several times."""
+    scored = stored(scoring.document_tfidf(docs.filter(learnt | tested), learnt))
+    return held_out(scored.filter(learnt), scored.filter(tested), steps)
+
+
 def by_proper_nouns(test: DataFrame) -> DataFrame:
     """The candidates, predicted where they hold a proper noun."""
     return candidates(test).withColumn("predicted", F.col("flag") & F.col("proper"))
