@@ -61,7 +61,7 @@ def shingles(ids: np.ndarray) -> np.ndarray:
     """Sorted distinct shingles of a document's word ids."""
     if not len(ids):
         return np.zeros(0, U)
-    return np.unique(B.windows(ids, min(SHINGLE, len(ids)), seed=min(SHINGLE, len(ids))))
+    return B.distinct(B.windows(ids, min(SHINGLE, len(ids)), seed=min(SHINGLE, len(ids))))
 
 
 @lru_cache(maxsize=100_000)
@@ -146,10 +146,6 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
-def words_of(table: pa.Table) -> list[list[bytes]]:
-    return [x.lower().split() for x in B.texts_of(table.column(1))]
-
-
 def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFrame:
     """chunk, place (in the bundle), doc_id, n_shingles, and for documents that may have links: d1, d2 (a digest of the set),
     shared (of 10,000 shingles, those that occur in other documents) and, once in a bundle, keys (the set).
@@ -161,13 +157,12 @@ def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFr
     @tidy
     def send(key: tuple, left: pa.Table) -> pa.Table:
         # a shingle that only one document repeats counts as shared here; that keeps a document, it never loses one
-        known = B.Words()
-        ids = [known.ids(w) for w in words_of(B.opened(left["blob"][0]))]
-        sizes = np.array([len(x) for x in ids])
-        inside = np.repeat(np.cumsum(sizes), sizes)  # where the word's document ends
-        whole = B.windows(np.concatenate(ids), SHINGLE, seed=SHINGLE)
+        ids, sizes = B.lower_words(B.texts_of(B.opened(left["blob"][0]).column(1)))
+        ends = np.cumsum(sizes)
+        inside = np.repeat(ends, sizes)  # where the word's document ends
+        whole = B.windows(ids, SHINGLE, seed=SHINGLE)
         whole = whole[np.arange(len(whole)) + SHINGLE <= inside[: len(whole)]]
-        short = [shingles(x) for x in ids if 0 < len(x) < SHINGLE]
+        short = [shingles(ids[ends[i] - sizes[i] : ends[i]]) for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE))]
         keys, counts = np.unique(np.concatenate([whole, *short]) >> SHORT << SHORT, return_counts=True)
         return pa.Table.from_batches([B.block_table(B.blocks_of(key[0].as_py(), 0, keys, np.minimum(counts, 2), cut))])
 
@@ -181,8 +176,9 @@ def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFr
     def meet(key: tuple, left: pa.Table, answers: pa.Table) -> pa.Table:
         if not left.num_rows:
             return nothing
-        rows, known = B.opened(left["blob"][0]), B.Words()
-        sets = [shingles(known.ids(w)) for w in words_of(rows)]
+        rows = B.opened(left["blob"][0])
+        ids, words = B.lower_words(B.texts_of(rows.column(1)))
+        sets = [shingles(x) for x in np.split(ids, np.cumsum(words)[:-1])]
         sizes = np.array([len(x) for x in sets])
         every, at = np.unique(np.concatenate(sets) >> SHORT << SHORT, return_inverse=True)
         shared = np.r_[0, np.cumsum(B.in_order(answers)[at].astype(np.int64))]
