@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm import line_rules, packing, partenum, quality_model, recompression
 from lexgrove.llm.common import stored, table
+from lexgrove.sources.workspace import shipped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model scores 0.7 or more; it learns from the labelled documents of sf_dir. Null texts are scored as empty ones."""
+    shipped(spark)
     model = quality_model.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_model.keep_good(docs, model)
 
@@ -25,16 +27,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, of repeated rows the first. Documents without a link
     stay, those with a null id and those without words too."""
+    shipped(spark)
     return partenum.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the words of repeated passages; a document that loses nothing stays as it is, one that loses all stays empty."""
+    shipped(spark)
     return recompression.cleaned(docs)
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' sequences; a null or empty text gives its end token."""
+    shipped(spark)
     return packing.pack(docs, most_kept=60_000_000, lasting=False)  # its workers go on with other stages
 
 
