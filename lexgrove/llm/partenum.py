@@ -186,9 +186,9 @@ def shingle_sets(bundles: DataFrame, schema: T.StructType, chars: int) -> DataFr
         shared = shared[ends] - shared[ends - sizes]
         columns: dict[str, list] = {n: [] for n in ("d1", "d2", "shared", "keys")}
         seen: set[tuple[int, int]] = set()
-        for keys, count in zip(sets, shared.tolist(), strict=True):
+        for keys, count, known in zip(sets, shared.tolist(), rows.column(0).is_valid().to_pylist(), strict=True):
             row = (None, None, None, None)
-            if len(keys) and 100 * count >= PERCENT * len(keys):
+            if known and len(keys) and 100 * count >= PERCENT * len(keys):  # a null id has no links, so the set isn't left to its row
                 d1, d2 = (int(B.mixed(keys ^ U(s)).sum(dtype=U).astype(np.int64)) for s in (1, 2))
                 row = (d1, d2, 10_000 * count // len(keys), None if (d1, d2) in seen else B.pack_sorted(keys))
                 seen.add((d1, d2))

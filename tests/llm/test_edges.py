@@ -70,6 +70,17 @@ def test_near_duplicates_by_id(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([*ROWS[1:8], ROWS[10]])
 
 
+def test_null_ids_take_no_links_from_their_copies(spark):
+    """Rows with a null id stand before copies of theirs; the copies keep their sets, and so their links, and get no others."""
+    one, two = [text(5).split() * 2 + [f"{k}{i}" for i in range(300)] for k in "ab"]
+    near = [*one[:100], "changed", *one[101:]]
+    rows = [(None, " ".join(one)), (None, " ".join(two)), (5, " ".join(one)), (6, " ".join(near)), (7, " ".join(two))]
+    docs = frame(spark, rows).coalesce(1)
+    found = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicates(docs).collect()}
+    assert found == {None: None, 5: 5, 6: 5, 7: 7}
+    assert sorted(r["doc_id"] or 0 for r in partenum.one_of_each(docs).collect()) == [0, 0, 5, 7]
+
+
 def test_cleaned_keeps_all_columns(spark):
     docs = frame(spark, ROWS)
     rows = recompression.cleaned(docs).collect()
