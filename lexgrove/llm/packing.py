@@ -6,8 +6,8 @@ piece cut from one. A document longer than a sequence gives off whole sequences
 own; what it has left over at its end is laid end to end and cut at capacity, and at last at powers of two, which need no padding.
 The sequence ids of a worker start at its partition number shifted left.
 
-Ids come from the tokenizer file itself, by `tokenizers`; those of words that come again are kept. A text with double spaces, or one of the
-file's added tokens, is encoded as a whole.
+Ids come from the tokenizer file itself, by `tokenizers`; those of words that come again are kept. A text with one of the file's added
+tokens, or with white space that a token of the file spans, is encoded as a whole.
 
 Defined results: a null text counts as an empty one and gives the end id alone; texts of any length are packed
 whole, bytes that aren't UTF-8 as U+FFFD; repeated rows are packed each; an empty table gives an empty result; other columns of the input are not
@@ -16,13 +16,16 @@ read; ids are of any atomic type, and a null one passes through.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,19 @@ from pyspark.sql import types as T
 
 from lexgrove.llm.common import let_go, slices, table, texts_in
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 #: The bits of a sequence id below the number of the partition.
 SEQUENCE_BITS = 36
-#: Marks that a word may end with.
-MARKS = ".,;:!?"
+#: Marks that a word may end with: those of ASCII that no contraction begins with.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+NEWLINES = re.compile(r"\n+")
+#: The character that byte-level models have for each byte.
+SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+HIDDEN = [b for b in range(256) if b not in SHOWN]
+BYTES = [chr(b if b in SHOWN else 256 + HIDDEN.index(b)) for b in range(256)]
 #: Bytes of texts that are encoded at once.
 SLICE_BYTES = 1_000_000
 #: Bytes of words and ids that a worker keeps, about.
@@ -46,11 +57,61 @@ MOST_KEPT = 150_000_000
 KEPT = 160
 
 
+class Words(dict):
+    """The ids of items of texts: a word stands for itself behind a space, an item that begins with a newline for itself as it is, and one that
+    begins with a space for what follows that space, as it is. An item is kept from its second time on, as most come once.
+
+    Words of letters, and marks behind a letter, are pieces of the file's pre-tokenizer, so they go to the file's model directly;
+    other items go through the whole tokenizer."""
+
+    def __init__(self, tokenizer: Tokenizer, most: int) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.size, self.seen = 0, bytearray(1 << 22)
+
+    def __missing__(self, item: str) -> bytes:
+        ids = self._made(item)
+        place = hash(item) & (len(self.seen) - 1)
+        if self.seen[place]:
+            if self.size > self.most:
+                self._forget()
+            self[item] = ids
+            self.size += KEPT + len(item) + len(ids)
+        else:
+            self.seen[place] = 1
+        return ids
+
+    def _made(self, item: str) -> bytes:
+        core = item.rstrip(MARKS)
+        if len(core) < len(item) and lettered(core[-1:]):
+            return self[core] + self[" " + item[len(core) :]]
+        text = item[1:] if item[:1] == " " else item if item[:1] == "\n" else " " + item
+        if text[:1] == "\n":
+            rest = text.lstrip("\n")
+            if lettered(rest):  # the last newline is a piece of its own
+                return self[" " + text[: -len(rest) - 1]] + self[" \n"] + self._letters(rest)
+        elif lettered(text.removeprefix(" ")):
+            return self._letters(text)
+        return self.whole(text)
+
+    def _letters(self, piece: str) -> bytes:
+        """The ids of a piece, whose bytes the model knows as characters."""
+        shown = piece.replace(" ", BYTES[0x20]) if piece.isascii() else "".join([BYTES[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+
 class Encoder:
     """The ids of texts, as little-endian 32-bit numbers, as `tokenizers` gives them for the file.
 
-    The file's pre-tokenizer never joins what stands before a single space with what follows it, so a text without double spaces is
-    encoded word by word, each with the space before it, and the ids of words are kept."""
+    The file's pre-tokenizer never joins what stands before a space or a newline with what follows it, unless both are white space. So a text
+    is cut before each space and each run of newlines, and what is between is encoded on its own, unless one of the file's tokens spans such a place."""
 
     def __init__(self, json_path: str | None = None, most: int = MOST_KEPT) -> None:
         import public_tokenizers
@@ -59,56 +120,36 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.seen = bytearray(1 << 22)
-        self.size, self.most = 0, most
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that aren't known. A word is kept from its second time on, as most words come once; marks behind a
-        letter are a part of their own, so they need not be learned with each word."""
-        known, seen, found = self.known, self.seen, {}
-        if self.size > self.most:
-            known.clear()
-            self.size = 0
-        ended = []
-        for word in set(words):
-            if word not in known:
-                core = word.rstrip(MARKS)
-                if core != word and core[-1:].isalpha():
-                    ended.append((word, core))
-                    if core in known:
-                        continue
-                    word = core
-                found[word] = b""
-        for word, e in zip(found, self.tokenizer.encode_batch_fast([f" {w}" for w in found], add_special_tokens=False), strict=True):
-            found[word] = array("I", e.ids).tobytes()
-        for word, core in ended:
-            marks = word[len(core) :]
-            if marks not in self.marks:
-                self.marks[marks] = self.whole(marks)
-            found[word] = (known.get(core) or found[core]) + self.marks[marks]
-        for word, ids in found.items():
-            place = hash(word) & (len(seen) - 1)
-            if seen[place]:
-                known[word] = ids
-                self.size += KEPT + len(word) + len(ids)
-            seen[place] = 1
-        return found
+        self.most, self.known = most, Words(self.tokenizer, most)
+        self.spanned = spanned(self.tokenizer)
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text or any(t in text for t in self.special):
-            return self.whole(text)
-        head, *words = text.split(" ")
-        try:
-            rest = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            known, new = self.known.get, self._learn(words)
-            rest = b"".join([known(w) or new[w] for w in words])
-        return self.whole(head) + rest
+        if self.spanned is None or any(t in text for t in self.special) or any(t in text for t in self.spanned):
+            return self.known.whole(text)
+        head, *items = (NEWLINES.sub(r" \g<0>", text) if "\n\n" in text else text.replace("\n", " \n")).split(" ")
+        return self.known[" " + head] + b"".join(map(self.known.__getitem__, items))
+
+
+def lettered(word: str) -> bool:
+    """Whether it has only letters, of those scripts in which all versions of Unicode agree about them."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0530")
+
+
+def spanned(tokenizer: Tokenizer) -> list[str] | None:
+    """The pairs of characters in a token whose second is a space or a newline, but for two newlines: texts with such a pair can't be cut there.
+    None if no text can be cut, as the pre-tokenizer or the model is of another kind."""
+    from tokenizers.models import BPE
+
+    splits, model = tokenizer.pre_tokenizer and json.loads(tokenizer.pre_tokenizer.__getstate__()), tokenizer.model
+    plain = splits and splits["type"] == "ByteLevel" and splits["use_regex"] and not splits["add_prefix_space"]
+    if tokenizer.normalizer or tokenizer.truncation or tokenizer.padding or not plain or not isinstance(model, BPE) or model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix:
+        return None
+    found = set()
+    for token in tokenizer.get_vocab(with_added_tokens=False):
+        if (BYTES[0x20] in token[1:] or BYTES[0x0A] in token[1:]) and set(token) <= set(BYTES):
+            text = bytes(map(BYTES.index, token)).decode("utf-8", "replace")
+            found |= {b if a == "\ufffd" else a + b for a, b in zip(text, text[1:], strict=False) if b in " \n"}
+    return sorted(found - {"\n\n"})
 
 
 @lru_cache(maxsize=2)
